@@ -8,13 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
 from .bpe import encoding_digests
+from .language_mixture import predict_languages
+from .line_crf import fit_from_labels, line_quality
 from .transport_stream import media_digests
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = fit_from_labels(docs, table(spark, sf_dir, "labels"))
+    return line_quality(docs.select("doc_id", "text"), field).drop("text")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,7 +34,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_transport_stream": op6_transport_stream, "op10_bpe": op10_bpe}
+    return {
+        "op2_language_mixture": op2_language_mixture,
+        "op6_transport_stream": op6_transport_stream,
+        "op7_line_crf": op7_line_crf,
+        "op10_bpe": op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
