@@ -10,6 +10,7 @@ from ..tables import table
 from .bpe import encoding_digests
 from .language_mixture import predict_languages
 from .line_crf import fit_from_labels, line_quality
+from .packing import pack
 from .transport_stream import media_digests
 
 
@@ -27,6 +28,12 @@ def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(docs.select("doc_id", "text"), field).drop("text")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_mixture": op2_language_mixture,
         "op6_transport_stream": op6_transport_stream,
         "op7_line_crf": op7_line_crf,
+        "op9_packing": op9_packing,
         "op10_bpe": op10_bpe,
     }
 
