@@ -11,6 +11,7 @@ from .bpe import encoding_digests
 from .language_mixture import predict_languages
 from .line_crf import fit_from_labels, line_quality
 from .packing import pack
+from .simhash import fingerprint_components
 from .transport_stream import media_digests
 
 
@@ -18,6 +19,10 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_components(table(spark, sf_dir, "documents"))
+
+
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_mixture": op2_language_mixture,
+        "op4_simhash": op4_simhash,
         "op6_transport_stream": op6_transport_stream,
         "op7_line_crf": op7_line_crf,
         "op9_packing": op9_packing,
