@@ -188,11 +188,13 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_
 
     described = arrow_udf(describe, "array<double>", ArrowUDFType.SCALAR_ITER)
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = docs.select("doc_id", "text").where("text is not null").join(marked, "doc_id")
     data = []
     for quality in (0, 1):
-        part = known.where(F.col("quality") == quality).select("text").orderBy(F.xxhash64("text"), "text").limit(max_fit_docs)
-        data += [(np.array(r[0]).reshape(-1, len(FEATURES)), quality) for r in part.select(described("text")).collect()]
+        # a bounded list of ids first, so that the texts are only scanned and filtered
+        ids = [r[0] for r in marked.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_docs).collect()]
+        chosen = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull())
+        lines = chosen.select(F.xxhash64("text").alias("h"), described("text").alias("x")).orderBy("h", "x").limit(max_fit_docs)
+        data += [(np.array(r.x).reshape(-1, len(FEATURES)), quality) for r in lines.collect()]
     return fit(data)
 
 
