@@ -29,7 +29,7 @@ from pyspark.sql.functions import ArrowUDFType, arrow_udf
 from .common import annotate
 
 NO_MERGE = 1 << 40
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Fixed values of the file format: white space as its expressions see it, and its split pattern.
 SPACE = r"\t\n\v\f\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
