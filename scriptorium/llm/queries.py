@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
 from .bpe import encoding_digests
+from .kneser_ney import classify
 from .language_mixture import predict_languages
 from .line_crf import fit_from_labels, line_quality
 from .packing import pack
@@ -19,6 +20,11 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return classify(docs, table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_components(table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_mixture": op2_language_mixture,
+        "op3_kneser_ney": op3_kneser_ney,
         "op4_simhash": op4_simhash,
         "op6_transport_stream": op6_transport_stream,
         "op7_line_crf": op7_line_crf,
