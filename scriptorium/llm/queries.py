@@ -11,6 +11,7 @@ from .bpe import encoding_digests
 from .kneser_ney import classify
 from .language_mixture import predict_languages
 from .line_crf import fit_from_labels, line_quality
+from .line_dedup import line_digests
 from .packing import pack
 from .simhash import fingerprint_components
 from .transport_stream import media_digests
@@ -29,6 +30,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_components(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_mixture": op2_language_mixture,
         "op3_kneser_ney": op3_kneser_ney,
         "op4_simhash": op4_simhash,
+        "op5_line_dedup": op5_line_dedup,
         "op6_transport_stream": op6_transport_stream,
         "op7_line_crf": op7_line_crf,
         "op9_packing": op9_packing,
