@@ -17,6 +17,7 @@ packed each for itself; an empty table gives no rows.  Ties go to the earlier ro
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,61 +30,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
 from ..staging import stage
+from .bpe import byte_letters
 from .common import OWN
 
 CAPACITY, END_ID = 1024, 2
 BUCKET_ROWS = 20_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Fixed value of byte-level vocabularies of this kind: how a text is cut before merging.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteTokens:
-    """Ids of texts as little-endian 32-bit bytes; a piece between cuts is looked up once per worker.
+    """Ids of texts, equal to those of the tokenizers library, as little-endian 32-bit bytes.
 
-    Texts are cut before each single space that stands between two other characters, where the
-    file's pattern always cuts; the library encodes each piece, and texts with added tokens whole.
+    The file's pattern always cuts before a single space that stands between two other characters, so what
+    stands between such spaces is encoded once per worker and then looked up.  Unknown
+    parts are merged by the file's own ranks; texts with added tokens are encoded whole by the library.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        letters = {letter: byte for byte, letter in enumerate(byte_letters())}
+        ranks = {bytes(map(letters.__getitem__, token)): i for token, i in data["model"]["vocab"].items()}
+        self.merger = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.added = [t["content"] for t in data["added_tokens"]]
+        self.beside = re.compile(r" \s|\s ")
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self.added):
-            return self._ids(text)
-        # every space between two non-spaces begins a piece of the pattern
-        first, *rest = text.split(" ")
-        found = []
-        get = self.cache.get
-        pending = first
-        for part in rest:
-            if part and pending and not part[0].isspace() and not pending[-1].isspace():
-                ids = get(pending)
-                found.append(self._known(pending) if ids is None else ids)
-                pending = " " + part
-            else:
-                pending += " " + part
-        if pending:
-            found.append(self._known(pending))
-        return b"".join(found)
-
-    def _known(self, piece: str) -> bytes:
-        ids = self.cache.get(piece)
-        if ids is None:
-            ids = self._ids(piece)
-            if len(piece) <= 64:
-                if len(self.cache) >= self.cache_words:
-                    self.cache.clear()
-                self.cache[piece] = ids
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if text[:1] == " " or text[-1:] == " " or self.beside.search(text):
+            return self._merge(text)
+        first, *parts = text.split(" ")
+        found = list(map(self.cache.get, parts))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self._part(parts[i])
+        return self._merge(first) + b"".join(found)
+
+    def _merge(self, text: str) -> bytes:
+        return np.array(self.merger.encode_ordinary(text), "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """A part with the space before it."""
+        ids = self._merge(" " + part)
+        if len(part) <= 64:
+            if len(self.cache) >= self.cache_words:
+                self.cache.clear()
+            self.cache[part] = ids
         return ids
 
 
