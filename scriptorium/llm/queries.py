@@ -14,9 +14,14 @@ from .line_crf import fit_from_labels, line_quality
 from .line_dedup import line_digests
 from .packing import pack
 from .simhash import fingerprint_components
+from .site_style import page_texts
 from .transport_stream import media_digests
 
 
+def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_site_style": op1_site_style,
         "op2_language_mixture": op2_language_mixture,
         "op3_kneser_ney": op3_kneser_ney,
         "op4_simhash": op4_simhash,
