@@ -131,17 +131,17 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return gone.groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set("place.line_no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without lines that an earlier one repeats within one edit; ``n_removed`` is added."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, count: str = "n_removed") -> DataFrame:
+    """``docs`` without lines that an earlier one repeats within one edit; their number is added as ``count``."""
     gone = stage(removed_lines(docs.select("doc_id", "text"), min_chars), "removed").select(F.col("doc").alias(OWN + "doc"), F.col("gone").alias(OWN + "gone"))
-    joined = docs.drop("n_removed").withColumn(OWN + "doc", document_key(F.col("doc_id"), F.col("text"))).join(gone, OWN + "doc", "left")
+    joined = docs.drop(count).withColumn(OWN + "doc", document_key(F.col("doc_id"), F.col("text"))).join(gone, OWN + "doc", "left")
     numbers = F.col(OWN + "gone")
     left = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(numbers, i))
     text = F.when(numbers.isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn("text", text).withColumn("n_removed", F.coalesce(F.size(numbers), F.lit(0)))
+    out = joined.withColumn("text", text).withColumn(count, F.coalesce(F.size(numbers), F.lit(0)))
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, changed).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, changed).otherwise(F.col("n_chars")))
     return out.drop(OWN + "doc", OWN + "gone")
 
 

@@ -10,6 +10,7 @@ from ..tables import table
 from .bpe import encoding_digests
 from .kneser_ney import classify
 from .language_mixture import predict_languages
+from .license_scan import license_report
 from .line_crf import fit_from_labels, line_quality
 from .line_dedup import line_digests
 from .packing import pack
@@ -49,6 +50,10 @@ def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(docs.select("doc_id", "text"), field).drop("text")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_transport_stream": op6_transport_stream,
         "op7_line_crf": op7_line_crf,
+        "op8_license_scan": op8_license_scan,
         "op9_packing": op9_packing,
         "op10_bpe": op10_bpe,
     }
