@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from ..staging import stage
 from .common import OWN
 
 ORDER, QUANTILE, FOLDS = 5, 0.99, 5
-CHUNK_CHARS, PIECE_CHARS = 24_000_000, 1 << 20
+CHUNK_CHARS, PIECE_CHARS = 32_000_000, 1 << 19
 #: Trusted ids are broadcast up to so many, and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 PAD = "\x02"
@@ -162,17 +163,23 @@ class Model:
             self.known[n] = stage(made.select("g", "p"), "probabilities")
 
     def log_probabilities(self, wanted: DataFrame) -> DataFrame:
-        """(g, lp) for the distinct n-grams of ``wanted``, by joins with the tables of each order."""
-        out = wanted.select("g").distinct().withColumn("q", F.lit(self.floor))
-        for n in range(1, self.order + 1):
+        """(g, lp) for the distinct n-grams of ``wanted``, by joins with the tables of each order.
+
+        An n-gram that an order knows is done; only the others go on to the next lower order, with the
+        weight that backing off has cost so far.
+        """
+        open_ = wanted.select("g").distinct().withColumn("w", F.lit(1.0))
+        done: DataFrame | None = None
+        for n in range(self.order, 0, -1):
             tail = F.right("g", F.lit(n))
-            known = self.known[n].select(F.col("g").alias("k"), "p")
-            back = self.back[n].select("h", "gamma")
-            out = (
-                out.withColumn("k", tail).join(known, "k", "left").withColumn("h", F.left(tail, F.lit(n - 1))).join(back, "h", "left")
-                .select("g", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("q"))
-            )
-        return out.select("g", F.log("q").alias("lp"))
+            met = open_.withColumn("k", tail).join(self.known[n].select(F.col("g").alias("k"), "p"), "k", "left")
+            met = stage(met.withColumn("h", F.left("k", F.lit(n - 1))).select("g", "w", "h", "p"), "looked_up")
+            found = met.where("p is not null").select("g", (F.col("w") * F.col("p")).alias("p"))
+            done = found if done is None else done.unionByName(found)
+            open_ = met.where("p is null").drop("p").join(self.back[n].select("h", "gamma"), "h", "left")
+            open_ = open_.select("g", (F.col("w") * F.coalesce("gamma", F.lit(1.0))).alias("w"))
+        done = done.unionByName(open_.select("g", (F.col("w") * self.floor).alias("p")))
+        return done.select("g", F.log("p").cast("float").alias("lp"))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -192,6 +199,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         yield _keyed(held)
 
 
+def _packed(table: pa.Table) -> bytes:
+    """A table in few bytes; matches may lie far apart, as copies do."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    near = zstandard.ZstdCompressionParameters.from_level(6, enable_ldm=True, window_log=25)
+    return zstandard.ZstdCompressor(compression_params=near).compress(sink.getvalue())
+
+
+def _unpacked(pack: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor(max_window_size=1 << 25).decompress(pack)).read_all()
+
+
 def _keyed(held: list[pa.RecordBatch]) -> tuple[int, pa.Table]:
     table, digest = pa.Table.from_batches(held), hashlib.sha256()
     for column in table.columns:
@@ -215,14 +235,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, chunk in _chunks(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, chunk.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([_packed(chunk)], pa.binary())], ["chunk", "pack"])
 
     wanted = rows.mapInArrow(needs, "chunk bigint, g string")
     found = wanted.join(model.log_probabilities(wanted), "g").select("chunk", "g", "lp", F.lit(None).cast("binary").alias("pack"))
-    held = rows.mapInArrow(packs, "chunk bigint, pack binary").select("chunk", F.lit(None).cast("string").alias("g"), F.lit(None).cast("double").alias("lp"), "pack")
+    held = rows.mapInArrow(packs, "chunk bigint, pack binary").select("chunk", F.lit(None).cast("string").alias("g"), F.lit(None).cast("float").alias("lp"), "pack")
     # equal chunks ask for their n-grams several times over: harmless, as answers are equal
     both = found.unionByName(held).repartition("chunk").sortWithinPartitions("chunk", F.col("pack").isNotNull())
 
@@ -241,7 +258,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     codes = _codes(_points("".join(names)).reshape(-1, order)) if names else np.empty(0, np.uint64)
                     codes, first = np.unique(codes, return_index=True)
                     logs, names = np.array(values, float)[first], []
-                table = pa.ipc.open_stream(pack).read_all()
+                table = _unpacked(pack)
                 texts = table.column(table.num_columns - 1).to_pylist()
                 nll = np.zeros(len(texts))
                 for windows, owner in _pieces(texts, order):

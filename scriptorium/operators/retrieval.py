@@ -29,8 +29,8 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float
     """
     n_query = max(1, -(-queries.count() // block_rows))
     n_item = max(1, -(-corpus.count() // block_rows))
-    left = queries.select(F.col("id").alias("qid"), F.col("vector").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_item - 1))).cast("long").alias("ib"))
-    right = corpus.select(F.col("id").alias("iid"), F.col("vector").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n_item)).alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).cast("long").alias("qb"))
+    left = queries.select(F.col("id").alias("qid"), F.col("vector").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_item - 1).cast("long"))).alias("ib"))
+    right = corpus.select(F.col("id").alias("iid"), F.col("vector").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n_item)).alias("ib"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"))
 
     def unit(column: pa.ChunkedArray) -> np.ndarray:
         m = np.array(column.to_pylist(), np.float64)
@@ -67,7 +67,11 @@ def bm25_top_k(docs: DataFrame, key: str, text: str, terms: list[str], k: int, k
     Only the terms asked for are counted, in place; two totals of the corpus are broadcast as one row.
     """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    counts = [F.size(F.filter(words, lambda w, t=t: w == t)).alias(f"tf{i}") for i, t in enumerate(terms)]
+
+    def count(term: str) -> Column:
+        return F.size(F.filter(words, lambda w: w == term))
+
+    counts = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
     base = docs.select(key, F.size(words).alias("n"), *counts)
     stats = base.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
