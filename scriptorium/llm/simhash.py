@@ -15,6 +15,10 @@ more than ``chunk_rows`` nodes is dealt out as pairs of chunks, so no task holds
 key.  A task links what it finds by union-find and emits at most one link per node, never all
 pairs, and skips blocks that are already one component; reachability is as if all pairs were emitted.
 
+``keep_first`` uses fingerprints only to find candidates, within a radius far beyond the one to expect.  The texts of
+each candidate group then meet once more, and a link counts only if the Jaccard similarity of the two shingle sets
+(as sets of 64-bit hashes) is reached.
+
 Defined results: texts without a word have the fingerprint zero, and link like any other; null
 texts are empty; repeated rows share a component; a null id is never the least id of a
 component unless all its ids are null; an empty table gives no rows.
@@ -22,7 +26,7 @@ component unless all its ids are null; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ from .components import components
 
 SEED = 42
 BLOCK, CHUNK_ROWS = 512, 16_384
+#: Characters of a candidate group that one chunk holds, and bytes that a task gathers before it compares.
+CHUNK_CHARS, HELD_BYTES = 8_000_000, 64_000_000
 
 
 def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
@@ -94,6 +100,44 @@ def fingerprint_column(text: Column, words: int = 3, words64: int = 1, n_minima:
     return arrow_udf(run, "bits binary, minima array<bigint>", ArrowUDFType.SCALAR_ITER)(text)
 
 
+def set_column(text: Column, words: int, words64: int, n_minima: int) -> Column:
+    """Struct of ``node``, a hash of the set of shingles, and the fingerprint and minimum hashes of that set."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            nodes, marks, keys = [], [], []
+            for t in batch.to_pylist():
+                h = np.unique(shingle_hashes(t or "", words))
+                nodes.append(xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), SEED) - (1 << 63))
+                marks.append(fingerprint(h, words64))
+                keys.append(minima(h, n_minima))
+            yield pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "bits", "minima"])
+
+    return arrow_udf(run, "node bigint, bits binary, minima array<bigint>", ArrowUDFType.SCALAR_ITER)(text)
+
+
+def alike(texts: list[str], words: int, similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whether text i has at least this Jaccard similarity of shingle sets with each of some others."""
+    sets: dict[int, np.ndarray] = {}
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.unique(shingle_hashes(texts[i] or "", words))
+        return sets[i]
+
+    def test(i: int, others: np.ndarray) -> np.ndarray:
+        own, more = of(i), [of(int(j)) for j in others]
+        if not len(own):
+            return np.array([not len(x) for x in more])
+        sizes = np.array([len(x) for x in more])
+        flat = np.concatenate(more)
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        shared = np.bincount(np.repeat(np.arange(len(more)), sizes), hit, len(more))
+        return shared + 1e-9 >= similarity * (len(own) + sizes - shared)
+
+    return test
+
+
 # --- bit-sliced comparison -------------------------------------------------------------------
 
 
@@ -157,8 +201,23 @@ class Union:
             found = up
 
 
-def link_groups(groups: np.ndarray, marks: np.ndarray, radius: int) -> np.ndarray:
-    """For rows sorted by group, the first row that each one is linked to within its group."""
+def link_verified(union: Union, near: np.ndarray, a: int, b: int, test: Callable[[int, np.ndarray], np.ndarray]) -> None:
+    """Joins the pairs of ``near`` (rows from a, lanes from b) that pass the test and are not yet connected."""
+    for i, lanes in enumerate(near, a):
+        left, size = b + np.flatnonzero(lanes), 4
+        left = left[left > i]
+        while len(left := left[union.roots(left) != union.find(i)]):
+            part, left = left[:size], left[size:]
+            for j in part[test(i, part)]:
+                union.join(i, int(j))
+            size *= 2
+
+
+def link_groups(groups: np.ndarray, marks: np.ndarray, radius: int, test: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For rows sorted by group, the first row that each one is linked to within its group.
+
+    With ``test``, only pairs that also pass it are links.
+    """
     n = len(groups)
     union = Union(n)
     starts = range(0, n, BLOCK)
@@ -182,6 +241,9 @@ def link_groups(groups: np.ndarray, marks: np.ndarray, radius: int) -> np.ndarra
             if near is None:
                 continue
             near &= groups[lo:end_a, None] == groups[None, b:end_b]
+            if test:
+                link_verified(union, near, lo, b, test)
+                continue
             left, right = union.roots(slice(lo, end_a)), union.roots(slice(b, end_b))
             was_left, was_right = left.copy(), right.copy()
             while True:  # least label through the links, until none changes
@@ -227,17 +289,22 @@ def near_links(nodes: DataFrame, radius: int, chunk_rows: int = CHUNK_ROWS) -> D
         keyed.groupBy("key").count().where(F.col("count") > chunk_rows).select("key", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks")), "hot_keys"
     )
     chunks = F.coalesce("chunks", F.lit(1))
-    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    return _links(keyed.join(hot, "key", "left").withColumn("chunks", chunks), radius)
+
+
+def _links(keyed: DataFrame, radius: int, verify: tuple[int, float] | None = None) -> DataFrame:
+    """Links (a, b) within each key of ``keyed`` (key, chunks, node, bits); ``verify``, words and similarity, also reads text."""
+    columns = ["node", "bits"] + ["text"] * (verify is not None)
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = (
-        keyed.join(hot, "key", "left")
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "bits")
+        keyed.withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), *columns)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        rows = 0
+        rows = size = 0
 
         def solve(part: pa.Table) -> pa.RecordBatch:
             node = part["node"].to_numpy()
@@ -252,14 +319,15 @@ def near_links(nodes: DataFrame, radius: int, chunk_rows: int = CHUNK_ROWS) -> D
             if not len(own):
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
             marks = np.frombuffer(b"".join(part["bits"].take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), -1)
-            root = link_groups(group[own], marks, radius)
+            test = alike(part["text"].take(pa.array(own)).to_pylist(), *verify) if verify else None
+            root = link_groups(group[own], marks, radius, test)
             linked = np.flatnonzero(root != np.arange(len(own)))
             return pa.RecordBatch.from_arrays([pa.array(node[own[linked]]), pa.array(node[own[root[linked]]])], ["a", "b"])
 
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
-            rows += batch.num_rows
-            if rows >= 1 << 17:
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= 1 << 17 or size >= HELD_BYTES:
                 whole = pa.concat_tables(held).combine_chunks()
                 last = [whole[c][-1].as_py() for c in ("key", "lo", "hi")]
                 same = np.logical_and.reduce([whole[c].to_numpy() == x for c, x in zip(("key", "lo", "hi"), last, strict=True)])
@@ -267,7 +335,7 @@ def near_links(nodes: DataFrame, radius: int, chunk_rows: int = CHUNK_ROWS) -> D
                 if cut:
                     yield solve(whole.slice(0, cut))
                 held = [whole.slice(cut)]
-                rows = whole.num_rows - cut
+                rows, size = whole.num_rows - cut, held[0].nbytes
         if rows:
             yield solve(pa.concat_tables(held).combine_chunks())
 
@@ -291,25 +359,46 @@ def near_components(marked: DataFrame, radius: int, blocks: str = "bands", chunk
     return marked.withColumn("node", word).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def radius_of(similarity: float, bits: int, margin: float = 1.0) -> int:
+def radius_of(similarity: float, bits: int, margin: float = 6.0) -> int:
     """Differing bits to expect of two shingle sets of this Jaccard similarity, and ``margin`` standard deviations more."""
     share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
     return int(round(bits * share + margin * np.sqrt(bits * share * (1 - share))))
 
 
+def verified_links(candidates: DataFrame, docs: DataFrame, radius: int, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all pairs of one candidate group within the radius whose shingle sets are alike.
+
+    ``candidates``: key (the group), node, bits, chars, row; ``docs``: row, text.  A group's texts are shuffled once;
+    one with more characters than a chunk holds is dealt out as pairs of chunks.
+    """
+    size = candidates.groupBy("key").agg(F.ceil(F.sum("chars") / CHUNK_CHARS).cast("int").alias("chunks"))
+    size = stage(size.where("chunks > 1"), "large_groups")
+    wanted = candidates.join(size, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    # repeated rows have equal texts; one stays
+    found = wanted.join(docs, "row").groupBy("key", "chunks", "node", "bits").agg(F.min("text").alias("text"))
+    return _links(found, radius, (words, similarity))
+
+
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, words64: int = 8, n_minima: int = 8) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one of least id (null ids last).
 
-    Groups are components of fingerprints of ``64 * words64`` bits within the radius that the
-    similarity of word shingles implies, in blocks of equal minimum hashes: with a similarity of 0.8, eight
-    minima all differ with a probability below 3e-6.  Rows equal in id and text are one document.
+    Groups are components of the pairs whose sets of word shingles have this Jaccard similarity.  Candidates are
+    fingerprints of ``64 * words64`` bits within six standard deviations of the distance that the similarity implies, in
+    blocks of equal minimum hashes: with a similarity of 0.8, eight minima all differ with a probability below
+    3e-6.  Candidates are then verified on their shingles.  Rows equal in id and text are one document.
     """
-    key = F.xxhash64("doc_id", "text")
-    marked = docs.select("doc_id", key.alias("row"), fingerprint_column(F.col("text"), words, words64, n_minima).alias(OWN + "f"))
-    marked = stage(marked.select("doc_id", "row", OWN + "f.*"), "fingerprints")
-    found = near_components(marked, radius_of(similarity, 64 * words64), "minima")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
-    kept = stage(first.select(F.col("first.row").alias(OWN + "row")).distinct(), "kept")
+    key, radius = F.xxhash64("doc_id", "text"), radius_of(similarity, 64 * words64)
+    marked = docs.select("doc_id", key.alias("row"), F.length("text").alias("chars"), set_column(F.col("text"), words, words64, n_minima).alias(OWN + "f"))
+    marked = stage(marked.select("doc_id", "row", "chars", OWN + "f.*"), "fingerprints")
+    # equal sets are one node, of which the first document stands for all
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "chars"))
+    nodes = stage(marked.groupBy("node").agg(F.min("bits").alias("bits"), F.min("minima").alias("minima"), first.alias("first")), "nodes")
+    keys = F.transform("minima", lambda k, i: F.xxhash64(i, k))
+    near = components(near_links(nodes.select("node", "bits", keys.alias("keys")), radius))
+    candidates = stage(nodes.join(near, "node").select(F.col("root").alias("key"), "node", "bits", "first.chars", "first.row"), "candidates")
+    roots = components(verified_links(candidates, docs.select(key.alias("row"), "text"), radius, words, similarity))
+    found = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = stage(found.select(F.col("first.row").alias(OWN + "row")).distinct(), "kept")
     own = docs.withColumn(OWN + "row", key).join(kept, OWN + "row", "left_semi")
     return own.dropDuplicates([OWN + "row"]).select(docs.columns)
 

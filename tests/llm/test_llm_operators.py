@@ -193,6 +193,32 @@ def test_near_dedup_keeps_first_of_each_group(spark):
     assert got == set(range(20))
 
 
+def test_near_dedup_holds_to_the_similarity(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK_CHARS", 1_500, raising=False)  # groups are dealt out as chunks too
+    rng, rows, want = np.random.default_rng(5), [], set()
+    words = [f"w{k}" for k in range(5000)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    seen = Counter()
+    for k in range(480):
+        base = list(rng.choice(words, 200))
+        near = list(base)
+        for at in rng.choice(np.arange(5, 195, 6), 2 + k % 6, replace=False):  # similarities from 0.90 to 0.70
+            near[at] = f"x{at}"
+        a, b = shingles(base), shingles(near)
+        rows += [(k, " ".join(base), "en", "s", 1), (1000 + k, " ".join(near), "en", "s", 1)]
+        alike = len(a & b) >= 0.8 * len(a | b)
+        want |= {k} if alike else {k, 1000 + k}
+        seen[alike] += 1
+    assert min(seen.values()) >= 200
+    assert {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_equal_shingle_sets_meet_whatever_their_counts(spark):
+    line = "one two three four five six seven eight nine ten "
+    rows = [(1, line * 2, "en", "s", 1), (2, line * 9, "en", "s", 1), (3, "", "en", "s", 1), (4, None, "en", "s", 1), (5, "a b", "en", "s", 1)]
+    assert {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()} == {1, 3, 5}
+
+
 # --- 5 ---------------------------------------------------------------------------------------------
 
 
