@@ -157,6 +157,16 @@ def pr15(spark, sf):
     return docs.select("doc_id", r["score"].cast("long").alias("score"))
 
 
+@query("pr15_relevance_all", """select doc_id, 5 * i + 8 * p - 7 * e - case when i = 0 and p = 0 then 5 else 0 end + 2 * cast(coalesce(contains(source, '1'), false) as int) - case when len(ls) = 0 or (len(ls) = 1 and starts_with(ls[1], '#')) or (len(ls) <= 2 and len(list_filter(ls, lambda x: length(x) > 20 or contains(x, '.'))) = 0) then 20 else 0 end as score
+from (select doc_id, source, ls, len(list_filter(['hation', 'erthe'], lambda k: contains(t, k))) as i, len(list_filter(['ingth', 'ment'], lambda k: contains(t, k))) as p, len(list_filter(['keit'], lambda k: contains(t, k))) as e
+from (select doc_id, source, regexp_replace(coalesce(source, '') || coalesce(text, ''), '\\s+', '', 'g') as t, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as ls from documents))""")
+def pr15_all(spark, sf):
+    # every document, so that the rule on headings acts
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    r = R.relevance(F.lit(""), F.col("source"), F.col("text"), words("hation", "erthe"), words("ingth", "ment"), words("keit"), "1")
+    return table(spark, sf, "documents").select("doc_id", r["score"].cast("long").alias("score"))
+
+
 @query("pr28_queries", "select doc_id, len(list_distinct(list_filter([source, case when lang = 'en' then source || ' law' end, case when n_chars > 2000 then source || ' long' end, lang], lambda x: x is not null))) as n_queries from documents")
 def pr28(spark, sf):
     made = R.targeted_queries(F.col("source"), [(F.col("lang") == "en", F.concat("source", F.lit(" law"))), (F.col("n_chars") > 2000, F.concat("source", F.lit(" long")))], F.col("lang"), "law")

@@ -1,9 +1,13 @@
 """Hand-made expectations for rules, lines, chunks and evidence."""
 
+import hashlib
+import re
+
 from scriptorium.operators import lines as L
 from scriptorium.operators import retrieval as R
 from scriptorium.operators import rules as U
 from scriptorium.operators import segments as S
+from scriptorium.plans import catalog
 
 
 def test_levels_by_relation(spark):
@@ -38,3 +42,56 @@ def test_chunks_keep_all_text(spark):
     rows = S.chunk_markdown(spark.createDataFrame([("1", text)], "doc_id string, text string"), "doc_id", "text").collect()
     joined = " ".join(r.chunk for r in rows)
     assert len(rows) > 5 and all(f" {k}" in joined for k in range(30))
+
+
+def brute_blocks(text):
+    out, buf, fence = [], [], False
+    table = lambda line: line.count("|") >= 2
+    for line in text.split("\n"):
+        mark = re.match(r"\s*```", line)
+        if not fence and buf and (mark or not line.strip(" ") or table(line) != table(buf[-1])):
+            out, buf = [*out, "\n".join(buf)], []
+        if fence or mark or line.strip(" "):
+            buf.append(line)
+        if mark:
+            fence = not fence
+            if not fence:
+                out, buf = [*out, "\n".join(buf)], []
+    return out + ["\n".join(buf)] * bool(buf)
+
+
+ODD_TEXTS = [
+    None, "", "# Head", "Plain head", "no full stop\nsecond", "ends.\nsecond", "# Head\ntext of more than twenty characters", "a\n\nb\n \nc",
+    "before\n| a | b |\n|---|---|\n| 1 | 2 |\nafter", "one | pipe\nmore", "text\n```py\nx = 1\n\n| y | z |\n```\ntail", "```\nnever closed\n\n| a | b |", "```\na\n```\n```\nb\n```",
+]
+
+
+def whole_table(spark, tmp_path, name):
+    """The query on the documents of sf0.001 and odd ones, and the texts by id."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = spark.createDataFrame([(900_000 + k, t, "en", "s1", len(t or "")) for k, t in enumerate(ODD_TEXTS)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.unionByName(more.select([more[c].cast(docs.schema[c].dataType) for c in docs.columns])).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    return {r.doc_id: r for r in catalog.queries()[name](spark, str(tmp_path)).collect()}, {r.doc_id: r for r in rows.collect()}
+
+
+def test_blocks_of_all_documents(spark, tmp_path):
+    got, docs = whole_table(spark, tmp_path, "ch2_blocks_all")
+    assert set(got) == set(docs) and any("```" in (d.text or "") for d in docs.values())
+    for k, d in docs.items():
+        want = brute_blocks(d.text or "")
+        assert (got[k].n_blocks, got[k].md5) == (len(want), hashlib.md5("\x1f".join(want).encode()).hexdigest()), d.text
+
+
+def test_relevance_of_all_documents(spark, tmp_path):
+    got, docs = whole_table(spark, tmp_path, "pr15_relevance_all")
+    assert set(got) == set(docs)
+    bare = 0
+    for k, d in docs.items():
+        lines = [x.strip(" ") for x in (d.text or "").split("\n") if x.strip(" ")]
+        heading = not lines or (len(lines) == 1 and lines[0].startswith("#")) or (len(lines) <= 2 and all(len(x) <= 20 and "." not in x for x in lines))
+        t = re.sub(r"\s+", "", (d.source or "") + (d.text or ""))
+        i, p, e = (sum(w in t for w in words) for words in (("hation", "erthe"), ("ingth", "ment"), ("keit",)))
+        assert got[k].score == 5 * i + 8 * p - 7 * e - 5 * (i + p == 0) + 2 * ("1" in (d.source or "")) - 20 * heading, d.text
+        bare += heading
+    assert bare >= 5
