@@ -20,6 +20,11 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def cosine_at_least(queries: DataFrame, corpus: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, item_id, score): all items whose cosine is at or above the threshold, however many they are."""
+    return _compared(queries, corpus, None, threshold, block_rows)
+
+
 def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, item_id, score, rank): the k nearest items by cosine for each query.
 
@@ -27,6 +32,12 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float
     multiplies one block of queries with one of items and keeps k per query, so what is shuffled
     back is blocks x k.  An item is not compared with a query of its own id.  Vectors of length zero score 0.
     """
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return _compared(queries, corpus, k, threshold, block_rows).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _compared(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: float | None, block_rows: int) -> DataFrame:
+    """(query_id, item_id, score) of each pair of blocks: the k nearest items of each query, or all for None."""
     n_query = max(1, -(-queries.count() // block_rows))
     n_item = max(1, -(-corpus.count() // block_rows))
     left = queries.select(F.col("id").alias("qid"), F.col("vector").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_item - 1).cast("long"))).alias("ib"))
@@ -50,9 +61,7 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float
             out += [(int(qid[i]), int(iid[j]), float(row[j])) for j in best if row[j] > -np.inf and (threshold is None or row[j] >= threshold)]
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()), strict=True)], schema=schema)
 
-    found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(compare, "query_id long, item_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(compare, "query_id long, item_id long, score double")
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -214,6 +214,13 @@ def dg3(spark, sf):
     return R.cosine_top_k(rows.where("id % 50 = 0"), rows, 60, threshold=0.2).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
+@query("dg3_cosine_threshold_all", """with e as (select vec_id, embedding::double[] as v from embeddings) select q.vec_id as query_id, count(*) as n from e q, e c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and round(list_dot_product(q.v, c.v) / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v)), 0), 9) >= 0.2 group by q.vec_id""")
+def dg3_all(spark, sf):
+    # a plain filter, without the rank that dg3_cosine_threshold keeps
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return R.cosine_at_least(rows.where("id % 50 = 0"), rows, 0.2).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
 @query("rt1_lexical", """with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '') as w from documents), c as (select doc_id, len(w) as n, len(list_filter(w, lambda x: x = 'hation')) as a, len(list_filter(w, lambda x: x = 'erthe')) as b from w),
 s as (select count(*) as docs, avg(n) as mean, count(*) filter (where a > 0) as da, count(*) filter (where b > 0) as db from c),
 x as (select doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) as score from c, s)

@@ -95,3 +95,11 @@ def test_relevance_of_all_documents(spark, tmp_path):
         assert got[k].score == 5 * i + 8 * p - 7 * e - 5 * (i + p == 0) + 2 * ("1" in (d.source or "")) - 20 * heading, d.text
         bare += heading
     assert bare >= 5
+
+
+def test_threshold_search_has_no_cap(spark):
+    rows = spark.createDataFrame([(k, [1.0, k / 400]) for k in range(200)] + [(200 + k, [0.0, -1.0]) for k in range(20)], "id long, vector array<double>")
+    got = R.cosine_at_least(rows.where("id % 50 = 0"), rows, 0.2, block_rows=32).collect()
+    want = {(q, k) for q in (0, 50, 100, 150) for k in range(200) if k != q} | {(200, k) for k in range(201, 220)}
+    assert {(r.query_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert R.cosine_top_k(rows.where("id = 0"), rows, 60, threshold=0.2).count() == 60
