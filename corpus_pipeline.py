@@ -41,7 +41,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one repeats."""
-    return line_dedup.dedup_lines(docs, count=OWN + "removed").select(docs.columns)
+    return line_dedup.dedup_lines(docs, count=OWN + "removed", short_copies=True).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A line of at least ``min_chars`` characters goes if an earlier line (by document id, then
 position) is equal to it or one insertion, deletion or substitution away; the earliest stays.
-Shorter lines are never touched, since short lines meet by chance.
+Shorter lines are not compared within one edit, since short lines meet by chance.  With ``short_copies`` a
+shorter line goes too if an earlier one is equal to it and it is not blank; without, it is never touched.
 
 Equal lines meet by hash: the earliest place of each is a partial aggregate, so a line that fills a third
 of the corpus is one row per task.  Near lines meet in these steps:
@@ -42,12 +43,16 @@ def document_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(hash, place, line) of lines with at least ``min_chars`` characters; places are in order of precedence."""
+def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
+    """(hash, place, line) of lines with at least ``min_chars`` characters; places are in order of precedence.
+
+    With ``short_copies``, all lines that are not blank.
+    """
     key = document_key(F.col("doc_id"), F.col("text"))
     lines = docs.select("doc_id", key.alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "doc", "line_no")
-    return lines.where(F.length("line") >= min_chars).select(F.xxhash64("line").alias("hash"), place.alias("place"), "line")
+    long = F.length("line") >= min_chars
+    return lines.where(long | F.col("line").rlike(r"(?U)\S") if short_copies else long).select(F.xxhash64("line").alias("hash"), place.alias("place"), "line")
 
 
 def _stretch(n: Column) -> Column:
@@ -120,10 +125,10 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return pairs.join(a, "hash").join(b, "partner").where(F.levenshtein("a", "b", 1) >= 0).select("hash").distinct()
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """(doc, gone): the numbers of the lines that go, for each document that loses some."""
     lines = long_lines(docs, min_chars)
-    places = lines.select("hash", "place")
+    places = long_lines(docs, min_chars, short_copies).select("hash", "place")
     first = stage(places.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first"), "repeated_lines")
     again = places.join(first, "hash").where("place <> first").select("place")
     near = stage(near_lines(lines), "near_lines")
@@ -131,9 +136,12 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return gone.groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set("place.line_no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, count: str = "n_removed") -> DataFrame:
-    """``docs`` without lines that an earlier one repeats within one edit; their number is added as ``count``."""
-    gone = stage(removed_lines(docs.select("doc_id", "text"), min_chars), "removed").select(F.col("doc").alias(OWN + "doc"), F.col("gone").alias(OWN + "gone"))
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, count: str = "n_removed", short_copies: bool = False) -> DataFrame:
+    """``docs`` without lines that an earlier one repeats within one edit; their number is added as ``count``.
+
+    ``short_copies``: lines below ``min_chars`` go if an earlier one is equal to them.
+    """
+    gone = stage(removed_lines(docs.select("doc_id", "text"), min_chars, short_copies), "removed").select(F.col("doc").alias(OWN + "doc"), F.col("gone").alias(OWN + "gone"))
     joined = docs.drop(count).withColumn(OWN + "doc", document_key(F.col("doc_id"), F.col("text"))).join(gone, OWN + "doc", "left")
     numbers = F.col(OWN + "gone")
     left = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(numbers, i))
@@ -147,5 +155,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, count: str = "n_rem
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """One row per document: id, the text that is left, its length, and how many lines went."""
-    left = dedup_lines(docs.select("doc_id", "text"))
+    left = dedup_lines(docs.select("doc_id", "text"), short_copies=True)
     return left.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"), F.col("n_removed").cast("long").alias("n_removed"))

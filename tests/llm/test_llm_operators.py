@@ -258,6 +258,23 @@ def test_line_dedup_matches_brute_force(spark, texts):
     assert {r.doc_id: r.text for r in got} == want
 
 
+def test_short_lines_go_as_exact_copies(spark, texts):
+    rows = [(k, t) for k, t in texts.items() if t is not None] + [(10_001, "All rights reserved.\n\nown\n \nAll rights reserved"), (10_002, "All rights reserved.\n\nown\n \nown.")]
+    left = {r.doc_id: r for r in line_dedup.line_digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    long = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    seen, gone = set(), 0
+    for k, _ in sorted(rows):
+        kept = []
+        for line in long[k].split("\n"):  # longer lines are compared in the test above
+            if line.strip() and len(line) < 40 and line in seen:
+                gone += 1
+            else:
+                kept.append(line)
+            seen.add(line)
+        assert left[k].text_sha256 == hashlib.sha256("\n".join(kept).encode()).hexdigest()
+    assert kept == ["", " ", "own."] and gone > 2
+
+
 # --- 6 ---------------------------------------------------------------------------------------------
 
 
