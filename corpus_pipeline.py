@@ -35,7 +35,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose lines are content for the most part."""
-    field = line_crf.fit_from_labels(docs, table(spark, sf_dir, "labels"))
+    # fitted on the whole table, as the classifier has already removed most labelled boilerplate from docs
+    field = line_crf.fit_from_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return docs.withColumn(OWN + "q", line_crf.quality_column(F.col("text"), field)).where(F.col(OWN + "q")["kept"]).drop(OWN + "q")
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
+from ..staging import stage
 from .common import annotate, struct_of
 
 MAX_FIT_DOCS, MAX_FIT_LINES = 1500, 60
@@ -188,6 +189,8 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_
 
     described = arrow_udf(describe, "array<double>", ArrowUDFType.SCALAR_ITER)
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    # only documents that are there take part in the choice
+    marked = stage(marked.join(docs.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi"), "labelled")
     data = []
     for quality in (0, 1):
         # a bounded list of ids first, so that the texts are only scanned and filtered

@@ -321,6 +321,13 @@ def test_viterbi_is_the_best_labelling():
         assert worth([int(x) for x in field.decode(rows)]) == pytest.approx(max(worth(y) for y in itertools.product((0, 1), repeat=6)))
 
 
+def test_fit_samples_labelled_documents_that_are_there(spark, monkeypatch):
+    monkeypatch.setattr(line_crf, "fit", lambda data: data)
+    docs = spark.createDataFrame([(k, f"text number {k} of some words") for k in range(90, 100)] + [(200, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(300)], "doc_id bigint, quality int, toxic int")
+    assert Counter(label for _, label in line_crf.fit_from_labels(docs, labels, max_fit_docs=4)) == {0: 4, 1: 4}
+
+
 # --- 8 ---------------------------------------------------------------------------------------------
 
 

@@ -21,6 +21,14 @@ def test_stages_take_effect_and_keep_columns(spark):
     assert {r[0] for r in made.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
 
 
+def test_quality_rules_fit_on_the_whole_table(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(corpus_pipeline.line_crf, "fit_from_labels", lambda docs, labels: given.append(docs.count()) or corpus_pipeline.line_crf.Field())
+    docs = table(spark, DATA, "documents")
+    corpus_pipeline.quality_rules(spark, docs.limit(3), DATA)
+    assert given == [docs.count()]
+
+
 def test_stages_on_empty_and_null_rows(spark):
     columns = table(spark, DATA, "documents").schema
     rows = spark.createDataFrame([(1, None, None, None, None), (None, "x " * 80, None, None, 160), (2, "", "en", "s", 0)], columns)
