@@ -5,22 +5,25 @@ elements with the same path of tags and classes.  Its presentation importance is
 the child layouts that pages show there; its content importance is one less the mean normalised
 entropy of its blocks' texts over the pages (a text on all pages says nothing, a text on one
 page is its content).  Both are combined with damping by the number of layouts.  Branches whose
-importance is low on enough pages are removed from each page of the host.  Elements whose tag, role
-or class says that they are no article (menus, footers, adverts, forms, comments and so on) have
-no importance whatever their texts, since such texts also vary between pages.
+importance is low on enough pages are removed from each page of the host.  All that is shown is in the tree.
+
+Elements whose tag, role or class says that they are no article (menus, footers, adverts, forms, comments and so
+on) are suspects: a prior on each page, since such texts also vary between pages.  The prior removes a suspect unless
+it holds a main element, an article longer than all text outside suspects, or most of the page's text.
 
 Statistics are partial aggregates over (host, path, text hash), so a host with a third of all
 pages is added up in every task; only the short list of a host's low branches joins the pages.
 
 Defined results: null and empty pages have the text ``""``; a page without url has the host
-``""``; a page of which the tree would leave nothing keeps its blocks; where articles (else a main element) hold text, only they
-count.  White space in a block becomes one space, blocks are joined by one space.
+``""``; a page of which the tree would leave nothing keeps its blocks; where articles hold half of the text that is left, only
+they count, else only a main element that holds text.  White space in a block becomes one space, blocks are joined by one space.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,14 +41,17 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: No importance by tag, by role, and by words of class or id.
-TAGS = frozenset("nav footer aside form script style noscript template button select textarea iframe svg dialog menu head object embed canvas audio video fieldset noframes noembed xmp title".split())
+#: Never shown as text of the page.
+UNSEEN = frozenset("script style noscript template select textarea iframe svg head object embed canvas audio video noframes noembed xmp title".split())
+#: Suspects by tag, by role, and by words of class or id; words behind a MODIFIER tell of a state and not of the element.
+TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner banners sponsor sponsored sponsors promo promos promotion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup comment comments commentlist respond reply replies disqus "
     "related recommended recommendations share sharing social widget widgets toolbar pagination pager login search masthead topbar".split()
 )
+MODIFIER = re.compile(r"(?:no|not|has|with|without|is|show|hide)-")
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tbody",)}
 _SCOPES = frozenset("ul ol dl table select div article section main body".split())
@@ -55,18 +61,22 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(raw)}
 
 
-def _useless(tag: str, given: dict[str, str], in_article: bool) -> bool:
+def _words(value: str) -> set[str]:
+    return {w for part in value.lower().split() if not MODIFIER.match(part) for w in re.split(r"[^a-z0-9]+", part)}
+
+
+def _suspect(tag: str, given: dict[str, str], in_article: bool) -> bool:
     if tag in TAGS:
         return True
     if tag in ("html", "body", "article", "main"):
-        return bool(WORDS & {"comment", "comments"} & set(re.split(r"[^a-z0-9]+", given.get("class", "").lower()))) if tag == "article" else False
+        return bool({"comment", "comments"} & _words(given.get("class", ""))) if tag == "article" else False
     if tag == "header" and not in_article:
         return True
     if given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true":
         return True
     if re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
         return True
-    words = set(re.split(r"[^a-z0-9]+", f"{given.get('class', '')} {given.get('id', '')}".lower()))
+    words = _words(f"{given.get('class', '')} {given.get('id', '')}")
     return bool(words & WORDS) or ("header" in words and not in_article)
 
 
@@ -76,25 +86,24 @@ def _label(tag: str, given: dict[str, str]) -> str:
     return re.sub(r"[/\s]", "_", tag + "".join("." + w for w in words) + ("#" + ident if ident else ""))
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
-    """(path, text) of each block in page order, and the labels of the children of each path.
-
-    Elements without importance by themselves, and all in them, are left out.
-    """
-    out: list[tuple[str, str]] = []
+def blocks(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, list[str]]]:
+    """(path, text, whether the prior removes it) of each block in page order, and the labels of the children of each path."""
+    found: list[tuple[str, str, tuple[int, ...], int]] = []  # path, text, suspects around it, article around it
     children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, useless, in an article
+    # tag, path, unseen, in an article, suspects around, outermost article
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...], int]] = [("", "", False, False, (), 0)]
+    number, spared, articles = 0, set(), {}
     pending: list[str] = []
 
     def flush() -> None:
         if pending:
             text = " ".join(html.unescape("".join(pending)).split())
             if text:
-                out.append((stack[-1][1], text))
+                found.append((stack[-1][1], text, stack[-1][4], stack[-1][5]))
             pending.clear()
 
     def pop(at: int) -> None:
-        if any(s[0] not in INLINE for s in stack[at:]):
+        if any(s[0] not in INLINE for s in stack[at:]) or stack[-1][4] != stack[at - 1][4]:
             flush()
         del stack[at:]
 
@@ -108,17 +117,17 @@ def blocks(page: str) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
 
     at, size, lower = 0, len(page), None
     while at < size:
-        found = _TAG.search(page, at)
-        end = found.start() if found else size
+        mark = _TAG.search(page, at)
+        end = mark.start() if mark else size
         if end > at and not stack[-1][2]:
             pending.append(page[at:end])
-        if not found:
+        if not mark:
             break
-        at = found.end()
-        tag = found[2] or found[5]
+        at = mark.end()
+        tag = mark[2] or mark[5]
         if not tag:
             continue
-        tag, closing, raw = tag.lower(), found[1] or found[4], (found[3] if found[2] else found[6]) or ""
+        tag, closing, raw = tag.lower(), mark[1] or mark[4], (mark[3] if mark[2] else mark[6]) or ""
         if closing:
             if tag == "br":
                 pending.append(" ")
@@ -139,17 +148,26 @@ def blocks(page: str) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
             continue
         given = _attributes(raw) if raw.strip(" /\n\t") else {}
         inside = stack[-1][3] or tag in ("article", "main")
-        useless = stack[-1][2] or _useless(tag, given, stack[-1][3])
+        unseen, around, article = stack[-1][2] or tag in UNSEEN, stack[-1][4], stack[-1][5]
+        number += 1
+        suspect = not unseen and _suspect(tag, given, stack[-1][3])
+        own = (*around, number) if suspect else around
+        if tag == "main":
+            spared.update(own)
+        if tag == "article" and not article and not suspect:
+            article, articles[number] = number, own
         if tag in INLINE:
-            stack.append((tag, stack[-1][1], useless, inside))
+            if suspect:
+                flush()
+            stack.append((tag, stack[-1][1], unseen, inside, own, article))
         else:
             flush()
             above = stack[-1][1]
             label = _label(tag, given)
             path = f"{above}/{label}"
-            if not useless:
+            if not unseen:
                 children.setdefault(above, []).append(label)
-            stack.append((tag, path, useless, inside))
+            stack.append((tag, path, unseen, inside, own, article))
         if tag in RAW:
             if lower is None:
                 lower = page.lower()
@@ -158,19 +176,35 @@ def blocks(page: str) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
             close = lower.find(f"</{tag}", at)
             at = close if close >= 0 else size
     flush()
-    return out, children
+    held, told = Counter(), Counter()
+    for _, text, around, article in found:
+        told[article] += len(text)
+        for k in around:
+            held[k] += len(text)
+    total, free = sum(told.values()), sum(len(text) for _, text, around, _ in found if not around)
+    spared.update(k for k, n in held.items() if 2 * n > total)
+    for k, around in articles.items():
+        if told[k] > free:
+            spared.update(around)
+    return [(path, text, not spared.issuperset(around)) for path, text, around, _ in found], children
+
+
+def _in(path: str, scope: str) -> bool:
+    return any(p.split(".")[0].split("#")[0] == scope for p in path.split("/"))
 
 
 def main_text(page: str, low: frozenset[str] | set[str] = frozenset()) -> str:
     """The text of the page without branches of low importance."""
-    found, _ = blocks(page)
-    for scope in ("article", "main"):
-        inner = [b for b in found if any(p.split(".")[0].split("#")[0] == scope for p in b[0].split("/"))]
-        if inner:
-            found = inner
-            break
+    every, _ = blocks(page)
+    found = [(path, text) for path, text, gone in every if not gone]
     kept = [b for b in found if not any(b[0] == p or b[0].startswith(p + "/") for p in low)] if low else found
-    return " ".join(text for _, text in (kept or found))
+    kept = kept or found
+    for scope, share in (("article", 0.5), ("main", 0)):
+        inner = [b for b in kept if _in(b[0], scope)]
+        if inner and sum(len(b[1]) for b in inner) >= share * sum(len(b[1]) for b in kept):
+            kept = inner
+            break
+    return " ".join(text for _, text in kept)
 
 
 def host(url: Column) -> Column:
@@ -183,8 +217,8 @@ _STATS = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feat
 def _page_stats(page: str) -> list[dict]:
     """Once per page: each path with blocks (kind 0), its block texts (1) and child layouts (2)."""
     found, children = blocks(page)
-    rows = {(p, 0, 0) for p, _ in found}
-    rows |= {(p, 1, xxhash.xxh64_intdigest(t) - (1 << 63)) for p, t in found}
+    rows = {(p, 0, 0) for p, _, _ in found}
+    rows |= {(p, 1, xxhash.xxh64_intdigest(t) - (1 << 63)) for p, t, _ in found}
     for path, labels in children.items():
         runs = [a for a, b in zip(labels, [None, *labels], strict=False) if a != b]
         rows.add((path, 2, xxhash.xxh64_intdigest(" ".join(runs)) - (1 << 63)))

@@ -81,6 +81,23 @@ def test_site_style_drops_repeated_branches(spark):
     assert got == {k: f"Story {k} is & was told in {k} parts twice" for k in range(12)}
 
 
+def test_site_style_keeps_content_in_suspect_wrappers(spark):
+    story = "A long story of many words that is the content of this page. " * 3
+    pages = {
+        1: f"<body><div class='layout no-sidebar'><nav>menu</nav><article><p>{story}</p></article></div></body>",
+        2: f"<body><div class='sidebar-layout'><div class='menu'>menu</div><article><p>{story}</p></article></div></body>",
+        3: f"<body><form id='f'><div><p>{story}</p></div></form><footer>foot</footer></body>",
+        4: f"<body><div class='text'><p>{story}</p></div><article>card one</article><article>card two</article></body>",
+        5: f"<body><article><p>{story}</p></article><div class='comments'>first!</div><span class='share'>Share</span></body>",
+    }
+    cards = {4: " card one card two"}
+    rows = spark.createDataFrame([(k, f"http://h{k}.x/", v) for k, v in pages.items()], "page_id int, url string, html string")
+    assert {r.page_id: r.text for r in site_style.page_texts(rows).collect()} == {k: story.strip() + cards.get(k, "") for k in pages}
+    many = spark.createDataFrame([(f"http://h.x/{k}", "<body><nav>home</nav><p>own %d</p></body>" % k) for k in range(9)], "url string, html string")
+    tree = {r.path: r.importance for r in site_style.style_tree(many).collect()}
+    assert tree["/body/nav"] < 0.11 < tree["/body/p"]
+
+
 # --- 2 ---------------------------------------------------------------------------------------------
 
 
