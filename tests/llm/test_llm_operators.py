@@ -110,6 +110,19 @@ def test_held_out_languages(spark):
     assert all(v == (zlib.crc32(str(k).encode()) % 5 == 0) for k, v in held.items())
 
 
+def test_a_mixture_of_four_languages_keeps_all():
+    rng, names = np.random.default_rng(6), ["a", "b", "c", "d", "e"]
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy"]
+    say = lambda k, n: " ".join("".join(rng.choice(list(letters[k]), 6)) for _ in range(n))
+    counts = np.zeros((language_mixture.CELLS, 5))
+    for k in range(5):
+        counts[:, k] = np.bincount(language_mixture._cells(language_mixture._points(f" {say(k, 3000)} "))[0], minlength=language_mixture.CELLS)
+    table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * language_mixture.CELLS)).astype(np.float32)
+    for n in range(1, 6):
+        langs, shares = language_mixture.mixtures([" ".join(say(k, 60) for k in range(n))], table)[0]
+        assert {names[i] for i in langs} == set(names[:n]) and shares.sum() == pytest.approx(1, abs=0.01)
+
+
 # --- 3 ---------------------------------------------------------------------------------------------
 
 
