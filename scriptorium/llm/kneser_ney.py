@@ -1,128 +1,110 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model is over characters (order 5 by default, with marks before each text), so that its count tables
-suit every language in one model and stay far smaller than the text.  All counts,
-continuation counts, discounts and back-off weights are DataFrame aggregations and joins over
-all trusted text.
+The model is over the bytes of UTF-8 (order 5 by default, with a mark that no text holds before each text), so its
+tables suit every language in one model, and an n-gram is a long: its context is the value shifted by a
+byte, its suffix the value under a mask.  All counts, continuation counts, discounts and back-off weights
+are DataFrame aggregations and joins over all trusted text.
 
-Scoring never moves the model to the text whole.  Tasks cut their documents into chunks of
-bounded size and emit the distinct n-grams of each chunk; these are joined with the count
-tables, sharded by n-gram, and the resulting log probabilities meet the (compressed) chunk again under its key.
-The n-grams gathered grow with the chunks and so with the input.
+Scoring reads each text once.  Tasks cut their documents into chunks of bounded size and write, for each
+chunk, its distinct n-grams and its compressed rows, in buckets of the chunk's key.  The n-grams are joined with the
+count tables, sharded by n-gram, and the resulting log probabilities meet the stored chunk again in its bucket; the
+texts themselves are never shuffled.  The n-grams gathered grow with the chunks and so with the input.
 
-A document is kept unless its perplexity is above the given quantile of trusted documents of its
+A document is kept unless its perplexity (per byte) is above the given quantile of trusted documents of its
 language (of all of them, where a language has none).  The quantiles are taken over the fifth of
 trusted documents (by a hash of the id) that the counts leave out, as a text's own counts would
-make its perplexity too low.
+make its perplexity too low.  A perplexity equal to the threshold is kept.
 
 Defined results: null and empty texts have no perplexity and are not kept; a null ``lang`` is a
 language of its own; a label whose id is null or unknown is ignored; repeated rows get equal results; with no
-trusted text at all the model is uniform, there is no threshold, and every text with a character is kept.
+trusted text at all the model is uniform, there is no threshold, and every text with a byte is kept.
 """
 
 from __future__ import annotations
 
-import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import stage, stage_bucketed
 from .common import OWN
 
 ORDER, QUANTILE, FOLDS = 5, 0.99, 5
-CHUNK_CHARS, PIECE_CHARS = 32_000_000, 1 << 19
+#: Bytes of text in a chunk (one longer text is a chunk of its own) and n-grams that are handled at once.
+CHUNK_BYTES, BLOCK = 32_000_000, 1 << 20
 #: Trusted ids are broadcast up to so many, and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
-PAD = "\x02"
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-
-
-def _codes(windows: np.ndarray) -> np.ndarray:
-    """A 64-bit code for each row of code points."""
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(windows), np.uint64)
-        for k in range(windows.shape[1]):
-            h = (h ^ windows[:, k].astype(np.uint64)) * _ODD[k % len(_ODD)]
-            h ^= h >> np.uint64(29)
-    return h
-
-
-def _pieces(values: list[str | None], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(windows of code points, index of the text) for runs of texts, long texts in pieces."""
-    pad, points, owners, size = PAD * (order - 1), [], [], 0
-
-    def flush() -> tuple[np.ndarray, np.ndarray]:
-        windows = [np.lib.stride_tricks.sliding_window_view(p, order) for p in points]
-        return np.concatenate(windows), np.repeat(owners, [len(w) for w in windows])
-
-    for i, text in enumerate(values):
-        whole = pad + (text or "")
-        for at in range(0, len(text or ""), PIECE_CHARS):
-            part = _points(whole[at : at + PIECE_CHARS + order - 1])
-            points.append(part)
-            owners.append(i)
-            size += len(part)
-            if size >= PIECE_CHARS:
-                yield flush()
-                points, owners, size = [], [], 0
-    if points:
-        yield flush()
-
-
-def _strings(windows: np.ndarray) -> list[str]:
-    joined, order = np.ascontiguousarray(windows, "<u4").tobytes().decode("utf-32-le", "surrogatepass"), windows.shape[1]
-    return [joined[i : i + order] for i in range(0, len(joined), order)]
-
-
-class _Counts:
-    """Distinct n-grams with counts, merged piece by piece."""
-
-    def __init__(self, order: int):
-        self.codes, self.counts, self.windows = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, order), "<u4")
-
-    def add(self, windows: np.ndarray) -> None:
-        codes, first, counts = np.unique(_codes(windows), return_index=True, return_counts=True)
-        at = np.searchsorted(self.codes, codes)
-        known = np.zeros(len(codes), bool)
-        inside = at < len(self.codes)
-        known[inside] = self.codes[at[inside]] == codes[inside]
-        self.counts[at[known]] += counts[known]
-        new = ~known
-        if new.any():
-            merged = np.concatenate([self.codes, codes[new]])
-            order = np.argsort(merged, kind="stable")
-            self.codes = merged[order]
-            self.counts = np.concatenate([self.counts, counts[new]])[order]
-            self.windows = np.concatenate([self.windows, windows[first[new]]])[order]
+#: A byte that UTF-8 never has.
+PAD = 0xFF
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string array, and the bounds of each text (null: empty)."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+class Padded:
+    """Texts in one row of bytes, each after ``order - 1`` marks; n-grams are named by where they start."""
+
+    def __init__(self, column: pa.Array, order: int):
+        data, bounds = _bytes_of(column)
+        self.order, lead = order, order - 1
+        self.row = np.full(len(data) + lead * (len(bounds) - 1) + 8, PAD, np.uint8)
+        #: Where the n-grams of each text start; only marks lie between the last one and the next text's first.
+        self.starts = bounds[:-1] + lead * np.arange(len(bounds) - 1)
+        for at, a, b in zip(self.starts.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            self.row[at + lead : at + lead + b - a] = data[a:b]
+        self.size = len(data) + lead * (len(bounds) - 1) - lead if len(bounds) > 1 else 0
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(start, codes, whether each is an n-gram, as one that ends in a mark is not) of runs of n-grams."""
+        for a in range(0, self.size, BLOCK):
+            n = min(BLOCK, self.size - a)
+            wide = np.ndarray((n,), ">u8", self.row, offset=a, strides=(1,))
+            codes = (wide >> np.uint64(64 - 8 * self.order)).astype(np.int64)
+            yield a, codes, self.row[a + self.order - 1 : a + self.order - 1 + n] != PAD
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their counts."""
+    codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(g, c): all n-grams of the only column with their counts, added up in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Counts(order)
+        none = (np.empty(0, np.int64), np.empty(0, np.int64))
+        held = [none]
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(_strings(held.windows), pa.string()), pa.array(held.counts, pa.int64())], ["g", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)], ["g", "c"])
 
         for batch in batches:
-            for windows, _ in _pieces(batch.column(0).to_pylist(), order):
-                held.add(windows)
-                if len(held.codes) > 1_000_000:
-                    yield flush()
-                    held = _Counts(order)
+            for _, codes, real in Padded(batch.column(0), order).blocks():
+                held.append(np.unique(codes[real], return_counts=True))
+                if sum(len(c) for c, _ in held) > 2_000_000:
+                    held = [_merged(held)]
+                    if len(held[0][0]) > 1_000_000:
+                        yield flush()
+                        held = [none]
         yield flush()
 
-    return texts.mapInArrow(run, "g string, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def _discounts(row) -> tuple[float, float, float]:
@@ -134,15 +116,26 @@ def _discounts(row) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))
 
 
+def _suffix(g: str | Column, n: int) -> Column:
+    """The last ``n`` bytes of an n-gram."""
+    return (F.col(g) if isinstance(g, str) else g).bitwiseAND(F.lit((1 << 8 * n) - 1))
+
+
+def _bounded(df: DataFrame, n: int) -> DataFrame:
+    """A table of n-grams of ``n`` bytes, broadcast where their number is bounded by 65,536."""
+    return F.broadcast(df) if n <= 2 else df
+
+
 class Model:
     """Tables of one model: probabilities of known n-grams and back-off weights of known contexts, by order."""
 
     def __init__(self, counts: DataFrame, order: int = ORDER):
+        if not 3 <= order <= 7:
+            raise ValueError("an order of 3 to 7 bytes fits a long")
         self.order = order
-        table = stage(counts, "ngrams")
-        by_order = {order: table}
+        by_order = {order: stage(counts, "ngrams")}
         for n in range(order - 1, 0, -1):
-            by_order[n] = stage(by_order[n + 1].groupBy(F.right("g", F.lit(n)).alias("g")).agg(F.count("*").alias("c")), "ngrams")
+            by_order[n] = stage(by_order[n + 1].groupBy(_suffix("g", n).alias("g")).agg(F.count("*").alias("c")), "ngrams")
         self.floor = 1.0 / (by_order[1].count() + 1)
         self.known: dict[int, DataFrame] = {}
         self.back: dict[int, DataFrame] = {}
@@ -150,128 +143,137 @@ class Model:
             c, g = F.col("c"), F.col("g")
             d1, d2, d3 = _discounts(by_order[n].agg(*[F.count_if(c == k) for k in (1, 2, 3, 4)]).first())
             cut = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-            context = F.left(g, F.lit(n - 1))
+            context = F.shiftright(g, 8)
             self.back[n] = stage(
                 by_order[n].groupBy(context.alias("h")).agg(F.sum("c").alias("total"), F.sum(cut).alias("freed")).withColumn("gamma", F.col("freed") / F.col("total")), "contexts"
             )
-            rows = by_order[n].withColumn("h", context).join(self.back[n], "h").withColumn("own", (c - cut) / F.col("total"))
+            rows = by_order[n].withColumn("h", context).join(_bounded(self.back[n], n - 1), "h").withColumn("own", (c - cut) / F.col("total"))
             if n == 1:
                 made = rows.withColumn("p", F.col("own") + F.col("gamma") * self.floor)
             else:
-                lower = self.known[n - 1].select(F.col("g").alias("s"), F.col("p").alias("q"))
-                made = rows.withColumn("s", F.right(g, F.lit(n - 1))).join(lower, "s").withColumn("p", F.col("own") + F.col("gamma") * F.col("q"))
+                lower = _bounded(self.known[n - 1].select(F.col("g").alias("s"), F.col("p").alias("q")), n - 1)
+                made = rows.withColumn("s", _suffix(g, n - 1)).join(lower, "s").withColumn("p", F.col("own") + F.col("gamma") * F.col("q"))
             self.known[n] = stage(made.select("g", "p"), "probabilities")
 
     def log_probabilities(self, wanted: DataFrame) -> DataFrame:
         """(g, lp) for the distinct n-grams of ``wanted``, by joins with the tables of each order.
 
         An n-gram that an order knows is done; only the others go on to the next lower order, with the
-        weight that backing off has cost so far.
+        weight that backing off has cost so far.  The tables below order 3 have 65,536 rows at most.
         """
         open_ = wanted.select("g").distinct().withColumn("w", F.lit(1.0))
-        done: DataFrame | None = None
-        for n in range(self.order, 0, -1):
-            tail = F.right("g", F.lit(n))
-            met = open_.withColumn("k", tail).join(self.known[n].select(F.col("g").alias("k"), "p"), "k", "left")
-            met = stage(met.withColumn("h", F.left("k", F.lit(n - 1))).select("g", "w", "h", "p"), "looked_up")
-            found = met.where("p is not null").select("g", (F.col("w") * F.col("p")).alias("p"))
-            done = found if done is None else done.unionByName(found)
-            open_ = met.where("p is null").drop("p").join(self.back[n].select("h", "gamma"), "h", "left")
+        done: list[DataFrame] = []
+        for n in range(self.order, 2, -1):
+            met = open_.withColumn("k", _suffix("g", n)).join(self.known[n].select(F.col("g").alias("k"), "p"), "k", "left")
+            met = stage(met.select("g", "w", F.shiftright("k", 8).alias("h"), "p"), "looked_up")
+            done.append(met.where("p is not null").select("g", (F.col("w") * F.col("p")).alias("p")))
+            open_ = met.where("p is null").drop("p").join(_bounded(self.back[n].select("h", "gamma"), n - 1), "h", "left")
             open_ = open_.select("g", (F.col("w") * F.coalesce("gamma", F.lit(1.0))).alias("w"))
-        done = done.unionByName(open_.select("g", (F.col("w") * self.floor).alias("p")))
-        return done.select("g", F.log("p").cast("float").alias("lp"))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Chunks of consecutive rows (text last) with a key made of their content."""
+        two, one = (F.broadcast(self.known[n].select(F.col("g").alias(f"k{n}"), F.col("p").alias(f"p{n}"))) for n in (2, 1))
+        back, top = F.broadcast(self.back[2].select("h", "gamma")), self.back[1].first()
+        last = open_.withColumns({"k2": _suffix("g", 2), "k1": _suffix("g", 1), "h": F.shiftright(_suffix("g", 2), 8)})
+        last = last.join(two, "k2", "left").join(back, "h", "left").join(one, "k1", "left")
+        unknown = self.floor * (top["gamma"] if top else 1.0)
+        p = F.coalesce("p2", F.coalesce("gamma", F.lit(1.0)) * F.coalesce("p1", F.lit(unknown)))
+        every = last.select("g", (F.col("w") * p).alias("p"))
+        for part in done:
+            every = every.unionByName(part)
+        return every.select("g", F.log("p").cast("float").alias("lp"))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.Table]:
+    """Consecutive rows (text last) of ``chunk_bytes`` or just over; no row is cut."""
     held, size = [], 0
     for batch in batches:
-        lengths, start = [len(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()], 0
-        for i, n in enumerate(lengths):
-            size += n
-            if size >= CHUNK_CHARS:
-                held.append(batch.slice(start, i + 1 - start))
-                yield _keyed(held)
-                held, size, start = [], 0, i + 1
-        if start < batch.num_rows:
-            held.append(batch.slice(start))
+        _, bounds = _bytes_of(batch.column(batch.num_columns - 1))
+        start = 0
+        while start < batch.num_rows:
+            end = int(min(np.searchsorted(bounds, bounds[start] + chunk_bytes - size), batch.num_rows))
+            end = max(end, start + 1)
+            held.append(batch.slice(start, end - start))
+            size += int(bounds[end] - bounds[start])
+            start = end
+            if size >= chunk_bytes:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
     if held:
-        yield _keyed(held)
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _last(table: pa.Table) -> pa.Array:
+    column = table.column(table.num_columns - 1)
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays([c.cast(pa.large_string()) for c in column.chunks] or [pa.array([], pa.large_string())])
 
 
 def _packed(table: pa.Table) -> bytes:
-    """A table in few bytes; matches may lie far apart, as copies do."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as writer:
         writer.write_table(table)
-    near = zstandard.ZstdCompressionParameters.from_level(6, enable_ldm=True, window_log=25)
-    return zstandard.ZstdCompressor(compression_params=near).compress(sink.getvalue())
+    return sink.getvalue().to_pybytes()
+
 
+def _positions(codes: np.ndarray):
+    """A function that finds the place of codes, all of which are in ``codes`` (distinct and in order)."""
+    bits = max(4, len(codes).bit_length() + 3)
 
-def _unpacked(pack: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor(max_window_size=1 << 25).decompress(pack)).read_all()
+    def slot(x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
+    table = np.zeros(1 << bits, np.int32)
+    table[slot(codes)] = np.arange(len(codes), dtype=np.int32)
 
-def _keyed(held: list[pa.RecordBatch]) -> tuple[int, pa.Table]:
-    table, digest = pa.Table.from_batches(held), hashlib.sha256()
-    for column in table.columns:
-        for x in column.to_pylist():
-            digest.update(repr(x).encode("utf-8", "surrogatepass") + b"\0")
-    return int.from_bytes(digest.digest()[:8], "little", signed=True), table
+    def find(x: np.ndarray) -> np.ndarray:
+        at = table[slot(x)]
+        other = np.flatnonzero(codes[at] != x)  # those whose slot another code has taken
+        at[other] = np.searchsorted(codes, x[other])
+        return at
 
+    return find
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The other columns of ``docs`` with ``n`` (characters) and ``nll`` (sum of negative log probabilities)."""
-    others, order = [c for c in docs.columns if c != text], model.order
+
+def score(docs: DataFrame, model: Model, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The other columns of ``docs`` with ``n`` (bytes) and ``nll`` (sum of negative log probabilities)."""
+    others, order, spark = [c for c in docs.columns if c != text], model.order, docs.sparkSession
     rows = docs.select(*others, text)
     kept_schema = docs.select(*others).schema
 
-    def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, chunk in _chunks(batches):
-            held = _Counts(order)
-            for windows, _ in _pieces(chunk.column(chunk.num_columns - 1).to_pylist(), order):
-                held.add(windows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held.codes), key)), pa.array(_strings(held.windows), pa.string())], ["chunk", "g"])
-
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, chunk in _chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([_packed(chunk)], pa.binary())], ["chunk", "pack"])
-
-    wanted = rows.mapInArrow(needs, "chunk bigint, g string")
-    found = wanted.join(model.log_probabilities(wanted), "g").select("chunk", "g", "lp", F.lit(None).cast("binary").alias("pack"))
-    held = rows.mapInArrow(packs, "chunk bigint, pack binary").select("chunk", F.lit(None).cast("string").alias("g"), F.lit(None).cast("float").alias("lp"), "pack")
-    # equal chunks ask for their n-grams several times over: harmless, as answers are equal
-    both = found.unionByName(held).repartition("chunk").sortWithinPartitions("chunk", F.col("pack").isNotNull())
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, values, codes, logs = None, [], [], None, None
-        for batch in batches:
-            keys, grams, lps, packs_ = (batch.column(k).to_pylist() for k in range(4))
-            for k, g, lp, pack in zip(keys, grams, lps, packs_, strict=True):
-                if k != key:
-                    key, names, values, codes = k, [], [], None
-                if pack is None:
-                    names.append(g)
-                    values.append(lp)
-                    continue
-                if codes is None:
-                    codes = _codes(_points("".join(names)).reshape(-1, order)) if names else np.empty(0, np.uint64)
-                    codes, first = np.unique(codes, return_index=True)
-                    logs, names = np.array(values, float)[first], []
-                table = _unpacked(pack)
-                texts = table.column(table.num_columns - 1).to_pylist()
-                nll = np.zeros(len(texts))
-                for windows, owner in _pieces(texts, order):
-                    mine = _codes(windows)
-                    at = np.minimum(np.searchsorted(codes, mine), max(len(codes) - 1, 0))
-                    if not len(codes) or not (codes[at] == mine).all():
-                        raise RuntimeError("a chunk was cut otherwise when it was read again; its n-grams are missing")
-                    nll -= np.bincount(owner, weights=logs[at], minlength=len(texts))
-                made = table.select(table.column_names[:-1])
-                made = made.append_column("n", pa.array([len(t or "") for t in texts], pa.int64())).append_column("nll", pa.array(nll))
-                yield from made.combine_chunks().to_batches()
-
-    return both.mapInArrow(settle, kept_schema.add("n", "long").add("nll", "double"))
+        for chunk in _chunks(batches, chunk_bytes):
+            seen = [np.empty(0, np.int64)]
+            for _, codes, real in Padded(_last(chunk), order).blocks():
+                seen.append(np.unique(codes[real]))
+                if sum(map(len, seen)) > 4_000_000:
+                    seen = [np.unique(np.concatenate(seen))]
+            distinct = np.unique(np.concatenate(seen))
+            key = int.from_bytes(os.urandom(8), "little", signed=True)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pa.array(distinct))
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), lists, pa.array([_packed(chunk)], pa.binary())], ["chunk", "codes", "pack"])
+
+    total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_bytes))
+    stored = stage_bucketed(rows.mapInArrow(packs, "chunk bigint, codes array<bigint>, pack binary"), "packs", "chunk", buckets)
+    wanted = stored.select("chunk", F.posexplode("codes").alias("pos", "g"))
+    found = wanted.join(model.log_probabilities(wanted), "g").select(F.col("chunk").alias("of"), "pos", "lp")
+
+    def settle(pack: pa.Table, found: pa.Table) -> pa.Table:
+        table = pa.ipc.open_stream(pack["pack"][0].as_buffer()).read_all()
+        codes = pack["codes"].combine_chunks().values.to_numpy()
+        logs = np.zeros(len(codes))
+        logs[found["pos"].to_numpy()] = found["lp"].to_numpy()
+        texts, find = Padded(_last(table), order), _positions(codes)
+        nll = np.zeros(len(texts.starts))
+        for a, block, real in texts.blocks():
+            values = np.zeros(len(block))
+            values[real] = logs[find(block[real])]
+            first = int(np.searchsorted(texts.starts, a, side="right")) - 1
+            end = int(np.searchsorted(texts.starts, a + len(block)))
+            nll[first:end] -= np.add.reduceat(values, np.maximum(texts.starts[first:end] - a, 0))
+        made = table.select(table.column_names[:-1])
+        return made.append_column("n", pa.array(np.diff(_bytes_of(_last(table))[1]))).append_column("nll", pa.array(nll))
+
+    both = stored.select("chunk", "codes", "pack").groupBy("chunk").cogroup(found.groupBy("of"))
+    return both.applyInArrow(settle, kept_schema.add("n", "long").add("nll", "double"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -130,12 +130,14 @@ def test_kneser_ney_sums_to_one_and_matches_brute_force(spark):
     text = "abracadabra banana"
     model = kneser_ney.Model(kneser_ney.count_ngrams(spark.createDataFrame([(text,)], "text string"), 3), 3)
     letters = sorted(set(text))
-    wanted = spark.createDataFrame([("ab" + c,) for c in letters] + [("zz" + c,) for c in letters], "g string")
-    got = {r.g: float(np.exp(r.lp)) for r in model.log_probabilities(wanted).collect()}
+    code = lambda g: int.from_bytes(g.encode("latin-1"), "big")
+    names = {code(h + c): h + c for h in ("ab", "zz", "za", "\xff\xff") for c in letters + ["?"]}
+    wanted = spark.createDataFrame([(g,) for g in names], "g bigint")
+    got = {names[r.g]: float(np.exp(r.lp)) for r in model.log_probabilities(wanted).collect()}
     left = 1 - model.floor * 1  # all seen letters share what the unseen one does not take
     for context in ("ab", "zz"):
         assert sum(got[context + c] for c in letters) == pytest.approx(left, abs=0.1)
-    padded = kneser_ney.PAD * 2 + text
+    padded = chr(kneser_ney.PAD) * 2 + text
     count = {3: Counter(padded[i : i + 3] for i in range(len(text)))}
     for n in (2, 1):
         count[n] = Counter(g[1:] for g in count[n + 1])
