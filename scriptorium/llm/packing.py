@@ -3,9 +3,9 @@
 Documents become token ids and an end mark; those longer than a sequence are cut into pieces
 of exactly the capacity, where the first piece takes the rest.  Full pieces fill a sequence
 alone.  The others are dealt by row number to buckets of bounded size, and each bucket is packed by
-best fit in falling order and then improved: the emptiest sequence gives its members away by
+best fit in falling order and then improved: underfull sequences, the emptiest first, give their members away by
 moves, one-for-one and two-for-one exchanges with other underfull sequences, each of which increases
-the sum of squared fills, until it is empty or no exchange is left; then the next one does.
+the sum of squared fills, until they are empty or no exchange between any two is left.
 
 Only (document, piece, length) rows are shuffled, never texts.  Tokens are computed once and
 written to the shared folder, so a lost executor re-reads them and repeats one bucket.
@@ -22,7 +22,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -128,78 +127,79 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 class LocalSearch:
     """Drains underfull bins by exchanges that each increase the sum of squared fills.
 
-    ``offers`` lists, for each weight that a bin could give back (nothing, one item or two), the bins
-    that could do so, those with most room first.  Entries of bins that have changed since are skipped.
+    Any underfull bin may be a source, the emptiest first, and any other one a target.  An item of the source goes to a target
+    that gives back nothing (a move), one item, or two.  ``offers`` has, for each weight that could come
+    back, the bins that could give it, in order of room; the target is the fullest one that holds the gain.
+    Each exchange raises the sum of squares, so the search ends; it does so when no exchange is left between any two
+    bins, or when the rooms together are below a whole bin, which no packing can improve.
     """
 
     def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
         self.sizes, self.bins, self.capacity = sizes, bins, capacity
         self.room = [capacity - sum(sizes[i] for i in b) for b in bins]
-        self.version = [0] * len(bins)
-        self.offers: dict[int, list[tuple]] = {}
+        self.offers: list[list[tuple[int, int, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.most = np.full(capacity + 1, -1)  # the most room of the bins under each weight
+        self.listed: list[list[int]] = [[] for _ in bins]
         for b in range(len(bins)):
-            self._offer(b)
+            self._list(b)
 
-    def _offer(self, b: int) -> None:
-        self.version[b] += 1
+    def _list(self, b: int) -> None:
         if self.room[b] <= 0:
             return
-        items, entry = self.bins[b], (-self.room[b], b, self.version[b])
-        heappush(self.offers.setdefault(0, []), (*entry, -1, -1))
-        seen = set()
+        items, mine = self.bins[b], {0: (-1, -1)}
+        for i in items:
+            mine.setdefault(self.sizes[i], (i, -1))
         for k, i in enumerate(items):
-            for j in (-1, *items[k + 1 :]):
-                weight = self.sizes[i] + (self.sizes[j] if j >= 0 else 0)
-                if weight not in seen:
-                    seen.add(weight)
-                    heappush(self.offers.setdefault(weight, []), (*entry, i, j))
-
-    def _best(self, weight: int) -> tuple | None:
-        """The live offer of this weight by the bin with most room."""
-        heap = self.offers.get(weight)
-        while heap and self.version[heap[0][1]] != heap[0][2]:
-            heappop(heap)
-        return heap[0] if heap else None
+            for j in items[k + 1 :]:
+                mine.setdefault(self.sizes[i] + self.sizes[j], (i, j))
+        self.listed[b] = list(mine)
+        for weight, (i, j) in mine.items():
+            insort(self.offers[weight], (self.room[b], b, i, j))
+            self.most[weight] = max(self.most[weight], self.room[b])
+
+    def _unlist(self, b: int) -> None:
+        for weight in self.listed[b]:
+            row = self.offers[weight]
+            del row[bisect_left(row, (self.room[b], b))]
+            self.most[weight] = row[-1][0] if row else -1
+        self.listed[b] = []
 
     def _exchange(self, source: int) -> bool:
-        """One move or exchange, the one that takes most from the source; False if there is none."""
-        most = self._best(0)
-        if most is None:
-            return False
-        room, fill = -most[0], self.capacity - self.room[source]
-        for gain in range(min(room, fill), 0, -1):
-            for x in self.bins[source]:
-                weight = self.sizes[x] - gain
-                offer = self._best(weight) if weight >= 0 else None
-                if offer is None or -offer[0] < gain:
-                    continue
-                _, target, _, i, j = offer
-                # the target must end fuller than the source was, else squares need not grow
-                if weight and self.capacity - self.room[target] + gain <= fill:
-                    continue
+        """One move or exchange, if there is one: the largest item first, with the greatest gain it has."""
+        room = self.room[source]
+        for x in sorted(self.bins[source], key=lambda i: (-self.sizes[i], i)):
+            size = self.sizes[x]
+            for weight in np.flatnonzero(self.most[:size] + np.arange(size) >= size).tolist():
+                gain, row = size - weight, self.offers[weight]
+                left, target, i, j = row[bisect_left(row, (gain,))]
+                if left >= room + gain:
+                    continue  # squares would not grow
+                self._unlist(target)
                 back = [k for k in (i, j) if k >= 0]
                 self.bins[source].remove(x)
                 self.bins[source] += back
                 self.bins[target] = [k for k in self.bins[target] if k not in back] + [x]
                 self.room[source] += gain
                 self.room[target] -= gain
-                self._offer(target)
+                self._list(target)
                 return True
         return False
 
     def run(self) -> list[list[int]]:
-        order = sorted(range(len(self.bins)), key=lambda b: (-self.room[b], b))
-        free = sum(self.room)
-        for source in order:
-            if free < self.capacity:
-                break  # the rest cannot hold a whole bin less
-            self.version[source] += 1  # no offers to itself
-            while self.bins[source] and self._exchange(source):
-                pass
-            if self.bins[source]:
-                self._offer(source)
-            else:
-                free -= self.capacity
+        free, going = sum(self.room), True
+        while going and free >= self.capacity:
+            going = False
+            order = sorted((b for b in range(len(self.bins)) if self.bins[b] and self.room[b]), key=lambda b: (-self.room[b], b))
+            for source in order:
+                if free < self.capacity:
+                    break
+                self._unlist(source)  # no offers to itself
+                while self.bins[source] and self._exchange(source):
+                    going = True
+                if self.bins[source]:
+                    self._list(source)
+                else:
+                    free -= self.capacity
         return [b for b in self.bins if b]
 
 
