@@ -3,18 +3,21 @@
 ``mux_column`` stores bytes losslessly as a transport stream: one program with one private
 elementary stream, cut into packetised access units with presentation timestamps; every
 ``gop``-th unit is a random-access point.  ``demux_column`` reads any such column back: it
-parses the program association and map tables, checks continuity counters, reassembles the
-packets of the first elementary stream and returns its timestamps and random-access points.
+parses the program association and map tables (sections may go on over packets, and there may be several programs
+and streams), checks continuity counters, reassembles the packets of the first declared elementary stream that has
+any, and returns its timestamps and random-access points beside the list of all declared streams.
 
 Defined results: a null stream gives null from ``demux_column``; an empty payload is a stream
-with one empty unit; bytes that are no transport stream (wrong size or sync byte) give an
-empty payload with ``valid`` false.  Equal payloads give equal streams.  All work is per row, so there is no shuffle and a
+with one empty unit; bytes that are no transport stream (wrong size or sync byte), or whose tables are missing or
+declare no stream within their own length, give an empty payload with ``valid`` false.  Equal payloads give equal streams.  All work is per row, so there is no shuffle and a
 lost executor repeats only its own rows; a task holds one Arrow batch at a time.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,7 @@ PMT_PID, DATA_PID, PRIVATE_TYPE = 0x1000, 0x0100, 0x06
 UNIT_BYTES, GOP, PTS_STEP = 4096, 12, 3600
 
 
+@lru_cache(maxsize=64)
 def _mpeg_crc(data: bytes) -> int:
     crc = 0xFFFFFFFF
     for byte in data:
@@ -85,44 +89,85 @@ def mux(payload: bytes, unit_bytes: int = UNIT_BYTES, gop: int = GOP) -> bytes:
     return b"".join(out)
 
 
-def _sections(packets: np.ndarray, pid: int, pids: np.ndarray) -> bytes | None:
-    """The body of the first valid section of one table."""
+def _sections(packets: np.ndarray, pid: int, pids: np.ndarray, table: int) -> Iterator[tuple[int, bytes]]:
+    """(number, body) of each valid section of one table; a section may go on over packets."""
+    held: bytes | None = None
+
+    def cut(held: bytes) -> tuple[list[tuple[int, bytes]], bytes]:
+        found = []
+        while len(held) >= 3 and held[0] != 0xFF:
+            end = 3 + ((held[1] << 8 | held[2]) & 0x0FFF)
+            if end > len(held):
+                break
+            section, held = held[:end], held[end:]
+            if end >= 12 and section[0] == table and _mpeg_crc(section) == 0:
+                found.append((section[3] << 8 | section[4], section[8:-4]))
+        return found, held
+
     for i in np.flatnonzero(pids == pid):
         raw = packets[i].tobytes()
         at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-        if not raw[1] & 0x40 or at >= PACKET:
+        if not raw[3] & 0x10 or at >= PACKET:
             continue
-        at += 1 + raw[at]
-        length = (raw[at + 1] << 8 | raw[at + 2]) & 0x0FFF if at + 3 <= PACKET else 0
-        section = raw[at : at + 3 + length]
-        if length >= 9 and len(section) == 3 + length and _mpeg_crc(section) == 0:
-            return section[8:-4]
-    return None
+        part = raw[at:]
+        if raw[1] & 0x40:
+            if held is not None:
+                yield from cut(held + part[1 : 1 + part[0]])[0]
+            held = part[1 + part[0] :]
+        elif held is not None:
+            held += part
+        if held is not None:
+            found, held = cut(held)
+            yield from found
+
+
+def _streams(body: bytes) -> list[tuple[int, int]]:
+    """(pid, type) of the elementary streams that a program map declares; what goes beyond the section is left out."""
+    found = []
+    at = 4 + (struct.unpack_from(">H", body, 2)[0] & 0x0FFF) if len(body) >= 4 else len(body)
+    while at + 5 <= len(body):
+        kind, pid, more = struct.unpack_from(">BHH", body, at)
+        found.append((pid & 0x1FFF, kind))
+        at += 5 + (more & 0x0FFF)
+    return found
+
+
+def programs_of(packets: np.ndarray, pids: np.ndarray) -> list[tuple[int, int, int]]:
+    """(program, pid, type) of every elementary stream that the tables declare, in their order."""
+    found: list[tuple[int, int, int]] = []
+    seen: set[int] = set()
+    for _, body in _sections(packets, 0, pids, 0):
+        for i in range(0, len(body) - 3, 4):
+            number, pid = struct.unpack_from(">HH", body, i)
+            if number and number not in seen:
+                seen.add(number)
+                maps = next((m for n, m in _sections(packets, pid & 0x1FFF, pids, 2) if n == number), b"")
+                found += [(number, *s) for s in _streams(maps)]
+    return found
 
 
 def demux(stream: bytes) -> tuple:
-    """(valid, stream_pid, stream_type, packets, continuity_errors, pts, random_access, unit_offset, payload)"""
-    empty = (False, None, None, 0, 0, [], [], [], b"")
+    """(valid, stream_pid, stream_type, packets, continuity_errors, pts, random_access, unit_offset, payload, streams)
+
+    ``streams`` are all that the tables declare; the packets read are those of the first one of them that has any.
+    """
+    empty = (False, None, None, 0, 0, [], [], [], b"", [])
     if len(stream) < PACKET or len(stream) % PACKET:
         return empty
     packets = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if not (packets[:, 0] == SYNC).all():
         return empty
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    programs = _sections(packets, 0, pids)
-    entries = [struct.unpack_from(">HH", programs, i) for i in range(0, len(programs) - 3, 4)] if programs else []
-    maps = [pid & 0x1FFF for number, pid in entries if number]
-    found = _sections(packets, maps[0], pids) if maps else None
-    if not found or len(found) < 9:
+    declared = programs_of(packets, pids)
+    if not declared:
         return empty
-    at = 4 + (struct.unpack_from(">H", found, 2)[0] & 0x0FFF)
-    kind, pid = struct.unpack_from(">BH", found, at)
-    pid &= 0x1FFF
+    _, pid, kind = next((s for s in declared if (pids == s[1]).any()), declared[0])
+    streams = [dict(zip(("program", "pid", "stream_type"), s, strict=True)) for s in declared]
     own = packets[pids == pid]
     control = own[:, 3] >> 4 & 3
     own, control = own[(control & 1) == 1], control[(control & 1) == 1]
     if not len(own):
-        return (True, pid, kind, len(packets), 0, [], [], [], b"")
+        return (True, pid, kind, len(packets), 0, [], [], [], b"", streams)
     counters = (own[:, 3] & 15).astype(np.int16)
     has_field = control == 3
     flags = np.where(has_field & (own[:, 4] > 0), own[:, 5], 0)
@@ -157,14 +202,15 @@ def demux(stream: bytes) -> tuple:
         offsets.append(at)
         parts.append(body)
         at += len(body)
-    return (True, pid, kind, len(packets), errors, times, marks, offsets, b"".join(parts))
+    return (True, pid, kind, len(packets), errors, times, marks, offsets, b"".join(parts), streams)
 
 
 DEMUXED = pa.struct([
     ("valid", pa.bool_()), ("stream_pid", pa.int32()), ("stream_type", pa.int32()), ("packets", pa.int64()), ("continuity_errors", pa.int64()),
     ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.bool_())), ("unit_offset", pa.list_(pa.int64())), ("payload", pa.binary()),
+    ("streams", pa.list_(pa.struct([("program", pa.int32()), ("pid", pa.int32()), ("stream_type", pa.int32())]))),
 ])
-_DEMUXED_SQL = "valid boolean, stream_pid int, stream_type int, packets bigint, continuity_errors bigint, pts array<bigint>, random_access array<boolean>, unit_offset array<bigint>, payload binary"
+_DEMUXED_SQL = "valid boolean, stream_pid int, stream_type int, packets bigint, continuity_errors bigint, pts array<bigint>, random_access array<boolean>, unit_offset array<bigint>, payload binary, streams array<struct<program:int,pid:int,stream_type:int>>"
 
 
 def mux_column(payload: Column) -> Column:
