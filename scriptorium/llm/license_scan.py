@@ -1,18 +1,19 @@
 """License scans: MinHash bands over overlapping windows, verified by shingle containment.
 
-Templates are short notices.  Texts and templates become lower-case words and three-word shingles
+Templates are notices and whole licence texts.  Texts and templates become lower-case words and three-word shingles
 (a shorter template is one shingle of all its words).  For each size class of templates (a power of
-two of shingles), windows of twice that size overlap by half, so every template lies
-whole in some window and makes up at least a quarter of it.  A window and a template are
-compared by ``BANDS`` bands of one minimum hash each: with a similarity of a quarter or more, they
-collide with a probability of at least 1 - 0.75 ** 32 > 0.9998.  Each collision is verified
-exactly: the share of the template's distinct shingles that stand in the window.
+two of shingles), windows of twice that size overlap by half, so every place of a template lies
+whole in some window.  A window that holds a whole template has a similarity with it of a quarter or more; one that
+holds four fifths of it, the least containment by default, of 0.19 or more.  They are compared by ``BANDS`` bands of one minimum hash each,
+so they collide with a probability of at least 1 - 0.81 ** 42 > 0.9998.  Each collision is verified
+exactly, on words: the share of the template's distinct shingles that stand in the window.
 
 All work is per row with a template table of fixed size, so there is no shuffle; windows cover whole
-texts, and minima are taken over runs of up to a million shingles at once.
+texts, and minima are taken over runs of up to a million shingles at once, from each size class to the next.
 
-Defined results: null texts, empty texts and texts without a match have an empty list; a template
-that matches several times is reported at its best place, the earliest of equals.
+Defined results: null texts, empty texts and texts without a match have an empty list; every verified template is
+reported once, at its best place, the earliest of equals.  ``covered`` marks a match that overlaps one of another template with a
+greater containment, as version 2 of a licence does where version 3 stands; of equals none is covered.
 """
 
 from __future__ import annotations
@@ -28,14 +29,18 @@ from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
 from .common import annotate
 
-SHINGLE, BANDS, CONTAINMENT, RUN = 3, 32, 0.8, 1 << 20
+SHINGLE, BANDS, CONTAINMENT, RUN = 3, 42, 0.8, 1 << 20
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
-#: Default templates by name; another mapping can be given.
+#: Wordings of public licences, by name. Default templates; another mapping can be given.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "mit-line": "Released under the MIT License.",
     "mit-licensed": "Licensed under the MIT license.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
@@ -79,6 +84,10 @@ def shingles_of(words: list[str], size: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def _runs(words: list[str]) -> Iterator[tuple[str, ...]]:
+    return zip(*(words[i:] for i in range(SHINGLE)), strict=False)
+
+
 class Scanner:
     """Templates with their shingles and band tables, for one worker."""
 
@@ -91,6 +100,8 @@ class Scanner:
         for t, s in enumerate(self.sets):
             if len(s):
                 self.classes.setdefault(1 << int(len(s) - 1).bit_length(), []).append(t)
+        self.minima = [[_mix(s, 100 + k).min() if len(s) else None for k in range(BANDS)] for s in self.sets]
+        self.shingles = [set(_runs(w)) for w in self.words]
         # templates below a whole shingle are compared with shingles of their own length
         self.brief = [t for t, w in enumerate(self.words) if 0 < len(w) < SHINGLE]
         for members in self.classes.values():
@@ -99,17 +110,18 @@ class Scanner:
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, first, past the last) of windows that share a band with a template."""
         found: set[tuple[int, int, int]] = set()
-        for half, members in self.classes.items():
-            if not members or not len(codes):
-                continue
-            starts = np.arange(0, len(codes), half)
-            for k in range(BANDS):
-                least = np.minimum.reduceat(_mix(codes, 100 + k), starts)
-                if len(least) > 1:
-                    least = np.concatenate([np.minimum(least[:-1], least[1:]), least[-1:]])
-                for t in members:
-                    for w in np.flatnonzero(least == _mix(self.sets[t], 100 + k).min()):
-                        found.add((t, int(starts[w]), min(int(starts[w]) + 2 * half, len(codes))))
+        n, largest = len(codes), max((h for h, m in self.classes.items() if m), default=0)
+        for k in range(BANDS if n else 0):
+            least, half = _mix(codes, 100 + k), 1  # the minima of blocks of ``half`` shingles
+            while half <= largest:
+                if self.classes.get(half):
+                    two = np.concatenate([np.minimum(least[:-1], least[1:]), least[-1:]])
+                    for t in self.classes[half]:
+                        for w in np.flatnonzero(two == self.minima[t][k]).tolist():
+                            found.add((t, w * half, min((w + 2) * half, n)))
+                if len(least) % 2:
+                    least = np.concatenate([least, least[-1:]])
+                least, half = np.minimum(least[0::2], least[1::2]), 2 * half
         return sorted(found)
 
     def scan(self, batch: list[list[str]]) -> list[list[tuple]]:
@@ -124,10 +136,14 @@ class Scanner:
                 for owner in np.unique(owners):
                     at = np.arange(a, b)[owners == owner]
                     inside = np.isin(codes[at], self.sets[t])
-                    share = len(np.unique(codes[at][inside])) / len(self.sets[t])
+                    if len(np.unique(codes[at][inside])) < self.containment * len(self.sets[t]):
+                        continue
+                    base = int(ends[owner] - len(parts[owner]))
+                    first, last = int(at[inside][0]) - base, int(at[inside][-1]) - base + SHINGLE
+                    # codes may collide, words do not
+                    held = self.shingles[t].intersection(_runs(batch[docs[owner]][first:last]))
+                    share = len(held) / len(self.shingles[t])
                     if share >= self.containment:
-                        base = int(ends[owner] - len(parts[owner]))
-                        first, last = int(at[inside][0]) - base, int(at[inside][-1]) - base + SHINGLE
                         self._keep(out[docs[owner]], t, share, first, last)
 
         docs, parts, size = [], [], 0
@@ -147,10 +163,10 @@ class Scanner:
                         break
         if docs:
             settle(docs, parts)
-        return [[(self.names[t], *m) for t, m in sorted(found.items()) if not self._beaten(t, found)] for found in out]
+        return [[(self.names[t], *m, self._covered(t, found)) for t, m in sorted(found.items())] for found in out]
 
     @staticmethod
-    def _beaten(t: int, found: dict[int, tuple]) -> bool:
+    def _covered(t: int, found: dict[int, tuple]) -> bool:
         """Whether another template matches more of itself at an overlapping place."""
         share, first, last = found[t]
         return any(o != t and s > share and a < last and first < b for o, (s, a, b) in found.items())
@@ -162,7 +178,7 @@ class Scanner:
             found[t] = (share, first, last)
 
 
-_MATCHES = pa.list_(pa.struct([("template", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
+_MATCHES = pa.list_(pa.struct([("template", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("covered", pa.bool_())]))
 
 
 def matches_column(text: Column, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> Column:
@@ -172,9 +188,9 @@ def matches_column(text: Column, templates: dict[str, str] | None = None, contai
         scanner = Scanner(given, containment)
         for batch in batches:
             found = scanner.scan([words_of(t or "") for t in batch.to_pylist()])
-            yield pa.StructArray.from_arrays([pa.array([[dict(zip(("template", "containment", "first_word", "end_word"), m, strict=True)) for m in row] for row in found], _MATCHES)], ["license_matches"])
+            yield pa.StructArray.from_arrays([pa.array([[dict(zip(("template", "containment", "first_word", "end_word", "covered"), m, strict=True)) for m in row] for row in found], _MATCHES)], ["license_matches"])
 
-    return arrow_udf(run, "license_matches array<struct<template:string,containment:double,first_word:bigint,end_word:bigint>>", ArrowUDFType.SCALAR_ITER)(text)
+    return arrow_udf(run, "license_matches array<struct<template:string,containment:double,first_word:bigint,end_word:bigint,covered:boolean>>", ArrowUDFType.SCALAR_ITER)(text)
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
@@ -183,11 +199,12 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """One row per document: the templates it holds, the best containment and the matches."""
+    """One row per document: the templates it holds, those of them that a better match covers, the best containment and the matches."""
     m = F.col("license_matches")
     return scan_licenses(docs.select("doc_id", "text")).select(
         "doc_id",
         F.array_join(F.transform(m, lambda x: x["template"]), ",").alias("licenses"),
+        F.array_join(F.transform(F.filter(m, lambda x: x["covered"]), lambda x: x["template"]), ",").alias("covered"),
         F.size(m).cast("long").alias("n_licenses"),
         F.coalesce(F.array_max(F.transform(m, lambda x: x["containment"])), F.lit(0.0)).alias("best_containment"),
         F.to_json(m).alias("matches"),
