@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Prefix of columns that live only inside an operator.
 OWN = "__scr_"
+#: A key is hot if more than one in ``SHARES`` rows have it, so there are fewer than that; its rows are dealt to ``SALTS`` keys.
+SHARES, SALTS = 1_000, 1_000
 
 
 def annotate(docs: DataFrame, udf_column: Column, fields: list[str]) -> DataFrame:
@@ -44,3 +46,19 @@ def by_text(function: Callable[[str], tuple], schema: pa.StructType) -> Callable
             yield struct_of([function(t if t is not None else "") for t in texts(batch)], schema)
 
     return run
+
+
+def join_salted(rows: DataFrame, side: DataFrame, on: list[str], count: str, spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``side`` but ``count``; hot keys of ``rows`` are dealt to salted keys.
+
+    ``side`` is a stored table with unique keys; its column ``count`` tells how many rows have each.  A key with more
+    than a share of all of them is hot; there are at most ``SHARES`` such, so they are broadcast to salt the rows.  ``spread`` is
+    an expression over ``rows`` that differs between the rows of a hot key.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    hot, salt = F.col(count) > max(total // SHARES, SALTS), OWN + "salt"
+    few = F.broadcast(side.where(hot).select(*on, F.lit(True).alias(OWN + "hot")))
+    mine = F.when(F.col(OWN + "hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
+    salted = rows.join(few, on, "left").withColumn(salt, mine).drop(OWN + "hot")
+    every = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(side.withColumn(salt, F.explode(every)).drop(count), [*on, salt], how).drop(salt)
