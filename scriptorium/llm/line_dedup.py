@@ -5,8 +5,8 @@ position) is equal to it or one insertion, deletion or substitution away; the ea
 Shorter lines are not compared within one edit, since short lines meet by chance.  With ``short_copies`` a
 shorter line goes too if an earlier one is equal to it and it is not blank; without, it is never touched.
 
-Equal lines meet by hash: the earliest place of each is a partial aggregate, so a line that fills a third
-of the corpus is one row per task.  Near lines meet in these steps:
+Equal lines meet by two hashes, 128 bits: the earliest place of each is a partial aggregate, so a line that fills a third
+of the corpus is one row per task.  To find the other places, such a line's are dealt to many salted keys.  Near lines meet in these steps:
 
 1. One edit leaves the first or the last stretch of a line as it is.  Lines emit a hash of both
    stretches; lines that share one with another line go on with the other part, the region.  Regions
@@ -31,28 +31,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .common import OWN
+from .common import OWN, join_salted
 
 MIN_CHARS, SHORT = 40, 24
 #: Hashes of lines are broadcast up to so many, and joined by shuffle beyond.
-BROADCAST_HASHES = 2_000_000
+BROADCAST_HASHES = 500_000
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
-    """One long for an id and a text."""
-    return F.xxhash64(doc_id, text)
+    """A key of an id and a text: only texts of one id could collide."""
+    return F.concat_ws(":", doc_id, F.xxhash64(text))
+
+
+def _check(line: str | Column) -> Column:
+    """A second hash of a line: both together are 128 bits."""
+    return F.xxhash64(F.lit(1), line)
 
 
 def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
-    """(hash, place, line) of lines with at least ``min_chars`` characters; places are in order of precedence.
+    """(hash, check, place, line) of lines with at least ``min_chars`` characters; places are in order of precedence.
 
     With ``short_copies``, all lines that are not blank.
     """
-    key = document_key(F.col("doc_id"), F.col("text"))
-    lines = docs.select("doc_id", key.alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "doc", "line_no")
     long = F.length("line") >= min_chars
-    return lines.where(long | F.col("line").rlike(r"(?U)\S") if short_copies else long).select(F.xxhash64("line").alias("hash"), place.alias("place"), "line")
+    lines = lines.where(long | F.col("line").rlike(r"(?U)\S") if short_copies else long)
+    return lines.select(F.xxhash64("line").alias("hash"), _check("line").alias("check"), place.alias("place"), "line")
 
 
 def _stretch(n: Column) -> Column:
@@ -83,12 +88,18 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def _only(lines: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Lines whose hash is listed; a short list is broadcast."""
-    return lines.join(F.broadcast(hashes) if hashes.count() <= BROADCAST_HASHES else hashes, "hash", "left_semi")
+    """Lines whose hash (and check, if given) is listed; a short list is broadcast."""
+    return lines.join(F.broadcast(hashes) if hashes.count() <= BROADCAST_HASHES else hashes, hashes.columns, "left_semi")
+
+
+def repeated_places(places: DataFrame) -> DataFrame:
+    """The places of equal lines but the first of each."""
+    counted = stage(places.groupBy("hash", "check").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated_lines")
+    return join_salted(places, counted, ["hash", "check"], "n", F.col("place")).where("place <> first").select("place")
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """(hash) of the lines that have an earlier line one edit away."""
+    """(hash, check) of the lines that have an earlier line one edit away."""
     start = F.explode(_halves(F.lit(0).cast("long"), F.col("line")))
     keys = lines.select("hash", start.alias("k")).select("hash", F.col("k.key").alias("key"))
     members = stage(keys.join(_shared(keys), "key", "left_semi").select("hash").distinct(), "members")
@@ -122,18 +133,17 @@ def near_lines(lines: DataFrame) -> DataFrame:
     pairs = substituted.select("own", "best").unionByName(inserted.select("own", "best")).where(best < own)
     pairs = pairs.select(F.col("own.hash").alias("hash"), F.col("best.hash").alias("partner")).where("hash <> partner").distinct()
     a, b = known.select("hash", F.col("line").alias("a")), known.select(F.col("hash").alias("partner"), F.col("line").alias("b"))
-    return pairs.join(a, "hash").join(b, "partner").where(F.levenshtein("a", "b", 1) >= 0).select("hash").distinct()
+    return pairs.join(a, "hash").join(b, "partner").where(F.levenshtein("a", "b", 1) >= 0).select("hash", _check(F.col("a")).alias("check")).distinct()
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """(doc, gone): the numbers of the lines that go, for each document that loses some."""
-    lines = long_lines(docs, min_chars)
-    places = long_lines(docs, min_chars, short_copies).select("hash", "place")
-    first = stage(places.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first"), "repeated_lines")
-    again = places.join(first, "hash").where("place <> first").select("place")
+    lines = long_lines(docs, min_chars).select("hash", "place", "line")
+    places = long_lines(docs, min_chars, short_copies).select("hash", "check", "place")
     near = stage(near_lines(lines), "near_lines")
-    gone = again.unionByName(_only(places, near).select("place"))
-    return gone.groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set("place.line_no").alias("gone"))
+    gone = repeated_places(places).unionByName(_only(places, near).select("place"))
+    doc = F.concat_ws(":", F.col("place.id"), F.col("place.doc"))
+    return gone.groupBy(doc.alias("doc")).agg(F.collect_set("place.line_no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, count: str = "n_removed", short_copies: bool = False) -> DataFrame:
