@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
 from ..staging import stage
-from .common import OWN
+from .common import OWN, join_salted
 from .components import components
 
 SEED = 42
@@ -342,21 +342,22 @@ def _links(keyed: DataFrame, radius: int, verify: tuple[int, float] | None = Non
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_components(marked: DataFrame, radius: int, blocks: str = "bands", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``marked`` (bits binary, minima array<long>, any other columns) with ``node`` and ``root``.
+def near_components(marked: DataFrame, radius: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(node, n, component_id) of each distinct fingerprint of ``marked`` (doc_id, bits, of 64 bits, stored).
 
-    ``root`` is the least node of the component.  ``blocks`` is ``bands`` (64-bit fingerprints, no pair
-    within the radius lost) or ``minima``.
+    ``n`` documents have the fingerprint; ``component_id`` is the least id of its component.  No pair within the radius is lost.
     """
-    word = F.conv(F.hex("bits"), 16, -10).cast("long") if blocks == "bands" else F.xxhash64("bits")
-    nodes = marked.select(word.alias("node"), "bits", "minima")
-    if blocks == "bands":
-        distinct = nodes.select("node", "bits").distinct().withColumn("keys", F.array(*_band_keys(F.col("node"), radius)))
-    else:
-        numbered = F.transform("minima", lambda k, i: F.xxhash64(i, k))
-        distinct = nodes.withColumn("keys", numbered).groupBy("node").agg(F.min("bits").alias("bits"), F.flatten(F.collect_set("keys")).alias("keys"))
-    roots = components(near_links(distinct, radius, chunk_rows))
-    return marked.withColumn("node", word).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    node = _number("bits").alias("node")
+    nodes = stage(marked.select(node, "bits", "doc_id").groupBy("node").agg(F.min("bits").alias("bits"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    roots = components(near_links(nodes.select("node", "bits", F.array(*_band_keys(F.col("node"), radius)).alias("keys")), radius, chunk_rows))
+    rooted = stage(nodes.join(roots, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    least = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "least")
+    return join_salted(rooted.select("node", "n", "root"), least, ["root"], "members", F.col("node")).select("node", "n", "component_id")
+
+
+def _number(bits: str) -> Column:
+    """A fingerprint of 64 bits as a long."""
+    return F.conv(F.hex(bits), 16, -10).cast("long")
 
 
 def radius_of(similarity: float, bits: int, margin: float = 6.0) -> int:
@@ -387,7 +388,8 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, words64
     blocks of equal minimum hashes: with a similarity of 0.8, eight minima all differ with a probability below
     3e-6.  Candidates are then verified on their shingles.  Rows equal in id and text are one document.
     """
-    key, radius = F.xxhash64("doc_id", "text"), radius_of(similarity, 64 * words64)
+    # texts of one id only could collide
+    key, radius = F.concat_ws(":", "doc_id", F.xxhash64("text")), radius_of(similarity, 64 * words64)
     marked = docs.select("doc_id", key.alias("row"), F.length("text").alias("chars"), set_column(F.col("text"), words, words64, n_minima).alias(OWN + "f"))
     marked = stage(marked.select("doc_id", "row", "chars", OWN + "f.*"), "fingerprints")
     # equal sets are one node, of which the first document stands for all
@@ -405,7 +407,7 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, words64
 
 def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """One row per document: its fingerprint and the least id of its component."""
-    marked = stage(docs.select("doc_id", fingerprint_column(F.col("text"), words).alias(OWN + "f")).select("doc_id", OWN + "f.*"), "fingerprints")
-    found = near_components(marked, radius)
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "root").select("doc_id", F.lower(F.hex("bits")).alias("fingerprint"), "component_id")
+    marked = stage(docs.select("doc_id", fingerprint_column(F.col("text"), words).alias(OWN + "f")).select("doc_id", OWN + "f.bits"), "fingerprints")
+    named = stage(near_components(marked, radius), "components")
+    found = join_salted(marked.withColumn("node", _number("bits")), named, ["node"], "n", F.col("doc_id"))
+    return found.select("doc_id", F.lower(F.hex("bits")).alias("fingerprint"), "component_id")
