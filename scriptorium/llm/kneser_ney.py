@@ -36,7 +36,7 @@ from .common import OWN
 
 ORDER, QUANTILE, FOLDS = 5, 0.99, 5
 #: Bytes of text in a chunk (one longer text is a chunk of its own) and n-grams that are handled at once.
-CHUNK_BYTES, BLOCK = 32_000_000, 1 << 20
+CHUNK_BYTES, BLOCK = 16_000_000, 1 << 20
 #: Trusted ids are broadcast up to so many, and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: A byte that UTF-8 never has.
