@@ -2,6 +2,9 @@
 
 import hashlib
 import itertools
+import math
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,6 +84,68 @@ def test_site_style_drops_repeated_branches(spark):
     assert got == {k: f"Story {k} is & was told in {k} parts twice" for k in range(12)}
 
 
+def test_style_tree_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pages = []
+    for k in range(60):
+        body = [f"<div class='top'><p>{rng.choice(['one', 'two'])}</p><p>same</p></div>"] * int(rng.integers(1, 3))
+        body += [f"<p>own {k} {j}</p>" for j in range(rng.integers(0, 4))] + ["<section><div>tail<div>deep</div></div></section>"] * int(rng.integers(0, 2))
+        pages.append((k, f"http://h{k % 3}.x/{k}", f"<body>{''.join(body)}</body>"))
+    got = {(r.host, r.node): r for r in site_style.style_tree(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    for h in range(3):
+        own = [site_style.Page(p) for _, u, p in pages if u.startswith(f"http://h{h}.")]
+        nodes = set().union(*[p.up for p in own])
+
+        def entropy(values, m):
+            return -sum(n / sum(values) * math.log(n / sum(values), m) for n in values) if m > 1 else 1.0
+
+        def importance(node):
+            here = [p for p in own if node in p.up]
+            m = len(here)
+            shown = [[x for x, y in zip(p.layout[node], [0, *p.layout[node]]) if x != y] for p in here if p.layout.get(node)]
+            layouts = Counter(map(str, shown))
+            fade = 0.9 ** max(len(layouts), 1)
+            look = (entropy(list(layouts.values()), m) if layouts else 0.0) if m > 1 else 1.0
+            texts = Counter(t for p in here for t in {t for n, t, *_ in p.blocks if n == node})
+            said = 1 - sum(n * math.log(n, m) for n in texts.values()) / sum(texts.values()) if texts and m > 1 else float(bool(texts))
+            mean = sum(p.layout[node].count(None) / len(p.layout[node]) for p in here if p.layout.get(node)) / m * said
+            for child in {c for p in here for c in p.layout.get(node, []) if c is not None}:
+                mean += sum(p.layout[node].count(child) / len(p.layout[node]) for p in here if p.layout.get(node)) / m * importance(child)
+            return (1 - fade) * look + fade * mean
+
+        def most(node):
+            return max(importance(n) for n in nodes if any(node in p.up.get(n, ()) for p in own))
+
+        assert {n for host, n in got if host == f"h{h}.x"} == nodes
+        for n in nodes:
+            r = got[f"h{h}.x", n]
+            assert r.importance == pytest.approx(importance(n), abs=1e-9) and r.most == pytest.approx(most(n), abs=1e-9)
+            assert r.pages == sum(n in p.up for p in own)
+
+
+def test_the_tree_decides_where_no_name_tells(spark):
+    page = "<body><div class='a'>On this site since 1999</div><div class='share-price'><p>Story {0} of the price</p></div><div class='z'><p>Call us</p><p>Write us</p></div></body>"
+    rows = spark.createDataFrame([(k, f"http://h.x/{k}", page.format(k)) for k in range(12)] + [(99, "http://lone.x/", page.format(99))], "page_id int, url string, html string")
+    got = {r.page_id: r.text for r in site_style.page_texts(rows).collect()}
+    assert got == {k: f"Story {k} of the price" for k in range(12)} | {99: "On this site since 1999 Story 99 of the price Call us Write us"}
+    assert site_style.main_text(page.format(3)) != got[3]
+    assert site_style.main_text("<section class='ad-hoc-report'><p>found</p></section><div id='notice-of-award'>won</div>") == "found won"
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<div>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<nav>x" * 50_000, '<a "' * 100_000 + ">", "<!--" * 100_000, "&" * 300_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    site_style.main_text(page)
+    site_style.page_stats(page)
+    assert time.process_time() - began < 5
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "http://h/1", "<p>a</p>", 5, "n"), (2, None, None, 6, "m")], "page_id int, url string, html string, host int, low string")
+    got = site_style.extract_text(rows.withColumns({"text": F.lit("old"), "n": F.lit(3), "node": F.lit(4)})).collect()
+    assert {(r.page_id, r.text, r.host, r.low, r.n, r.node) for r in got} == {(1, "a", 5, "n", 3, 4), (2, "", 6, "m", 3, 4)}
+
+
 def test_site_style_keeps_content_in_suspect_wrappers(spark):
     story = "A long story of many words that is the content of this page. " * 3
     pages = {
@@ -94,8 +159,9 @@ def test_site_style_keeps_content_in_suspect_wrappers(spark):
     rows = spark.createDataFrame([(k, f"http://h{k}.x/", v) for k, v in pages.items()], "page_id int, url string, html string")
     assert {r.page_id: r.text for r in site_style.page_texts(rows).collect()} == {k: story.strip() + cards.get(k, "") for k in pages}
     many = spark.createDataFrame([(f"http://h.x/{k}", "<body><nav>home</nav><p>own %d</p></body>" % k) for k in range(9)], "url string, html string")
-    tree = {r.path: r.importance for r in site_style.style_tree(many).collect()}
-    assert tree["/body/nav"] < 0.11 < tree["/body/p"]
+    tree = {r.node: r.importance for r in site_style.style_tree(many).collect()}
+    body = site_style._child(0, "body")
+    assert tree[site_style._child(body, "nav")] < 0.11 < 0.8 < tree[site_style._child(body, "p")]
 
 
 # --- 2 ---------------------------------------------------------------------------------------------
@@ -206,8 +272,8 @@ def test_hot_keys_in_chunks_lose_no_link(spark):
             marks.add(int(base) ^ sum(1 << int(i) for i in flips))
     marks = {m & ((1 << 64) - 1) for m in marks}
     want = brute_components(marks, 3)
-    rows = spark.createDataFrame([(bytearray(m.to_bytes(8, "big")), []) for m in marks], "bits binary, minima array<bigint>")
-    got = {int.from_bytes(r.bits, "big"): r.root for r in simhash.near_components(rows, 3, chunk_rows=20).collect()}
+    rows = spark.createDataFrame([(k, bytearray(m.to_bytes(8, "big"))) for k, m in enumerate(marks)], "doc_id bigint, bits binary")
+    got = {r.node & ((1 << 64) - 1): r.component_id for r in simhash.near_components(rows, 3, chunk_rows=20).collect()}
     pairs = {(want[m], got[m]) for m in marks}
     assert len(pairs) == len(set(want.values())) == len(set(got.values()))
 
@@ -318,6 +384,37 @@ def test_media_round_trip(docs, texts):
         assert r.continuity_errors == 0
 
 
+def section(pid, table, number, body, counter=0):
+    """Packets of one section, which may go on over several."""
+    rest = struct.pack(">HBBB", number, 0xC1, 0, 0) + body
+    raw = bytes([table]) + struct.pack(">H", 0xB000 | len(rest) + 4) + rest
+    raw = b"\0" + raw + struct.pack(">I", transport_stream._mpeg_crc(raw))
+    out = [struct.pack(">BHB", 0x47, (0x4000 if at == 0 else 0) | pid, 0x10 | counter + at // 184 & 15) + raw[at : at + 184].ljust(184, b"\xff") for at in range(0, len(raw), 184)]
+    return b"".join(out)
+
+
+def test_program_tables_of_odd_shapes():
+    data = transport_stream.mux(bytes(range(256)) * 40)[2 * 188 :]
+    first = section(0, 0, 1, struct.pack(">HHHH", 7, 0xE000 | 0x500, 8, 0xE000 | 0x600))
+    beyond = section(0x500, 2, 7, struct.pack(">HH", 0xE100, 0xF3FF))  # the program's info would go past the section
+    assert transport_stream.demux(first + beyond + data)[0] is False
+    cut = section(0x500, 2, 7, struct.pack(">HHBH", 0xE100, 0xF000, 6, 0xE100))  # a stream entry that is cut short
+    assert transport_stream.demux(first + cut + data)[0] is False
+    many = struct.pack(">HH", 0xE100, 0xF000) + b"".join(struct.pack(">BHH", 6, 0xE000 | pid, 0xF000) for pid in (*range(0x700, 0x780), 0x100))
+    assert len(section(0x500, 2, 7, many)) > 3 * 188
+    got = transport_stream.demux(first + section(0x500, 2, 7, many) + section(0x600, 2, 8, struct.pack(">HHBHH", 0xE100, 0xF000, 27, 0xE200, 0xF000)) + data)
+    assert got[:3] == (True, 0x100, 6) and got[8] == bytes(range(256)) * 40 and len(got[9]) == 130 and got[9][-1] == {"program": 8, "pid": 0x200, "stream_type": 27}
+    for n in range(188):  # no crash on any damaged byte of the tables
+        whole = bytearray(first + beyond + data)
+        whole[n] ^= 0xFF
+        transport_stream.demux(bytes(whole))
+
+
+def test_media_columns_are_replaced(spark):
+    got = transport_stream.add_media_columns(spark.createDataFrame([("a", "x", 1), (None, "y", 2)], "text string, ts string, media int")).collect()
+    assert [bytes(r.media.payload)[:1] for r in got] == [b"a", b"\0"] and {bytes(r.ts)[:1] for r in got} == {b"G"}
+
+
 def test_lost_packet_is_counted():
     stream = transport_stream.mux(bytes(range(256)) * 300)
     packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
@@ -363,6 +460,37 @@ def test_fit_samples_labelled_documents_that_are_there(spark, monkeypatch):
 # --- 8 ---------------------------------------------------------------------------------------------
 
 
+def test_licenses_at_four_fifths_match_brute_force_both_ways(spark):
+    rng = np.random.default_rng(8)
+    names, filler = sorted(license_scan.TEMPLATES), [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(240):
+        parts = []
+        for name in rng.choice(names, 2, replace=False):
+            words = license_scan.words_of(license_scan.TEMPLATES[name])
+            for _ in range(int(rng.integers(0, 1 + len(words) // 12))):  # a changed word breaks three shingles
+                words[rng.integers(len(words))] = "changed"
+            parts += [*rng.choice(filler, rng.integers(0, 120)), *words]
+        rows.append((k, " ".join(parts)))
+    got = {r.doc_id: r for r in license_scan.license_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    missed, met = 0, 0
+    for k, text in rows:
+        words, found = license_scan.words_of(text), set(got[k].licenses.split(","))
+        for name in names:
+            mine = grams(license_scan.words_of(license_scan.TEMPLATES[name]))
+            span = 2 * len(mine)  # the best share within any run of about the template's length
+            best = max(len(mine & grams(words[i : i + len(mine) + 4])) for i in range(len(words))) / len(mine)
+            anywhere = max(len(mine & grams(words[max(0, i - span) : i + 3 * span])) for i in range(0, len(words), span)) / len(mine)
+            if best >= 0.8:
+                met += 1
+                missed += name not in found
+            if name in found:
+                assert anywhere >= 0.8
+    assert met > 300 and missed == 0
+    assert any(r.covered for r in got.values()) and all(set(r.covered.split(",")) <= {"", *r.licenses.split(",")} for r in got.values())
+
+
 def test_licenses_match_brute_force(spark, texts):
     template = license_scan.TEMPLATES["gpl-notice"]
     changed = template.replace("redistribute", "share")
@@ -402,6 +530,23 @@ def test_packing_is_valid_and_tight(docs, texts):
     assert len(bins) <= len(packing.best_fit(sizes, 1024)) and len(bins) <= -(-sum(sizes) // 1024) * 1.02 + 1
 
 
+def test_local_search_beats_best_fit():
+    sizes = [int(x) for x in np.random.default_rng(200).integers(200, 345, 3000)]
+    bins = packing.best_fit(sizes, 1024)
+    better = packing.local_search(sizes, bins, 1024)
+    assert sorted(i for b in better for i in b) == list(range(3000)) and max(sum(sizes[i] for i in b) for b in better) <= 1024
+    assert len(better) <= 0.955 * len(bins)
+    assert packing.local_search(sizes, better, 1024) == better or len(packing.local_search(sizes, better, 1024)) <= len(better)
+
+
+def test_packing_repeated_rows_and_ties(spark):
+    rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, None), (None, None), (3, "word " * 3000)], "doc_id bigint, text string")
+    got = packing.pack(rows, BYTE).collect()
+    assert Counter((r.doc_id, r.piece) for r in got)[1, 0] == 2 and sum(r.doc_id is None for r in got) == 2
+    places = [(r.sequence_id, r.offset) for r in got]
+    assert len(places) == len(set(places)) and sorted(r.piece for r in got if r.doc_id == 3) == [0, 1, 2]
+
+
 def test_local_search_empties_bins():
     bins = [[0, 1], [2, 3], [4]]
     sizes = [5, 3, 4, 4, 2]  # best fit leaves 8, 8 and 2 of 10 where 9 and 9 hold all
