@@ -21,12 +21,12 @@ from scriptorium.staging import stage
 from scriptorium.tables import table
 
 #: Rejected rows are broadcast up to so many, and joined by shuffle beyond.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the quantile of their language."""
-    key = F.xxhash64("doc_id", "text", "lang")
+    key = F.concat_ws(":", "doc_id", F.xxhash64("text", "lang"))  # rows of one id only could collide
     judged = kneser_ney.classify(docs.select("doc_id", "lang", "text", key.alias(OWN + "row")), table(spark, sf_dir, "labels"))
     gone = stage(judged.where(~F.col("kept")).select(OWN + "row").distinct(), "rejected")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
