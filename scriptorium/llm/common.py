@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Prefix of columns that live only inside an operator.
@@ -14,6 +15,18 @@ OWN = "__scr_"
 SHARES, SALTS = 1_000, 1_000
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Jobs run inside send at most so many rows at once to Python, as texts are long; the session's own setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def annotate(docs: DataFrame, udf_column: Column, fields: list[str]) -> DataFrame:
     """``docs`` with the fields of one struct-valued expression as columns.
 

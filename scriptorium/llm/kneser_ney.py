@@ -6,7 +6,7 @@ byte, its suffix the value under a mask.  All counts, continuation counts, disco
 are DataFrame aggregations and joins over all trusted text.
 
 Scoring reads each text once.  Tasks cut their documents into chunks of bounded size and write, for each
-chunk, its distinct n-grams and its compressed rows, in buckets of the chunk's key.  The n-grams are joined with the
+chunk, its distinct n-grams and its rows, compressed in parts, in buckets of the chunk's key.  The n-grams are joined with the
 count tables, sharded by n-gram, and the resulting log probabilities meet the stored chunk again in its bucket; the
 texts themselves are never shuffled.  The n-grams gathered grow with the chunks and so with the input.
 
@@ -32,11 +32,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage, stage_bucketed
-from .common import OWN
+from .common import OWN, small_batches
 
 ORDER, QUANTILE, FOLDS = 5, 0.99, 5
-#: Bytes of text in a chunk (one longer text is a chunk of its own) and n-grams that are handled at once.
-CHUNK_BYTES, BLOCK = 16_000_000, 1 << 20
+#: Bytes of text in a chunk and in one of its parts (a longer text is a part of its own), and n-grams that are handled at once.
+CHUNK_BYTES, PART_BYTES, BLOCK = 16_000_000, 1 << 21, 1 << 20
 #: Trusted ids are broadcast up to so many, and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: A byte that UTF-8 never has.
@@ -133,7 +133,8 @@ class Model:
         if not 3 <= order <= 7:
             raise ValueError("an order of 3 to 7 bytes fits a long")
         self.order = order
-        by_order = {order: stage(counts, "ngrams")}
+        with small_batches(counts.sparkSession):
+            by_order = {order: stage(counts, "ngrams")}
         for n in range(order - 1, 0, -1):
             by_order[n] = stage(by_order[n + 1].groupBy(_suffix("g", n).alias("g")).agg(F.count("*").alias("c")), "ngrams")
         self.floor = 1.0 / (by_order[1].count() + 1)
@@ -181,28 +182,19 @@ class Model:
         return every.select("g", F.log("p").cast("float").alias("lp"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.Table]:
-    """Consecutive rows (text last) of ``chunk_bytes`` or just over; no row is cut."""
-    held, size = [], 0
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Consecutive rows (text last) of ``PART_BYTES`` or just over; no row is cut."""
     for batch in batches:
         _, bounds = _bytes_of(batch.column(batch.num_columns - 1))
         start = 0
         while start < batch.num_rows:
-            end = int(min(np.searchsorted(bounds, bounds[start] + chunk_bytes - size), batch.num_rows))
-            end = max(end, start + 1)
-            held.append(batch.slice(start, end - start))
-            size += int(bounds[end] - bounds[start])
+            end = max(start + 1, int(min(np.searchsorted(bounds, bounds[start] + PART_BYTES), batch.num_rows)))
+            yield pa.Table.from_batches([batch.slice(start, end - start)])
             start = end
-            if size >= chunk_bytes:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _last(table: pa.Table) -> pa.Array:
-    column = table.column(table.num_columns - 1)
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays([c.cast(pa.large_string()) for c in column.chunks] or [pa.array([], pa.large_string())])
+    return pa.concat_arrays([c.cast(pa.large_string()) for c in table.column(table.num_columns - 1).chunks] or [pa.array([], pa.large_string())])
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -239,38 +231,54 @@ def score(docs: DataFrame, model: Model, text: str = "text", chunk_bytes: int =
     kept_schema = docs.select(*others).schema
 
     def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, chunk_bytes):
-            seen = [np.empty(0, np.int64)]
-            for _, codes, real in Padded(_last(chunk), order).blocks():
+        key, size, seen = 0, 0, []
+
+        def row(codes: np.ndarray | None, pack: bytes | None) -> pa.RecordBatch:
+            lists = pa.array([None], pa.list_(pa.int64())) if codes is None else pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(codes))
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), lists, pa.array([pack], pa.binary())], ["chunk", "codes", "pack"])
+
+        for part in _parts(batches):
+            if not seen:
+                key, size, seen = int.from_bytes(os.urandom(8), "little", signed=True), 0, [np.empty(0, np.int64)]
+            texts = Padded(_last(part), order)
+            for _, codes, real in texts.blocks():
                 seen.append(np.unique(codes[real]))
-                if sum(map(len, seen)) > 4_000_000:
+                if sum(map(len, seen)) > 2_000_000:
                     seen = [np.unique(np.concatenate(seen))]
-            distinct = np.unique(np.concatenate(seen))
-            key = int.from_bytes(os.urandom(8), "little", signed=True)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pa.array(distinct))
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), lists, pa.array([_packed(chunk)], pa.binary())], ["chunk", "codes", "pack"])
+            size += len(texts.row)
+            yield row(None, _packed(part))
+            if size >= chunk_bytes:
+                yield row(np.unique(np.concatenate(seen)), None)
+                seen = []
+        if seen:
+            yield row(np.unique(np.concatenate(seen)), None)
 
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_bytes))
-    stored = stage_bucketed(rows.mapInArrow(packs, "chunk bigint, codes array<bigint>, pack binary"), "packs", "chunk", buckets)
+    with small_batches(spark):
+        stored = stage_bucketed(rows.mapInArrow(packs, "chunk bigint, codes array<bigint>, pack binary"), "packs", "chunk", buckets)
     wanted = stored.select("chunk", F.posexplode("codes").alias("pos", "g"))
     found = wanted.join(model.log_probabilities(wanted), "g").select(F.col("chunk").alias("of"), "pos", "lp")
 
-    def settle(pack: pa.Table, found: pa.Table) -> pa.Table:
-        table = pa.ipc.open_stream(pack["pack"][0].as_buffer()).read_all()
-        codes = pack["codes"].combine_chunks().values.to_numpy()
-        logs = np.zeros(len(codes))
+    def settle(parts: pa.Table, found: pa.Table) -> pa.Table:
+        codes = pc.list_flatten(parts["codes"].combine_chunks()).to_numpy()
+        logs, find, out = np.zeros(len(codes)), _positions(codes), []
         logs[found["pos"].to_numpy()] = found["lp"].to_numpy()
-        texts, find = Padded(_last(table), order), _positions(codes)
-        nll = np.zeros(len(texts.starts))
-        for a, block, real in texts.blocks():
-            values = np.zeros(len(block))
-            values[real] = logs[find(block[real])]
-            first = int(np.searchsorted(texts.starts, a, side="right")) - 1
-            end = int(np.searchsorted(texts.starts, a + len(block)))
-            nll[first:end] -= np.add.reduceat(values, np.maximum(texts.starts[first:end] - a, 0))
-        made = table.select(table.column_names[:-1])
-        return made.append_column("n", pa.array(np.diff(_bytes_of(_last(table))[1]))).append_column("nll", pa.array(nll))
+        for pack in parts["pack"]:
+            if not pack.is_valid:
+                continue
+            table = pa.ipc.open_stream(pack.as_buffer()).read_all()
+            texts = Padded(_last(table), order)
+            nll = np.zeros(len(texts.starts))
+            for a, block, real in texts.blocks():
+                values = np.zeros(len(block))
+                values[real] = logs[find(block[real])]
+                first = int(np.searchsorted(texts.starts, a, side="right")) - 1
+                end = int(np.searchsorted(texts.starts, a + len(block)))
+                nll[first:end] -= np.add.reduceat(values, np.maximum(texts.starts[first:end] - a, 0))
+            made = table.select(table.column_names[:-1])
+            out.append(made.append_column("n", pa.array(np.diff(_bytes_of(_last(table))[1]))).append_column("nll", pa.array(nll)))
+        return pa.concat_tables(out)
 
     both = stored.select("chunk", "codes", "pack").groupBy("chunk").cogroup(found.groupBy("of"))
     return both.applyInArrow(settle, kept_schema.add("n", "long").add("nll", "double"))
