@@ -31,7 +31,7 @@ from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
 from ..staging import stage
 from .bpe import byte_letters
-from .common import OWN
+from .common import OWN, small_batches
 
 CAPACITY, END_ID = 1024, 2
 BUCKET_ROWS = 20_000
@@ -223,10 +223,8 @@ def pack_bucket(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
 def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per piece of every document: key, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = docs.select(F.col(key).alias(key), pieces_column(F.col(text), path, capacity, end_id).alias(OWN + "p"))
-    rows = stage(
-        cut.select(key, F.inline(OWN + "p")).withColumn(OWN + "row", F.monotonically_increasing_id()),
-        "pieces",
-    )
+    with small_batches(docs.sparkSession):
+        rows = stage(cut.select(key, F.inline(OWN + "p")).withColumn(OWN + "row", F.monotonically_increasing_id()), "pieces")
     full = F.col("length") == capacity
     loose = rows.where(~full)
     buckets = max(1, -(-loose.count() // bucket_rows))

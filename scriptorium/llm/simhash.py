@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
 from ..staging import stage
-from .common import OWN, join_salted
+from .common import OWN, join_salted, small_batches
 from .components import components
 
 SEED = 42
 BLOCK, CHUNK_ROWS = 512, 16_384
 #: Characters of a candidate group that one chunk holds, and bytes that a task gathers before it compares.
-CHUNK_CHARS, HELD_BYTES = 8_000_000, 64_000_000
+CHUNK_CHARS, HELD_BYTES = 8_000_000, 32_000_000
 
 
 def shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
@@ -391,7 +391,8 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, words64
     # texts of one id only could collide
     key, radius = F.concat_ws(":", "doc_id", F.xxhash64("text")), radius_of(similarity, 64 * words64)
     marked = docs.select("doc_id", key.alias("row"), F.length("text").alias("chars"), set_column(F.col("text"), words, words64, n_minima).alias(OWN + "f"))
-    marked = stage(marked.select("doc_id", "row", "chars", OWN + "f.*"), "fingerprints")
+    with small_batches(docs.sparkSession):
+        marked = stage(marked.select("doc_id", "row", "chars", OWN + "f.*"), "fingerprints")
     # equal sets are one node, of which the first document stands for all
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "chars"))
     nodes = stage(marked.groupBy("node").agg(F.min("bits").alias("bits"), F.min("minima").alias("minima"), first.alias("first")), "nodes")
@@ -407,7 +408,8 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, words64
 
 def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """One row per document: its fingerprint and the least id of its component."""
-    marked = stage(docs.select("doc_id", fingerprint_column(F.col("text"), words).alias(OWN + "f")).select("doc_id", OWN + "f.bits"), "fingerprints")
+    with small_batches(docs.sparkSession):
+        marked = stage(docs.select("doc_id", fingerprint_column(F.col("text"), words).alias(OWN + "f")).select("doc_id", OWN + "f.bits"), "fingerprints")
     named = stage(near_components(marked, radius), "components")
     found = join_salted(marked.withColumn("node", _number("bits")), named, ["node"], "n", F.col("doc_id"))
     return found.select("doc_id", F.lower(F.hex("bits")).alias("fingerprint"), "component_id")
