@@ -60,29 +60,36 @@ def group_hits(text: Column, groups: dict[str, tuple[str, ...]]) -> Column:
     return F.create_map(*[x for name, words in groups.items() for x in (F.lit(name), keyword_hits(text, _strings(words)))])
 
 
-def evaluate(text: Column, clause_type: Column, rule: Rule, index: int) -> Column:
-    """Struct of hits, gates, confidence and level of one rule (level 0: no risk)."""
-    words, strong = keyword_hits(text, _strings(rule.keywords)), keyword_hits(text, _strings(rule.strong))
-    n_words, n_strong = F.size(words), F.size(strong)
+def find_hits(text: Column, clause_type: Column, rule: Rule) -> Column:
+    """Struct of what a text has of one rule: its words, and whether each gate is open."""
     related = F.lit(False)
     for name in rule.related:
         related = related | F.contains(clause_type, F.lit(name))
     hits = group_hits(text, rule.groups)
-    groups_ok = F.forall(F.map_values(hits), lambda h: F.size(h) > 0) if rule.groups else F.lit(True)
-    required_ok = (F.size(keyword_hits(text, _strings(rule.required_any))) > 0) if rule.required_any else F.lit(True)
-    combos_ok = all_of_any(text, rule.combinations)
-    is_blocked = (F.size(keyword_hits(text, _strings(rule.blocked))) > 0) & (n_words <= rule.blocked_max) & (n_strong == 0) if rule.blocked else F.lit(False)
+    return F.struct(
+        keyword_hits(text, _strings(rule.keywords)).alias("words"), keyword_hits(text, _strings(rule.strong)).alias("strong"), related.alias("related"),
+        (F.forall(F.map_values(hits), lambda h: F.size(h) > 0) if rule.groups else F.lit(True)).alias("groups"),
+        (F.size(keyword_hits(text, _strings(rule.required_any))) > 0 if rule.required_any else F.lit(True)).alias("required"),
+        all_of_any(text, rule.combinations).alias("combinations"),
+        (F.size(keyword_hits(text, _strings(rule.blocked))) > 0 if rule.blocked else F.lit(False)).alias("blocked"),
+    )
+
+
+def evaluate(hits: Column, rule: Rule, index: int) -> Column:
+    """Struct of hits, gates, confidence and level (0: no risk) of one rule, from a column of ``find_hits``."""
+    n_words, n_strong = F.size(hits["words"]), F.size(hits["strong"])
+    is_blocked = hits["blocked"] & (n_words <= rule.blocked_max) & (n_strong == 0)
     strong_ok = (n_strong > 0) if rule.require_strong else F.lit(True)
-    confidence = 6 * n_strong + 2 * n_words + related.cast("int") + groups_ok.cast("int")
-    passed = strong_ok & groups_ok & required_ok & combos_ok & ~is_blocked & (n_words + n_strong > 0)
+    confidence = 6 * n_strong + 2 * n_words + hits["related"].cast("int") + hits["groups"].cast("int")
+    passed = strong_ok & hits["groups"] & hits["required"] & hits["combinations"] & ~is_blocked & (n_words + n_strong > 0)
     level = (
         F.when(~passed, 0).when(n_strong > 0, 3).when((n_words >= rule.medium_at) | (confidence >= 6), 2)
-        .when((n_words >= rule.low_at) | (related & (n_words >= 1)), 1).otherwise(0)
+        .when((n_words >= rule.low_at) | (hits["related"] & (n_words >= 1)), 1).otherwise(0)
     )
     return F.struct(
         level.alias("level"), confidence.alias("confidence"), n_strong.alias("strong_count"), n_words.alias("keyword_count"), F.lit(-index).alias("precedence"),
-        F.lit(rule.risk_type).alias("risk_type"), F.slice(F.array_distinct(F.concat(strong, words)), 1, 8).alias("triggers"),
-        F.struct(strong_ok.alias("strong"), groups_ok.alias("groups"), required_ok.alias("required_any"), combos_ok.alias("combinations"), (~is_blocked).alias("not_blocked")).alias("checks"),
+        F.lit(rule.risk_type).alias("risk_type"), F.slice(F.array_distinct(F.concat(hits["strong"], hits["words"])), 1, 8).alias("triggers"),
+        F.struct(strong_ok.alias("strong"), hits["groups"].alias("groups"), hits["required"].alias("required_any"), hits["combinations"].alias("combinations"), (~is_blocked).alias("not_blocked")).alias("checks"),
     )
 
 
@@ -93,14 +100,17 @@ def identify_risks(clauses: DataFrame, rules: list[Rule], text: str = "text", cl
     keeps only key risks, as for attachments.
     """
     squashed = squash(F.col(text))
-    found = F.array(*[evaluate(F.col("__t"), F.coalesce(F.col(clause_type), F.lit("")), rule, i) for i, rule in enumerate(rules)])
+    kind = F.coalesce(F.col(clause_type), F.lit(""))
+    # each rule's hits are a column of their own, so a text is searched once for each word
+    looked = {f"__k{i}": find_hits(F.col("__t"), kind, rule) for i, rule in enumerate(rules)}
+    found = F.array(*[evaluate(F.col(f"__k{i}"), rule, i) for i, rule in enumerate(rules)])
     hits = F.filter("__r", lambda r: r["level"] > 0)
     ranked = F.reverse(F.array_sort(hits))
     top = F.slice(F.filter("__h", lambda r: r["level"] >= 2), 1, 2)
     chosen = F.when(F.size(top) > 0, top).otherwise(F.slice("__h", 1, 1))
     if key_only:
         chosen = F.filter(top, is_key_risk)
-    rows = clauses.withColumn("__t", squashed).withColumn("__r", found).withColumn("__h", ranked)
+    rows = clauses.withColumn("__t", squashed).withColumns(looked).withColumn("__r", found).withColumn("__h", ranked)
     out = rows.select(*clauses.columns, F.posexplode_outer(chosen).alias("risk_no", "r"))
     level = F.coalesce(F.col("r.level"), F.lit(0))
     names = F.array(*[F.lit(x) for x in LEVELS])
@@ -138,9 +148,10 @@ def classify(text: Column, section_title: Column, section: Column, titles: dict[
 
 def risk_summary(risks: DataFrame, key: str) -> DataFrame:
     """Per document: risks, those that need attention, high ones, key ones, and the count per type."""
-    types = risks.where("risk_level <> 'none'").groupBy(key, "risk_type").agg(F.count("*").alias("n"))
-    maps = types.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("risk_type", "n")))).alias("risk_type_counts"))
-    totals = risks.groupBy(key).agg(
-        F.count("*").alias("total"), F.count_if("needs_attention").alias("attention"), F.count_if(F.col("risk_level") == "high").alias("high"), F.count_if("is_key").alias("key_risks")
+    is_risk = F.col("risk_level") != "none"
+    kinds = risks.groupBy(key, "risk_type").agg(
+        F.count("*").alias("total"), F.count_if("needs_attention").alias("attention"), F.count_if(F.col("risk_level") == "high").alias("high"), F.count_if("is_key").alias("key_risks"), F.count_if(is_risk).alias("n")
     )
-    return totals.join(maps, key, "left")
+    entry = F.when(F.col("n") > 0, F.struct("risk_type", "n"))
+    made = kinds.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("total", "attention", "high", "key_risks")], F.array_sort(F.collect_list(entry)).alias("__e"))
+    return made.withColumn("risk_type_counts", F.when(F.size("__e") > 0, F.map_from_entries("__e"))).drop("__e")
