@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_hits, squash
+from ..staging import stage
 
 BLOCK_ROWS = 4096
 
@@ -36,7 +37,18 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, threshold: float
     return _compared(queries, corpus, k, threshold, block_rows).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _compared(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: float | None, block_rows: int) -> DataFrame:
+METRICS = ("cosine", "l2", "inner")
+
+
+def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """As ``cosine_top_k`` for any metric: the score is the cosine, the inner product, or the negative distance (``l2``)."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return _compared(queries, corpus, k, None, block_rows, metric).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _compared(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: float | None, block_rows: int, metric: str = "cosine") -> DataFrame:
     """(query_id, item_id, score) of each pair of blocks: the k nearest items of each query, or all for None."""
     n_query = max(1, -(-queries.count() // block_rows))
     n_item = max(1, -(-corpus.count() // block_rows))
@@ -45,6 +57,8 @@ def _compared(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: f
 
     def unit(column: pa.ChunkedArray) -> np.ndarray:
         m = np.array(column.to_pylist(), np.float64)
+        if metric != "cosine":
+            return m
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(norm > 0, norm, 1)
 
@@ -53,7 +67,11 @@ def _compared(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: f
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
         qid, iid = a["qid"].to_numpy(), b["iid"].to_numpy()
-        score = np.round(unit(a["v"]) @ unit(b["v"]).T, 9)
+        left, right = unit(a["v"]), unit(b["v"])
+        score = left @ right.T
+        if metric == "l2":
+            score = -np.sqrt(np.maximum((left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2 * score, 0))
+        score = np.round(score, 9)
         score[qid[:, None] == iid[None, :]] = -np.inf
         out = []
         for i, row in enumerate(score):
@@ -76,12 +94,11 @@ def bm25_top_k(docs: DataFrame, key: str, text: str, terms: list[str], k: int, k
     Only the terms asked for are counted, in place; two totals of the corpus are broadcast as one row.
     """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-
-    def count(term: str) -> Column:
-        return F.size(F.filter(words, lambda w: w == term))
-
-    counts = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    base = docs.select(key, F.size(words).alias("n"), *counts)
+    # cut once: one pass over the words counts all terms, and the few numbers per document are stored
+    zero = F.array(*[F.lit(0) for _ in range(len(terms) + 1)])
+    step = lambda a, w: F.array(a[0] + 1, *[a[i + 1] + (w == t).cast("int") for i, t in enumerate(terms)])
+    counted = docs.select(key, F.aggregate(words, zero, step).alias("c"))
+    base = stage(counted.select(key, F.col("c")[0].alias("n"), *[F.col("c")[i + 1].alias(f"tf{i}") for i in range(len(terms))]), "term_counts")
     stats = base.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
