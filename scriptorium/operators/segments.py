@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import lines_of, strip
 from .lines import Layout
 
 
@@ -32,13 +32,51 @@ def clause_title(section: Column, text: Column, fallback: str, size: int = 18) -
     return F.when(F.length(first) <= 1, F.concat(section, F.lit(fallback))).otherwise(F.left(first, F.lit(size)))
 
 
-def split_clauses(docs: DataFrame, key: str, text: str, marker: str, fallback: str = " clause") -> DataFrame:
-    """(key, pos, clause_id, section, title, text): one row per clause marker; what stands before the first goes."""
+def strip_section_titles(text: Column, section: str, clause: str) -> Column:
+    """Lines of a clause, stripped, without a section title that stands first (before a clause line) or last; blank lines go."""
+    lines = lines_of(text)
+    first = F.coalesce(F.get(lines, F.lit(0)).rlike(section) & F.get(lines, F.lit(1)).rlike(clause), F.lit(False))
+    led = F.when(first, F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines)
+    last = F.coalesce(F.try_element_at(led, F.lit(-1)).rlike(section), F.lit(False))
+    return F.array_join(F.when(last, F.slice(led, F.lit(1), F.size(led) - 1)).otherwise(led), "\n")
+
+
+def section_titles(docs: DataFrame, key: str, text: str, title: str) -> DataFrame:
+    """(key, place, section_title): every match of a title with the characters before it."""
+    parts = F.split(F.col(text), f"(?={title})", -1)
+    rows = docs.select(key, parts.alias("parts"), F.posexplode(parts).alias("at", "part")).where(F.col("part").rlike(f"^(?:{title})"))
+    place = F.aggregate(F.slice("parts", F.lit(1), F.col("at")), F.lit(0), lambda n, x: n + F.length(x))
+    return rows.select(key, place.alias("place"), F.regexp_extract("part", f"^({title})", 1).alias("section_title"))
+
+
+def split_clauses(docs: DataFrame, key: str, text: str, marker: str, fallback: str = " clause", section: str | None = None) -> DataFrame:
+    """(key, pos, clause_id, section, title, text): one row per clause marker; what stands before the first goes.
+
+    With ``section``, titles of sections at either end of a clause go, and its lines are stripped.
+    """
     pieces = docs.select(key, F.posexplode(F.split(F.col(text), f"(?={marker})", -1)).alias("at", "text")).where(F.col("text").rlike(f"^(?:{marker})"))
-    section = F.regexp_extract("text", f"^({marker})", 1)
+    mark = F.regexp_extract("text", f"^({marker})", 1)
     numbered = pieces.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("at")))
-    body = strip(F.col("text"))
-    return numbered.select(key, "pos", F.concat(F.lit("C"), F.col("pos")).alias("clause_id"), section.alias("section"), clause_title(section, body, fallback).alias("title"), body.alias("text"))
+    body = strip_section_titles(F.col("text"), section, f"^(?:{marker})") if section else strip(F.col("text"))
+    made = numbered.select(key, "pos", mark.alias("section"), body.alias("text"))
+    return made.select(key, "pos", F.concat(F.lit("C"), F.col("pos")).alias("clause_id"), "section", clause_title(F.col("section"), F.col("text"), fallback).alias("title"), "text")
+
+
+def split_any_clauses(docs: DataFrame, key: str, text: str, marker: str, section: str, soft: list[str], subpoint: str, **sizes) -> DataFrame:
+    """(key, pos, clause_id, text): by clause markers, and texts that have none by sections, soft words and points."""
+    marked = F.coalesce(F.col(text).rlike(marker), F.lit(False))
+    strong = split_clauses(docs.where(marked), key, text, marker, section=f"^(?:{section})").select(key, "pos", "clause_id", "text")
+    return strong.unionByName(split_weakly(docs.where(~marked), key, text, section, soft, subpoint, **sizes))
+
+
+def split_attachments(docs: DataFrame, key: str, text: str, marker: str, default: str) -> DataFrame:
+    """(key, pos, attachment_id, title, text): one row per attachment, titled by its first two lines; a text without a marker is one row."""
+    whole = strip(F.coalesce(F.col(text), F.lit("")))
+    parts = F.filter(F.split(F.col(text), f"(?={marker})", -1), lambda p: p.rlike(f"^(?:{marker})"))
+    rows = docs.select(key, (F.size(parts) > 0).alias("marked"), F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array(whole))).alias("n", "part")).where("trim(part) <> ''")
+    title = F.when(F.col("marked"), F.array_join(F.slice(lines_of(F.col("part")), 1, 2), " ")).otherwise(default)
+    pos = F.col("n") + 1
+    return rows.select(key, pos.alias("pos"), F.concat(F.lit("A"), pos).alias("attachment_id"), title.alias("title"), strip(F.col("part")).alias("text"))
 
 
 def nearest_before(marks: DataFrame, rows: DataFrame, key: str, position: str, value: str) -> DataFrame:
@@ -88,18 +126,14 @@ def split_contract(docs: DataFrame, key: str, text: str, layout: Layout, first_m
     clauses = nearest_before(sections, located("main", clause_marker), key, "place", "section_title")
     pos = F.row_number().over(Window.partitionBy(key).orderBy("place"))
     section = F.regexp_extract("text", f"^({clause_marker})", 1)
-    body = strip(F.col("text"))
+    body = strip_section_titles(F.col("text"), f"^(?:{heading})", f"^(?:{clause_marker})")
     main = clauses.withColumn("pos", pos).select(
         key, F.lit("main_body").alias("part"), "pos", F.concat(F.lit("C"), F.col("pos")).alias("item_id"),
         F.when(F.col("pos") == 1, F.coalesce("section_title", F.lit(default_section))).otherwise(F.col("section_title")).alias("section_title"),
         clause_title(section, body, " clause").alias("title"), body.alias("text"),
     )
-    found = located("attachments", layout.attachment.lstrip("^")).withColumn("pos", pos)
-    lines = F.filter(F.transform(F.split("text", "\n", -1), strip), lambda x: x != "")
-    extra = found.select(
-        key, F.lit("attachment").alias("part"), "pos", F.concat(F.lit("A"), F.col("pos")).alias("item_id"), F.lit(None).cast("string").alias("section_title"),
-        F.concat_ws(" ", F.slice(lines, 1, 2)).alias("title"), body.alias("text"),
-    )
+    found = split_attachments(cut, key, "attachments", layout.attachment.lstrip("^"), "attachment")
+    extra = found.select(key, F.lit("attachment").alias("part"), "pos", F.col("attachment_id").alias("item_id"), F.lit(None).cast("string").alias("section_title"), "title", "text")
     return main.unionByName(extra)
 
 
