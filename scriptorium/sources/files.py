@@ -6,18 +6,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import title_of
+from ..operators.serving import number_rows
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(chunk): a JSON list or JSON lines of objects with text or content, else the non-blank lines of a text file."""
+    """(chunk): a JSON list or JSON lines of strings or of objects with text or content, else the non-blank lines of a text file."""
+    if path.endswith(".json"):
+        whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("value"))
+    else:
+        whole = spark.read.text(path)
     if path.endswith((".json", ".jsonl")):
-        rows = spark.read.schema("text string, content string").option("multiLine", path.endswith(".json")).json(path)
-        found = rows.select(F.coalesce("text", "content").alias("chunk"))
+        # an object comes as its JSON text; a string of a JSON list as itself, of a line with its quotes
+        bare = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0] if path.endswith(".jsonl") else F.col("value")
+        found = whole.select(F.when(F.startswith(F.ltrim("value"), F.lit("{")), F.coalesce(F.get_json_object("value", "$.text"), F.get_json_object("value", "$.content"))).otherwise(bare).alias("chunk"))
     else:
-        found = spark.read.text(path).select(F.trim("value").alias("chunk"))
+        found = whole.select(F.trim("value").alias("chunk"))
     return found.where("chunk is not null and chunk <> ''")
 
 
+def read_report(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A report context from one JSON file of any depth."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def join_pages(pages: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """(key, text): the pages of each document, in order, with a blank line between them."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return pages.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias(text))
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): whole Markdown files."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
@@ -35,8 +53,7 @@ def read_news(spark: SparkSession, folder: str, limit: int) -> DataFrame:
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """(page_no, image_path): the image files of a folder, by path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,bmp,webp}").load(folder).select("path")
-    pages = files.groupBy().agg(F.array_sort(F.collect_list("path")).alias("p"))
-    return pages.select(F.posexplode("p").alias("n", "image_path")).select((F.col("n") + 1).alias("page_no"), "image_path")
+    return number_rows(files, ["path"], "n").select((F.col("n") + 1).cast("int").alias("page_no"), F.col("path").alias("image_path"))
 
 
 def first_source(candidates: list[tuple[str, Column]]) -> Column:
@@ -51,6 +68,18 @@ def first_source(candidates: list[tuple[str, Column]]) -> Column:
     return F.struct(text.alias("text"), used.alias("parser_used"), (used != candidates[0][0]).alias("fallback_used"), F.array_compact(F.array(*warnings)).alias("warnings"))
 
 
+#: A line that begins a page, with its number.
+PAGE_MARKER = r"(?im)^(?:page +([0-9]+)|第([0-9]+)页)[ ]*$"
+
+
+def numbered_pages(docs: DataFrame, key: str, text: str, marker: str = PAGE_MARKER) -> DataFrame:
+    """(key, page_no, text): the text after each marker line with the number in it; text before the first is page 1, blank pages go."""
+    rows = docs.select(key, F.posexplode(F.split(text, f"(?={marker})", -1)).alias("n", "part"))
+    given = F.coalesce(*[F.nullif(F.regexp_extract("part", "^" + marker, g), F.lit("")) for g in (1, 2)]).cast("int")
+    body = F.btrim(F.regexp_replace("part", "^" + marker, ""), F.lit(" \n\t\r"))
+    return rows.select(key, F.coalesce(given, F.lit(1)).alias("page_no"), body.alias("text")).where("text <> ''")
+
+
 def split_pages(docs: DataFrame, key: str, text: str, marker: str = r"(?im)^(?:page +[0-9]+|第[0-9]+页)[ ]*$") -> DataFrame:
     """(key, page_no, text): the text between marker lines; blank pages go."""
     pages = F.filter(F.transform(F.split(text, marker, -1), lambda p: F.btrim(p, F.lit(" \n\t\r"))), lambda p: p != "")
@@ -58,7 +87,9 @@ def split_pages(docs: DataFrame, key: str, text: str, marker: str = r"(?im)^(?:p
 
 
 def write_report(reports: DataFrame, path: str) -> None:
-    """Nested report rows as JSON lines."""
+    """Nested report rows as JSON lines; ``ValueError`` if there are none."""
+    if reports.isEmpty():
+        raise ValueError("there is nothing to write")
     reports.write.mode("overwrite").json(path)
 
 
@@ -71,6 +102,36 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_texts(rows: DataFrame, path: str, text: str = "markdown") -> None:
+    """Rendered texts, one file per task below a new folder named by the time; older folders stay."""
+    at = rows.sparkSession.sql("select date_format(current_timestamp(), 'yyyyMMdd_HHmmss')").first()[0]
+    rows.select(F.col(text).alias("value")).write.text(f"{path}/{at}")
+
+
+def write_rows(rows: DataFrame, path: str, kind: str) -> None:
+    """Rows as ``csv``, as a Markdown table (``md``) or as lines of ``column: value`` (``txt``)."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+    if kind == "csv":
+        write_csv(rows, path)
+    elif kind == "md":
+        head = rows.sparkSession.createDataFrame([(f"| {' | '.join(rows.columns)} |",), ("|" + "---|" * len(rows.columns),)], "value string")
+        lines = rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.regexp_replace(v, "[\n|]", " ") for v in values]), F.lit(" |")).alias("value"))
+        head.coalesce(1).write.mode("overwrite").text(path)
+        lines.write.mode("append").text(path)
+    elif kind == "txt":
+        rows.select(F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), v) for c, v in zip(rows.columns, values, strict=True)], F.lit("")).alias("value")).write.mode("overwrite").text(path)
+    else:
+        raise ValueError(f"unknown kind {kind}")
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8) -> DataFrame:
+    """A table of a database; with a numeric key and its bounds it is read in parts."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
+    if key and bounds:
+        reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
+    return reader.load()
+
+
 def with_defaults(state: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """State rows whose missing columns and values come from the defaults."""
     for name, value in defaults.items():

@@ -38,20 +38,23 @@ def first_seen(events: DataFrame, key: str) -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key])
 
 
-def write_new(stream: DataFrame, target: str, checkpoint: str, key: str) -> DataStreamWriter:
-    """A writer that appends only rows whose key the target does not hold yet.
+def write_new(stream: DataFrame, target: str, checkpoint: str, key: str, every: str | None = None) -> DataStreamWriter:
+    """A writer that appends only rows whose key no earlier batch had; once over what there is, or ``every`` interval.
 
-    The checkpoint makes a restart go on where it ended; a batch that is written again finds its own keys and adds nothing.
+    Keys are kept in a table of their own beside the target (``<target>_keys``), so that a batch reads those and not
+    the rows.  A batch writes below its own number, so one that is written again after a failure replaces its first try
+    and adds nothing twice.
     """
 
-    def batch(rows: DataFrame, _: int) -> None:
-        spark = rows.sparkSession
-        try:
-            seen = spark.read.parquet(target).select(key)
-            rows = rows.join(seen, key, "left_anti")
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        rows.dropDuplicates([key]).write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    def batch(rows: DataFrame, number: int) -> None:
+        spark, keys = rows.sparkSession, f"{target}_keys"
+        fresh = rows.dropDuplicates([key])
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(keys)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            seen = spark.read.parquet(keys)
+            fresh = fresh.join(seen.where(F.col("batch") != number).select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spark.read.parquet(f"{target}/batch={number}").select(key).write.mode("overwrite").parquet(f"{keys}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
