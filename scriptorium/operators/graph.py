@@ -2,23 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def merge_entities(nodes: DataFrame, edges: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+STRATEGIES = ("concatenate", "keep_first", "join_unique")
+
+
+def _merged(strategy: str, value: Column, order: Column, separator: str) -> Column:
+    listed = F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))), lambda x: x["v"])
+    if strategy == "keep_first":
+        return F.get(listed, F.lit(0))
+    return F.array_join(F.array_distinct(listed) if strategy == "join_unique" else listed, separator)
+
+
+def merge_entities(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, strategies: dict[str, str] | None = None, separator: str = "; ") -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after each alias (name, target) became its target.
 
-    Descriptions are joined without repeats; edges move, self-loops go, equal edges add up their weights.
+    Edges move, self-loops go, equal edges add up their weights.  ``strategies`` names one for each column of the nodes:
+    ``concatenate`` all values, ``keep_first`` (the target's own, else the first alias's by name) or
+    ``join_unique``.  Without it, kinds keep the least and descriptions are joined without repeats, in order.
     """
-    named = nodes.join(aliases, "name", "left").withColumn("name", F.coalesce("target", "name"))
-    merged = named.groupBy("name").agg(F.min("kind").alias("kind"), F.concat_ws("; ", F.array_sort(F.collect_set("description"))).alias("description"))
+    named = nodes.join(aliases, "name", "left").withColumn("__old", F.struct(F.col("target").isNotNull().alias("a"), F.col("name").alias("n"))).withColumn("name", F.coalesce("target", "name"))
+    if strategies is None:
+        merged = named.groupBy("name").agg(F.min("kind").alias("kind"), F.concat_ws("; ", F.array_sort(F.collect_set("description"))).alias("description"))
+    else:
+        if unknown := set(strategies.values()) - set(STRATEGIES):
+            raise ValueError(f"unknown strategies: {sorted(unknown)}")
+        merged = named.groupBy("name").agg(*[_merged(strategies.get(c, "keep_first"), F.col(c), F.col("__old"), separator).alias(c) for c in nodes.columns if c != "name"])
     a = aliases.select(F.col("name").alias("src"), F.col("target").alias("s"))
     b = aliases.select(F.col("name").alias("dst"), F.col("target").alias("d"))
     moved = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "weight")
     return merged, moved.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def insert_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with new ones: a known name keeps its node, a known edge adds the weight, ends without a node get an empty one."""
+    ends = new_edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
+    every = new_nodes.unionByName(ends.join(new_nodes, "name", "left_anti"), allowMissingColumns=True).dropDuplicates(["name"])
+    grown = nodes.unionByName(every.join(nodes.select("name"), "name", "left_anti"), allowMissingColumns=True)
+    return grown, edges.unionByName(new_edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def delete_entities(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes without those named, and edges without those that end at one of them."""
+    gone = names.select("name").distinct()
+    left = edges.join(gone.withColumnRenamed("name", "src"), "src", "left_anti").join(gone.withColumnRenamed("name", "dst"), "dst", "left_anti")
+    return nodes.join(gone, "name", "left_anti"), left.select(edges.columns)
+
+
+def delete_relations(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Edges without the pairs (src, dst); their nodes stay."""
+    return edges.join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+
+
 def delete_documents(items: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """Items (name, doc_id) that some document which stays still has: the shared ones are kept."""
     return items.join(doc_ids, "doc_id", "left_anti").groupBy("name").agg(F.count("*").alias("n_sources"))
@@ -28,3 +65,47 @@ def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(name, neighbour, weight): the edges at each seed (name), in either direction."""
     both = edges.select(F.col("src").alias("name"), F.col("dst").alias("neighbour"), "weight").unionByName(edges.select(F.col("dst").alias("name"), F.col("src").alias("neighbour"), "weight"))
     return both.join(seeds, "name", "left_semi")
+
+
+def heaviest_edges(edges: DataFrame, words: Column, k: int) -> DataFrame:
+    """The global search: the k edges of most weight whose ends hold one of the words."""
+    found = F.exists(words, lambda w: F.contains("src", w) | F.contains("dst", w))
+    return edges.where(found).orderBy(F.desc("weight"), "src", "dst").limit(k)
+
+
+def search_graph(edges: DataFrame, seeds: DataFrame, words: Column, k: int, mode: str, chunks: DataFrame | None = None) -> DataFrame:
+    """(part, item, weight) that a query mode shows: ``local`` the neighbourhood of the seeds, ``global`` the heaviest edges, ``hybrid`` both, ``naive`` the chunks (item, weight), ``mix`` all, ``bypass`` nothing."""
+    near = neighbours(edges, seeds).select(F.lit("local").alias("part"), F.concat_ws("|", "name", "neighbour").alias("item"), F.col("weight").cast("double").alias("weight"))
+    far = heaviest_edges(edges, words, k).select(F.lit("global").alias("part"), F.concat_ws("|", "src", "dst").alias("item"), F.col("weight").cast("double").alias("weight"))
+    parts = {"local": [near], "global": [far], "hybrid": [near, far], "naive": [], "mix": [near, far], "bypass": [near.limit(0)]}[mode]
+    if mode in ("naive", "mix"):
+        if chunks is None:
+            raise ValueError(f"{mode} searches chunks; give some")
+        parts = [*parts, chunks.select(F.lit("chunk").alias("part"), F.col("item").cast("string").alias("item"), F.col("weight").cast("double").alias("weight"))]
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.unionByName(part)
+    return made
+
+
+def insert_documents(store: DataFrame, texts: DataFrame) -> DataFrame:
+    """A store (doc_id, text) with the documents it does not hold yet; a null id becomes the MD5 of the text."""
+    named = texts.select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("doc-"), F.md5(F.col("text").cast("binary")))).alias("doc_id"), "text").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return store.unionByName(named.join(store.select("doc_id"), "doc_id", "left_anti"))
+
+
+def unique_contexts(chunks: DataFrame, key: str, order: str, context: str) -> DataFrame:
+    """Each context once per key, where it comes first; blank ones go."""
+    first = chunks.where(F.trim(context) != "").groupBy(key, context).agg(F.min(order).alias(order))
+    return first.select(key, order, context)
+
+
+def token_chunks(docs: DataFrame, key: str, tokens: Column, size: int = 1200, overlap: int = 100) -> DataFrame:
+    """(key, chunk_no, tokens): arrays of ``size`` tokens that overlap; the last one may be shorter, none is only overlap."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be below the size")
+    step, n = size - overlap, F.size("__t")
+    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step))
+    cut = F.transform(starts, lambda s: F.slice("__t", s + 1, F.lit(size)))
+    rows = docs.select(key, tokens.alias("__t")).where(n > 0)
+    return rows.select(key, F.posexplode(cut).alias("chunk_no", "tokens"))
