@@ -17,7 +17,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
         whole = spark.read.text(path)
     if path.endswith((".json", ".jsonl")):
         # an object comes as its JSON text; a string of a JSON list as itself, of a line with its quotes
-        bare = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0] if path.endswith(".jsonl") else F.col("value")
+        bare = F.get(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>"), F.lit(0)) if path.endswith(".jsonl") else F.col("value")
         found = whole.select(F.when(F.startswith(F.ltrim("value"), F.lit("{")), F.coalesce(F.get_json_object("value", "$.text"), F.get_json_object("value", "$.content"))).otherwise(bare).alias("chunk"))
     else:
         found = whole.select(F.trim("value").alias("chunk"))
