@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
 from .common import annotate
 
-NO_MERGE = 1 << 40
-CACHE_WORDS = 200_000
+NO_MERGE = 1 << 40  # above any rank << 17 | symbol
+CACHE_WORDS = 150_000
 #: Fixed values of the file format: white space as its expressions see it, and its split pattern.
 SPACE = r"\t\n\v\f\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -46,25 +47,22 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-def merge_word(symbols: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
-    """The symbols after all merges, always the leftmost of lowest rank first.
-
-    ``merges`` maps left << 17 | right to (rank, merged symbol).
-    """
+def merge_word(symbols: list[int], merges: dict[int, int]) -> list[int]:
+    """The symbols after all merges; ``merges`` has ``rank << 17 | merged`` for each ``left << 17 | right``."""
     n = len(symbols)
     if n < 2:
         return symbols
     get = merges.get
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
-    # a leaf is rank * size + position, so the lesser leaf is the lesser rank, then the leftmost
-    none = NO_MERGE * size
+    bits = (n - 2).bit_length() if n > 2 else 0
+    size = 1 << bits
+    # a leaf is (rank, merged, position) in one number, so the lesser leaf is the lesser rank, then the leftmost
+    none = NO_MERGE << bits
     tree = [none] * (2 * size)
     left = symbols[0]
     for i in range(1, n):
         right = symbols[i]
-        found = get(left << 17 | right)
-        if found:
-            tree[size + i - 1] = found[0] * size + i - 1
+        if found := get(left << 17 | right):
+            tree[size + i - 1] = found << bits | i - 1
         left = right
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
@@ -76,33 +74,39 @@ def merge_word(symbols: list[int], merges: dict[int, tuple[int, int]]) -> list[i
     mask = size - 1
     while (root := tree[1]) < none:
         i = root & mask
+        merged = root >> bits & 0x1FFFF
         j = following[i]
-        symbols[i] = merged = get(symbols[i] << 17 | symbols[j])[1]
-        symbols[j] = -1
         following[i] = after = following[j]
-        changes = [(i, none)]
-        if j < n - 1:
-            changes.append((j, none))
+        symbols[i], symbols[j] = merged, -1
+        # three leaves change at most; a last symbol has no leaf
+        x, y, z = size + i, size + (j if j < n - 1 else i), size + i
+        tree[y] = none
         if after < n:
             previous[after] = i
-            if found := get(merged << 17 | symbols[after]):
-                changes[0] = (i, found[0] * size + i)
-        if (before := previous[i]) >= 0:
+            found = get(merged << 17 | symbols[after])
+            tree[x] = found << bits | i if found else none
+        else:
+            tree[x] = none
+        before = previous[i]
+        if before >= 0:
+            z = size + before
             found = get(symbols[before] << 17 | merged)
-            changes.append((before, found[0] * size + before if found else none))
-        for k, value in changes:
-            k += size
-            if tree[k] == value:
-                continue
-            tree[k] = value
-            k >>= 1
-            while k:
-                a, b = tree[2 * k], tree[2 * k + 1]
-                best = a if a < b else b
-                if tree[k] == best:
-                    break
-                tree[k] = best
-                k >>= 1
+            tree[z] = found << bits | before if found else none
+        x >>= 1
+        y >>= 1
+        z >>= 1
+        while x:  # up to the root, each node once
+            a, b = tree[2 * x], tree[2 * x + 1]
+            tree[x] = a if a < b else b
+            if y != x:
+                a, b = tree[2 * y], tree[2 * y + 1]
+                tree[y] = a if a < b else b
+            if z != x and z != y:
+                a, b = tree[2 * z], tree[2 * z + 1]
+                tree[z] = a if a < b else b
+            x >>= 1
+            y >>= 1
+            z >>= 1
     return [s for s in symbols if s >= 0]
 
 
@@ -115,7 +119,7 @@ class WordBpe:
         vocab = data["model"]["vocab"]
         self.end = data["model"]["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]]
-        self.merges = {vocab[a] << 17 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = {vocab[a] << 17 | vocab[b]: rank << 17 | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         letters = byte_letters()
         self.inner = [vocab[x] for x in letters]
         self.last = [vocab[x + self.end] for x in letters]
@@ -125,26 +129,35 @@ class WordBpe:
         self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pieces = regex.compile(PIECES)
         self.other_spaces = [c for c in map(chr, range(0x3001)) if c != " " and regex.match(f"[{SPACE}]", c)]
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        # words and what stands between spaces; when the young ones are too many they become the old ones
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.cache_words = cache_words
 
+    def _known(self, text: str) -> tuple[int, ...] | None:
+        found = self.young.get(text)
+        if found is None and (found := self.old.get(text)) is not None:
+            self.young[text] = found
+        return found
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        found = self._known(word)
+        if found is None:
+            raw = word.encode("utf-8", "surrogatepass")
+            symbols = [self.inner[b] for b in raw]
+            symbols[-1] = self.last[raw[-1]]
+            found = self.young[word] = tuple(merge_word(symbols, self.merges))
+        return found
+
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """The ids of what stands between two spaces; no piece crosses a space."""
-        ids: list[int] = []
-        for piece in self.pieces.findall(chunk):
-            found = self.words.get(piece)
-            if found is None:
-                raw = piece.encode("utf-8", "surrogatepass")
-                symbols = [self.inner[b] for b in raw]
-                symbols[-1] = self.last[raw[-1]]
-                found = self.words[piece] = tuple(merge_word(symbols, self.merges))
-            ids += found
-        if len(self.cache) >= self.cache_words:
-            self.cache.clear()
-        if len(self.words) >= self.cache_words:
-            self.words.clear()
-        found = self.cache[chunk] = tuple(ids)
+        found = self._known(chunk)
+        if found is None:
+            if len(self.young) >= self.cache_words:
+                self.old, self.young = self.young, {}
+            pieces = self.pieces.findall(chunk)
+            found = self._word(pieces[0]) if len(pieces) == 1 else tuple(i for piece in pieces for i in self._word(piece))
+            self.young[chunk] = found
         return found
 
     def _plain(self, text: str, out: list[int]) -> None:
@@ -153,9 +166,9 @@ class WordBpe:
         for space in self.other_spaces:
             if space in text:
                 text = text.replace(space, " ")
-        get, extend, chunk = self.cache.get, out.extend, self.chunk
+        extend, chunk = out.extend, self.chunk
         for piece in text.lower().split(" "):
-            ids = get(piece)
+            ids = self.young.get(piece)
             extend(chunk(piece) if ids is None else ids)
 
     def encode(self, text: str) -> list[int]:
@@ -175,6 +188,12 @@ class WordBpe:
         return " ".join(map(self.token.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def word_bpe(path: str) -> WordBpe:
+    """One encoder per worker and file."""
+    return WordBpe(path)
+
+
 ENCODED = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
@@ -182,7 +201,7 @@ def encode_column(text: Column, path: str) -> Column:
     """Struct of ``ids`` and ``decoded`` for each text (null: as empty)."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = WordBpe(path)
+        bpe = word_bpe(path)
         for batch in batches:
             flat: list[int] = []
             ends, decoded = [0], []
