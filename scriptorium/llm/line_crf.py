@@ -81,12 +81,16 @@ def repeat_words(words: list[bytes]) -> int:
     n = len(words)
     if n < 4:
         return 0
-    h = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
-    with np.errstate(over="ignore"):
-        g = (h[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
-        g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ h[2:] * np.uint64(0x94D049BB133111EB)
-    order = np.argsort(g, kind="stable")
-    same = g[order][1:] == g[order][:-1]
+    known: dict[bytes, int] = {}
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, n)
+    a, b, c = ids[:-2], ids[1:-1], ids[2:]
+    if len(known) < 1 << 21:  # three numbers of words in one
+        whole = a << 42 | b << 21 | c
+        order = np.argsort(whole, kind="stable")
+        same = whole[order][1:] == whole[order][:-1]
+    else:
+        order = np.lexsort((c, b, a))
+        same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (a, b, c)])
     if not same.any():
         return 0
     twice = np.zeros(n - 2, bool)
