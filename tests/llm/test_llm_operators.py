@@ -192,6 +192,51 @@ def test_a_mixture_of_four_languages_keeps_all():
 # --- 3 ---------------------------------------------------------------------------------------------
 
 
+def test_mixture_matches_brute_force(spark, docs):
+    names, table = language_mixture.train(docs, "text", "lang")
+    cell = lambda gram: language_mixture._cells(language_mixture._points(gram))[0]
+    rows = docs.where("n_chars between 200 and 3000").limit(25).collect()
+    values = [r.text for r in rows] + [rows[0].text + " " + rows[1].text, "a", ""]
+    for text, found in zip(values, language_mixture.mixtures(values, table), strict=True):
+        words = ["".join(g) for k, g in itertools.groupby(text.lower(), str.isalpha) if k]
+        if not words:
+            assert found is None
+            continue
+        like = np.array([table[cell(f" {w} ")].sum(0) for w in words], float)
+        like = np.exp(like - like.max(1, keepdims=True))
+
+        def em(share, rounds):
+            for _ in range(rounds):
+                joint = like * share
+                share = (joint / np.maximum(joint.sum(1, keepdims=True), 1e-30)).mean(0)
+            return share, np.log(np.maximum((like * share).sum(1), 1e-30)).sum()
+
+        share, _ = em(np.full(len(names), 1 / len(names)), 8)
+        order, best = np.argsort(-share, kind="stable"), None
+        for k in range(1, len(names) + 1):
+            allowed = np.isin(np.arange(len(names)), order[:k])
+            begin = share * allowed + 1e-6 * allowed
+            fitted, value = em(begin / begin.sum(), 0 if k == 1 else 4)
+            value -= (k - 1) * (0.5 * np.log(len(words)) + np.log(len(names)))
+            if best is None or value > best[0] + 1e-9:
+                best = (value, set(order[:k].tolist()), fitted)
+        assert set(found[0].tolist()) == best[1] and found[1] == pytest.approx(best[2][found[0]], abs=1e-3)
+
+
+def test_long_texts_hold_equal_words_once(docs):
+    names, table = language_mixture.train(docs, "text", "lang")
+    values = [r.text for r in docs.orderBy("doc_id").limit(40).collect()] + [None, "xyz " * 5000]
+    for a, b in zip(language_mixture.mixtures(values, table), language_mixture.mixtures(values, table, held_words=50), strict=True):
+        assert (a is None and b is None) or (a[0].tolist() == b[0].tolist() and a[1] == pytest.approx(b[1], abs=1e-4))
+
+
+def test_noisy_language_column_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_mixture, "MAX_LANGUAGES", 3)
+    rows = spark.createDataFrame([(f"word{k % 5} " * 5, f"l{k % 5}" if k > 4 else "l0") for k in range(40)], "text string, lang string")
+    names, table = language_mixture.train(rows, "text", "lang")
+    assert len(names) == 3 and names[0] == "l0" and table.shape == (language_mixture.CELLS, 3)
+
+
 def test_kneser_ney_sums_to_one_and_matches_brute_force(spark):
     text = "abracadabra banana"
     model = kneser_ney.Model(kneser_ney.count_ngrams(spark.createDataFrame([(text,)], "text string"), 3), 3)
@@ -223,6 +268,41 @@ def test_kneser_ney_sums_to_one_and_matches_brute_force(spark):
         assert p == pytest.approx(chance(g), rel=1e-4)
 
 
+def test_thresholds_by_language_and_ties(spark):
+    rng = np.random.default_rng(11)
+    words = {"aa": ["alpha", "beta", "gamma", "delta"], "bb": ["uno", "duo", "tres", "quattuor"]}
+    rows = [(k, " ".join(rng.choice(words[lang], 60)), lang) for k in range(400) for lang in ("aa" if k % 2 else "bb",)]
+    rows += [(1000, "alpha " * 60, "cc"), (1001, "zqx " * 60, "cc"), (1002, "zqx " * 60, "aa"), (1003, None, "aa"), (1004, "", "bb"), (1005, "alpha " * 60, None), (1006, "zqx " * 60, "aa")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(400)] + [(1002, 1, 0), (1002, 0, 0)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.classify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), labels, quantile=0.9).collect()}
+    assert not got[1002].trusted  # a label denies it
+    held = {k for k, h in ((r.doc_id, r.h) for r in spark.range(400).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(kneser_ney.FOLDS)) == 0).alias("h")).collect()) if h}
+    for lang in ("aa", "bb"):
+        lpp = sorted(math.ceil(math.log(got[k].perplexity) * 1000) / 1000 for k in held if got[k].lang == lang)
+        want = lpp[math.ceil(0.9 * len(lpp)) - 1]
+        assert math.log({got[k].threshold for k in got if got[k].lang == lang}.pop()) == pytest.approx(want, abs=1e-6)
+    every = sorted(math.ceil(math.log(got[k].perplexity) * 1000) / 1000 for k in held)
+    assert math.log(got[1000].threshold) == pytest.approx(every[math.ceil(0.9 * len(every)) - 1], abs=1e-6)  # a language without trusted text
+    assert got[1000].kept and got[1005].kept and not any(got[k].kept for k in (1001, 1002, 1003, 1004, 1006)) and got[1002].perplexity == got[1006].perplexity
+    for r in got.values():
+        assert r.kept == (r.n > 0 and math.log(r.perplexity) <= math.log(r.threshold) + 1e-12)
+
+
+def test_scores_match_brute_force_however_chunks_are_cut(spark, docs, texts):
+    model = kneser_ney.Model(kneser_ney.count_ngrams(docs.select("text")))
+    grams = {}
+    for k, t in texts.items():
+        raw = bytes([kneser_ney.PAD]) * 4 + (t or "").encode()
+        grams[k] = [int.from_bytes(raw[i : i + 5], "big") for i in range(len(raw) - 4)]
+    wanted = spark.createDataFrame([(g,) for g in set(itertools.chain(*grams.values()))], "g bigint")
+    lp = {r.g: r.lp for r in model.log_probabilities(wanted).collect()}
+    for rows, size in ((docs, 1 << 24), (docs.repartition(3), 20_000)):
+        got = {r.doc_id: (r.n, r.nll) for r in kneser_ney.score(rows.select("doc_id", "text"), model, chunk_bytes=size).collect()}
+        assert set(got) == set(texts)
+        for k, own in grams.items():
+            assert got[k][0] == len(own) and got[k][1] == pytest.approx(-sum(lp[g] for g in own), rel=1e-5, abs=1e-6)
+
+
 def test_classifier_rejects_junk(spark, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     junk = spark.createDataFrame([(900_000 + k, "zqxj#%wvk " * 60, "en", "s", 600) for k in range(3)], SCHEMA)
@@ -278,6 +358,36 @@ def test_hot_keys_in_chunks_lose_no_link(spark):
     assert len(pairs) == len(set(want.values())) == len(set(got.values()))
 
 
+@pytest.mark.parametrize("similarity", [0.80, 0.82, 0.85, 0.75])
+def test_near_dedup_recall_at_the_bound(spark, similarity):
+    rng = np.random.default_rng(int(similarity * 100))
+    rows, pairs = [], []
+    for k in range(120):
+        size = int(rng.integers(120, 320))
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, size)]
+        near, grams = list(base), lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        own = grams(base)
+        at = 0
+        while True:  # replace words until the next one would go below the bound
+            tried = list(near)
+            tried[(at * 7) % size] = f"x{k}_{at}"
+            shared = len(own & grams(tried))
+            if shared / (2 * len(own) - shared) < similarity:
+                break
+            near, at = tried, at + 1
+        if similarity < 0.8:
+            near = tried
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+        shared = len(own & grams(near))
+        pairs.append(shared / (2 * len(own) - shared))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {2 * k for k in range(120)} <= kept
+    caught = [2 * k + 1 not in kept for k in range(120)]
+    assert all(not c for c, p in zip(caught, pairs, strict=True) if p < 0.8)  # nothing below the bound goes
+    if similarity >= 0.8:
+        assert np.mean([c for c, p in zip(caught, pairs, strict=True) if p >= 0.8]) >= 0.99
+
+
 def test_near_dedup_keeps_first_of_each_group(spark):
     rng = np.random.default_rng(2)
     words = [f"w{k}" for k in range(5000)]
@@ -457,6 +567,45 @@ def test_fit_samples_labelled_documents_that_are_there(spark, monkeypatch):
     assert Counter(label for _, label in line_crf.fit_from_labels(docs, labels, max_fit_docs=4)) == {0: 4, 1: 4}
 
 
+def test_field_fitted_on_half_the_labels_judges_the_other_half(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    field = line_crf.fit_from_labels(docs, labels.where("doc_id % 2 = 0"))
+    quality = {r.doc_id: r.quality for r in labels.where("doc_id % 2 = 1").collect()}
+    got = [(quality[r.doc_id], r.kept) for r in line_crf.line_quality(docs.where("doc_id % 2 = 1"), field).collect() if r.doc_id in quality and not r.base_failed]
+    assert np.mean([k for q, k in got if q == 1]) > 0.98 and np.mean([k for q, k in got if q == 0]) < 0.1 and len(got) > 100
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(4, len(line_crf.FEATURES)))
+    field = line_crf.Field(rng.normal(size=len(line_crf.FEATURES)), rng.normal(size=(2, 2)))
+
+    def likelihood(f, label):
+        score = rows @ f.emission
+        paths = [sum(score[i] * y for i, y in enumerate(p)) + sum(f.transition[a, b] for a, b in zip(p, p[1:])) for p in itertools.product((0, 1), repeat=4)]
+        one = sum(score) * label + 3 * f.transition[label, label]
+        return one - np.logaddexp.reduce(paths)
+
+    for label in (0, 1):
+        e, t = field.gradient(rows, label)
+        for k in range(len(e)):
+            step = np.eye(len(e))[k] * 1e-6
+            assert e[k] == pytest.approx((likelihood(line_crf.Field(field.emission + step, field.transition), label) - likelihood(field, label)) / 1e-6, abs=1e-3)
+        for i, j in itertools.product((0, 1), repeat=2):
+            step = np.zeros((2, 2))
+            step[i, j] = 1e-6
+            assert t[i, j] == pytest.approx((likelihood(line_crf.Field(field.emission, field.transition + step), label) - likelihood(field, label)) / 1e-6, abs=1e-3)
+
+
+def test_repeat_words_match_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        words = [bytes([97 + x]) for x in rng.integers(0, 5, rng.integers(0, 40))]
+        grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        covered = {i + d for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for d in range(3)}
+        assert line_crf.repeat_words(words) == len(covered)
+
+
 # --- 8 ---------------------------------------------------------------------------------------------
 
 
