@@ -1,8 +1,8 @@
 """Connected components of a link table, as joins and aggregations.
 
 Large-star and small-star steps alternate until the links are stars.  Minima are aggregated
-before they are joined back, so a hub of any degree is one partial sum per task and its links
-stay spread.  Each round is written to the shared folder, which bounds the lineage.
+before they are joined back, so a hub of any degree is one partial sum per task, and in the joins the links of
+hubs are dealt to salted keys.  Each round is written to the shared folder, which bounds the lineage.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
+from .common import join_salted
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,11 +27,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: every greater neighbour is linked to the least of the neighbourhood
         both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where(v > u).join(least, "u").select(v.alias("u"), F.col("m").alias("v")).distinct()
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = stage(join_salted(both.where(v > u), least, ["u"], "n", v).select(v.alias("u"), F.col("m").alias("v")).distinct(), "large_star")
         # small star: the lesser neighbours and the node itself are linked to the least of them
-        lesser = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lesser, "u")
+        lesser = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lesser")
+        small = join_salted(large, lesser, ["u"], "n", v)
         step = small.where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v")).unionByName(lesser.select("u", F.col("m").alias("v")))
         edges = stage(step.distinct(), "links")
         now = _mark(edges)

@@ -5,7 +5,7 @@ word shingles.  Fingerprints are compared within blocks.  A block stores bit pla
 holds bit i of all its fingerprints.  For a fingerprint that is looked up, each plane is flipped
 where its bit is set and then added to vertical carry-save counters, which updates the
 distances to all fingerprints of the block at once.  The counters overflow beyond the radius;
-a block is abandoned once all of them have.
+a fingerprint abandons a block once all of them have, and the block ends when all have abandoned it.
 
 Blocks come from exact keys.  With ``bands``, two fingerprints within radius r agree on one of
 r + 1 bands, and on the other bits on one of r + 1 bands again, so each of the (r + 1)^2
@@ -159,6 +159,7 @@ def within(queries: np.ndarray, planes: np.ndarray, lanes: int, radius: int) ->
     over = np.zeros((n, width), np.uint64)
     if lanes % 64:
         over[:, -1] = full << np.uint64(lanes % 64)
+    live = np.arange(n)  # the queries that go on: the block is abandoned by each once all its lanes exceed the radius
     for i in range(0, len(planes), 2):
         x, y = planes[i] ^ flips[i], planes[i + 1] ^ flips[i + 1]
         # carry-save adder of the lowest counter and two planes
@@ -168,10 +169,15 @@ def within(queries: np.ndarray, planes: np.ndarray, lanes: int, radius: int) ->
         for k in range(1, levels):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry
-        if i % 8 == 6 and i >= 2 * radius and (over == full).all():
-            return None
-    near = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8), axis=1, bitorder="little")
-    return near[:, :lanes].astype(bool)
+        if i % 8 == 6 and i >= radius:
+            left = (over != full).any(axis=1)
+            if not left.any():
+                return None
+            if 4 * left.sum() < 3 * len(live):
+                live, over, flips, counters = live[left], over[left], flips[:, left], [c[left] for c in counters]
+    near = np.zeros((n, lanes), bool)
+    near[live] = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8), axis=1, bitorder="little")[:, :lanes]
+    return near
 
 
 class Union:
