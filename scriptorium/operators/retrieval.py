@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,19 +56,27 @@ def _compared(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: f
     left = queries.select(F.col("id").alias("qid"), F.col("vector").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n_query)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_item - 1).cast("long"))).alias("ib"))
     right = corpus.select(F.col("id").alias("iid"), F.col("vector").alias("v"), F.pmod(F.xxhash64("id"), F.lit(n_item)).alias("ib"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("qb"))
 
-    def unit(column: pa.ChunkedArray) -> np.ndarray:
-        m = np.array(column.to_pylist(), np.float64)
-        if metric != "cosine":
-            return m
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norm > 0, norm, 1)
+    return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(_comparison(k, threshold, metric), "query_id long, item_id long, score double")
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, metric: str = "cosine") -> np.ndarray:
+    """Vectors as rows, of length one for the cosine."""
+    m = np.array(column.to_pylist(), np.float64)
+    if metric != "cosine" or not len(m):
+        return m
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm > 0, norm, 1)
+
+
+def _comparison(k: int | None, threshold: float | None, metric: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What one block of queries (qid, v) finds in one block of items (iid, v)."""
+    schema = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
         qid, iid = a["qid"].to_numpy(), b["iid"].to_numpy()
-        left, right = unit(a["v"]), unit(b["v"])
+        left, right = _matrix(a["v"], metric), _matrix(b["v"], metric)
         score = left @ right.T
         if metric == "l2":
             score = -np.sqrt(np.maximum((left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2 * score, 0))
@@ -77,9 +86,74 @@ def _compared(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: f
         for i, row in enumerate(score):
             best = np.lexsort((iid, -row))[:k]
             out += [(int(qid[i]), int(iid[j]), float(row[j])) for j in best if row[j] > -np.inf and (threshold is None or row[j] >= threshold)]
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()), strict=True)], schema=schema)
+        columns = zip(*out, strict=True) if out else ((), (), ())
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    return compare
+
 
-    return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(compare, "query_id long, item_id long, score double")
+@dataclass(frozen=True)
+class VectorIndex:
+    """Cells around centroids: every row of the corpus (iid, v, cell, ib), and the blocks of each cell."""
+
+    centroids: np.ndarray
+    rows: DataFrame
+    sizes: DataFrame
+    metric: str
+
+
+def build_index(corpus: DataFrame, cells: int, metric: str = "cosine", sample_rows: int = 20_000, rounds: int = 8, block_rows: int = BLOCK_ROWS) -> VectorIndex:
+    """An inverted-file index of all rows of ``corpus`` (id, vector).
+
+    The centroids are fitted to at most ``sample_rows`` rows, chosen by a hash of the id; every row is then put in the cell of
+    its nearest centroid.  A cell beyond ``block_rows`` rows is dealt to several blocks.
+    """
+    sample = _matrix(pa.array([r[0] for r in corpus.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vector").collect()]), metric)
+    centroids = sample[:: max(1, len(sample) // cells)][:cells].copy()
+    for _ in range(rounds if len(sample) else 0):
+        own = _nearest_cells(sample, centroids, 1)[:, 0]
+        for c in range(len(centroids)):
+            if (own == c).any():
+                centroids[c] = sample[own == c].mean(0)
+
+    placed = corpus.select(F.col("id").alias("iid"), F.col("vector").alias("v")).mapInArrow(_cell_finder(centroids, 1, metric), "iid long, v array<double>, cell int")
+    placed = stage(placed, "cells")
+    sizes = stage(placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "cell_sizes")  # a row per cell
+    rows = placed.join(F.broadcast(sizes), "cell").withColumn("ib", F.pmod(F.xxhash64("iid"), F.col("blocks")).cast("int")).drop("blocks")
+    return VectorIndex(centroids, rows, sizes, metric)
+
+
+def _nearest_cells(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    distance = (centroids**2).sum(1)[None, :] - 2 * vectors @ centroids.T
+    return np.argsort(distance, axis=1, kind="stable")[:, :n]
+
+
+def _cell_finder(centroids: np.ndarray, n: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the ``n`` nearest cells to rows (id, v), one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(centroids):
+                cells = _nearest_cells(_matrix(batch.column(1), metric), centroids, n)
+                again = np.repeat(np.arange(batch.num_rows), cells.shape[1])
+                vectors = batch.column(1).cast(pa.list_(pa.float64())).take(pa.array(again))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(again)), vectors, pa.array(cells.reshape(-1), pa.int32())], [*batch.schema.names[:2], "cell"])
+
+    return run
+
+
+def index_top_k(index: VectorIndex, queries: DataFrame, k: int, probes: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """As ``vector_top_k``, but a query is compared only with the items of its ``probes`` nearest cells."""
+    wanted = queries.select(F.col("id").alias("qid"), F.col("vector").alias("v")).mapInArrow(_cell_finder(index.centroids, probes, index.metric), "qid long, v array<double>, cell int")
+    wanted = stage(wanted, "probes")
+    groups = wanted.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("groups"))  # a row per cell
+    both = F.broadcast(stage(groups.join(index.sizes, "cell"), "blocks"))
+    left = wanted.join(both, "cell").select("qid", "v", "cell", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ib"))
+    right = index.rows.join(both, "cell").select("iid", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("qb"), "ib")
+    keys = ["cell", "qb", "ib"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_comparison(k, None, index.metric), "query_id long, item_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:

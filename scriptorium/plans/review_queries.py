@@ -460,6 +460,14 @@ def dg11_inner(spark, sf):
     return _nearest(spark, sf, "inner")
 
 
+@query("dg11_index")
+def dg11_index(spark, sf):
+    # an index of every row; its recall is measured against the exact search in the tests
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = R.index_top_k(R.build_index(rows, 32), rows.where("id % 50 = 0"), 10, 20)
+    return found.select("query_id", "item_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("dg13_unique_contexts", f"select doc_id, pos, text from (select doc_id, min(pos) as pos, left(text, 12) as text from {_CLAUSES} where trim(left(text, 12)) <> '' group by doc_id, left(text, 12))")
 def dg13(spark, sf):
     rows = _clauses(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), F.left("text", F.lit(12)).alias("text"))

@@ -220,3 +220,16 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
     joined = stored.join(rows.groupBy("k").count().hint("merge"), "k")
     assert joined.count() == 1000
     assert not [t for t in spark.catalog.listTables() if t.name == "t"]
+
+
+def test_index_holds_every_row_and_finds_nine_of_ten(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    queries, index = rows.where("id % 50 = 0"), R.build_index(rows, 32, block_rows=20)
+    assert index.rows.count() == rows.count() == index.rows.select("iid").distinct().count()
+    exact = {(r.query_id, r.item_id) for r in R.vector_top_k(queries, rows, 10, "cosine").collect()}
+    found = {(r.query_id, r.item_id) for r in R.index_top_k(index, queries, 10, 20, block_rows=3).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    whole = {(r.query_id, r.item_id) for r in R.index_top_k(index, queries, 10, 32).collect()}
+    assert whole == exact
+    empty = R.build_index(rows.limit(0), 4)
+    assert R.index_top_k(empty, queries, 10, 2).count() == 0
