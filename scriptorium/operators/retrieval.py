@@ -230,16 +230,41 @@ def choose_evidence(hits: DataFrame, item: str, per_store: int, least: int = 5)
     return capped.withColumn("rank", F.row_number().over(Window.partitionBy(item).orderBy(*order, "content")))
 
 
+def metres_between(lat: Column, lon: Column, to_lat: Column, to_lon: Column) -> Column:
+    """Great-circle distance in whole metres."""
+    a, b = F.radians(lat), F.radians(to_lat)
+    half = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(to_lon) - F.radians(lon)) / 2), 2)
+    return F.round(2 * 6371000 * F.asin(F.sqrt(half)), 0).cast("long")
+
+
 def within_radius(points: DataFrame, lat: float, lon: float, radius_m: float, k: int = 20) -> DataFrame:
     """The k nearest points within a radius, by great-circle distance in metres."""
     if radius_m <= 0:
         raise ValueError("the radius must be above 0")
-    a, b = F.radians(F.lit(lat)), F.radians("lat")
-    half = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians("lon") - F.radians(F.lit(lon))) / 2), 2)
-    metres = F.round(2 * 6371000 * F.asin(F.sqrt(half)), 0).cast("long")
+    metres = metres_between(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))
     return points.withColumn("distance", metres).where(F.col("distance") <= radius_m).orderBy("distance", "name").limit(k)
 
 
+def near_places(requests: DataFrame, places: DataFrame, points: DataFrame, radius_m: float, k: int = 20) -> DataFrame:
+    """(request_id, name, distance, rank): for each request (request_id, place) the k nearest points around the place of that name.
+
+    Places (place, lat, lon) are looked up by name; a request whose place is unknown has no rows.  Points and places
+    meet in cells of a grid as wide as the radius, so only neighbouring cells are compared.
+    """
+    if radius_m <= 0:
+        raise ValueError("the radius must be above 0")
+    step = float(radius_m) / 111_000  # degrees of latitude
+    at = requests.join(places, "place").select("request_id", F.col("lat").alias("a"), F.col("lon").alias("b"))
+    # a degree of longitude is shorter, so a request looks at more columns of the grid
+    wide = F.least(F.ceil(1 / F.greatest(F.cos(F.radians(F.abs("a") + step)), F.lit(0.01))), F.lit(100)).cast("int")
+    cell = lambda c: F.floor(F.col(c) / step)
+    near = at.select("*", F.explode(F.sequence(cell("a") - 1, cell("a") + 1)).alias("y"), wide.alias("w")).select("*", F.explode(F.sequence(cell("b") - F.col("w"), cell("b") + F.col("w"))).alias("x"))
+    placed = points.select("name", "lat", "lon", cell("lat").alias("y"), cell("lon").alias("x"))
+    found = near.join(placed, ["y", "x"]).withColumn("distance", metres_between(F.col("a"), F.col("b"), F.col("lat"), F.col("lon"))).where(F.col("distance") <= radius_m)
+    w = Window.partitionBy("request_id").orderBy("distance", "name")
+    return found.select("request_id", "name", "distance", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+
+
 def token_budget(rows: DataFrame, key: str, order: list[str], tokens: str, budget: int) -> DataFrame:
     """Rows in order as long as their running sum of tokens stays within the budget."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -20,6 +20,17 @@ def delete_owned(rows: DataFrame, requests: DataFrame, row_id: str, owner: str)
     return rows.join(requests.select(row_id, owner).distinct(), [row_id, owner], "left_anti")
 
 
+def unmatched_requests(rows: DataFrame, requests: DataFrame, row_id: str, owner: str) -> DataFrame:
+    """Requests that name no row of their own owner, which a service answers with an error."""
+    return requests.select(row_id, owner).distinct().join(rows.select(row_id, owner), [row_id, owner], "left_anti")
+
+
+def merge_state(state: DataFrame, processed: DataFrame, key: str, at: str) -> DataFrame:
+    """A state (key, at, ...) after a run: each key with its latest entry."""
+    w = Window.partitionBy(key).orderBy(F.desc(at))
+    return state.unionByName(processed, allowMissingColumns=True).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
 def skip_seen(rows: DataFrame, seen: DataFrame, on: str) -> DataFrame:
     """Rows whose key was not processed before."""
     return rows.join(seen.select(on).distinct(), on, "left_anti")

@@ -241,6 +241,35 @@ def pr23(spark, sf):
     return B.public_columns(table(spark, sf, "customer"), ["c_acctbal"], c_mktsegment="BUILDING", c_nationkey=3)
 
 
+@query("snk6_unmatched_requests", "select distinct o_orderkey, o_custkey + 1 as o_custkey from orders where o_orderstatus = 'P' and o_custkey % 2 = 1")
+def snk6(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    requests = rows.where("o_orderstatus = 'P'").select("o_orderkey", (F.col("o_custkey") + F.col("o_custkey") % 2).alias("o_custkey"))
+    return B.unmatched_requests(rows, requests, "o_orderkey", "o_custkey")
+
+
+@query("snk9_merged_state", "select o_custkey, max(o_orderkey) as o_orderkey from orders group by o_custkey")
+def snk9(spark, sf):
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    old = rows.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))
+    return B.merge_state(old, rows.where("o_orderkey % 2 = 1"), "o_custkey", "o_orderkey")
+
+
+_PLACE = "30 + (s_suppkey * 37 % 200) / 100.0 as lat, 120 + (s_suppkey * 53 % 300) / 100.0 as lon"
+
+
+@query("rt10_near_places", f"""with p as (select s_name as name, s_suppkey, {_PLACE} from supplier), r as (select n_nationkey as request_id, 30 + (n_nationkey * 7 % 20) / 10.0 as a, 120 + (n_nationkey * 11 % 30) / 10.0 as b from nation where n_nationkey % 5 <> 4),
+d as (select request_id, name, cast(round(2 * 6371000 * asin(sqrt(power(sin((radians(lat) - radians(a)) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * power(sin((radians(lon) - radians(b)) / 2), 2)))) as bigint) as distance from p, r)
+select * from (select *, row_number() over (partition by request_id order by distance, name) as rank from d where distance <= 40000) where rank <= 8""")
+def rt10(spark, sf):
+    key, n = F.col("s_suppkey"), F.col("n_nationkey")
+    points = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), (30 + (key * 37 % 200) / 100.0).alias("lat"), (120 + (key * 53 % 300) / 100.0).alias("lon"))
+    nations = table(spark, sf, "nation")
+    places = nations.where("n_nationkey % 5 <> 4").select(F.col("n_name").alias("place"), (30 + (n * 7 % 20) / 10.0).alias("lat"), (120 + (n * 11 % 30) / 10.0).alias("lon"))
+    found = R.near_places(nations.select(n.alias("request_id"), F.col("n_name").alias("place")), places, points, 40000, 8)
+    return found.withColumn("rank", F.col("rank").cast("long")).withColumn("request_id", F.col("request_id").cast("int"))
+
+
 # --- segments ------------------------------------------------------------------------------------
 
 _STRIPPED = "(select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as ls from documents)"
