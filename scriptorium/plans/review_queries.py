@@ -18,6 +18,7 @@ from ..tables import table
 from .registry import QUERIES, query
 from .rule_packs import RULES
 from .rule_queries import _CLAUSES, _RISKS, _clauses, _graph
+from .text_queries import _cut_sql, titles_sql, weak_sql
 
 RETRIEVAL = {
     "en": {"include_any": ["hation", "erthe"], "prefer_any": ["ingth", "tionth"], "fallback_keywords": ["ofthe"]},
@@ -296,7 +297,11 @@ def seg9(spark, sf):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "attachment_id", "title", _md5(F.col("text")).alias("md5"))
 
 
-@query("seg7_any_clauses")
+_HEAD_OF_PART = "[A-Z][a-z]+ the"
+
+
+@query("seg7_any_clauses", f"""with m as (select doc_id, place, {titles_sql('part', '^' + _HEAD_OF_PART, '^Th[a-z]+[.]')} as text from {_cut_sql('text', 'Th[a-z]+[.]', 'documents')}), r as (select doc_id, row_number() over (partition by doc_id order by place) as pos, text from m
+union all select * from {weak_sql("(select * from documents where not regexp_matches(text, 'Th[a-z]+[.]'))", _HEAD_OF_PART, ['hation ', 'ement '], '[0-9]{1,2}[.)]')}) select doc_id, pos, 'C' || cast(pos as varchar) as clause_id, md5(text) as md5 from r""")
 def seg7_any(spark, sf):
     rows = S.split_any_clauses(_docs(spark, sf), "doc_id", "text", "Th[a-z]+\\.", "[A-Z][a-z]+ the[^\n]*", ["hation ", "ement "], "[0-9]{1,2}[.)]")
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "clause_id", _md5(F.col("text")).alias("md5"))

@@ -208,13 +208,59 @@ def seg7(spark, sf):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "clause_id", "section", "title", _md5(F.col("text")).alias("md5"))
 
 
-@query("seg8_weak_clauses")
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _pieces(text: str, marker: str) -> str:
+    """SQL: the stripped pieces that are not blank of a text cut before each marker."""
+    return f"list_filter(list_transform(string_split(regexp_replace({text}, '({marker})', chr(1) || '\\1', 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+
+
+def weak_sql(docs: str, section: str, soft: list[str], point: str) -> str:
+    """SQL of ``split_weakly`` over rows (doc_id, text)."""
+    words = "|".join([section, *soft])
+    return f"""(with w as (select doc_id, {_STRIP.format('text')} as t from {docs}),
+a as (select doc_id, t, list_filter({_pieces('t', section)}, lambda x: regexp_matches(x, '^{section}')) as m from w),
+b as (select doc_id, unnest(case when len(m) >= 2 then m else [t] end) as t, generate_subscripts(case when len(m) >= 2 then m else [t] end, 1) as a from a),
+c as (select doc_id, t, a, {_pieces('t', words)} as m from b where t <> ''),
+d as (select doc_id, a, unnest(case when length(t) >= 1200 and len(m) > 1 then m else [t] end) as t, generate_subscripts(case when length(t) >= 1200 and len(m) > 1 then m else [t] end, 1) as b from c),
+e as (select *, {_pieces('t', chr(92) + 'n' + point)} as m from d),
+f as (select *, case when length(t) >= 250 and len(list_filter(m, lambda x: regexp_matches(x, '^{point}'))) >= 2 then list_filter(m, lambda x: length(x) >= 12) else [t] end as k from e),
+g as (select doc_id, a, b, unnest(k) as text, generate_subscripts(k, 1) as c from f)
+select doc_id, row_number() over (partition by doc_id order by a, b, c) as pos, text from g)"""
+
+
+@query("seg8_weak_clauses", f"select doc_id, pos, 'C' || cast(pos as varchar) as clause_id, md5(text) as md5 from {weak_sql('documents', 'Th[a-z]+[.]', ['hation ', 'ement '], '[0-9]{1,2}[.)]')}")
 def seg8(spark, sf):
     rows = S.split_weakly(_docs(spark, sf), "doc_id", "text", "Th[a-z]+\\.[^\n]*", ["hation ", "ement "], "[0-9]{1,2}[.)]")
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "clause_id", _md5(F.col("text")).alias("md5"))
 
 
-@query("seg11_contract")
+def titles_sql(text: str, section: str, clause: str) -> str:
+    """SQL of ``strip_section_titles``."""
+    lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+    led = f"(case when coalesce(regexp_matches(({lines})[1], '{section}') and regexp_matches(({lines})[2], '{clause}'), false) then ({lines})[2:] else {lines} end)"
+    return f"array_to_string(case when coalesce(regexp_matches({led}[-1], '{section}'), false) then {led}[1:len({led}) - 1] else {led} end, chr(10))"
+
+
+def _cut_sql(text: str, marker: str, rows: str) -> str:
+    """SQL: (doc_id, at, place, part) of the pieces that begin with the marker, with the characters before them."""
+    parts = f"string_split(regexp_replace({text}, '({marker})', chr(1) || '\\1', 'g'), chr(1))"
+    return f"""(select doc_id, i as at, coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0) as place, ps[i] as part from (select doc_id, {parts} as ps, unnest(range(1, len({parts}) + 1)) as i from {rows}) where regexp_matches(ps[i], '^{marker}'))"""
+
+
+_FIRST = "regexp_replace(string_split(" + _STRIP.format("substr(b, length(mark) + 1)") + ", chr(10))[1], '\\s+', '', 'g')"
+
+
+@query("seg11_contract", f"""with x as (select doc_id, {_STRIP.format("case when instr(text, 'Th') > 0 then substr(text, instr(text, 'Th')) else text end")} as t from documents),
+y as (select doc_id, case when instr(t, chr(10) || 'Released') > 0 then {_STRIP.format("left(t, instr(t, chr(10) || 'Released') - 1)")} else {_STRIP.format('t')} end as main, case when instr(t, chr(10) || 'Released') > 0 then {_STRIP.format("substr(t, instr(t, chr(10) || 'Released') + 1)")} else '' end as extra from x),
+s as (select doc_id, place, regexp_extract(part, '^([A-Z][a-z]+ the [^\n]*)', 1) as section_title from {_cut_sql('main', '[A-Z][a-z]+ the ', 'y')}),
+c as (select doc_id, place, regexp_extract(part, '^(Th[a-z]+)', 1) as mark, {titles_sql('part', '^[A-Z][a-z]+ the ', '^Th[a-z]+')} as b, row_number() over (partition by doc_id order by place) as pos from {_cut_sql('main', 'Th[a-z]+', 'y')}),
+n as (select c.doc_id, c.pos, arg_max(section_title, s.place) as section_title from c left join s on s.doc_id = c.doc_id and s.place < c.place group by 1, 2),
+p as (select doc_id, list_filter(string_split(regexp_replace(extra, '(Released)', chr(1) || '\\1', 'g'), chr(1)), lambda x: starts_with(x, 'Released')) as ps, extra from y),
+q as (select doc_id, len(ps) > 0 as marked, unnest(case when len(ps) > 0 then ps else [extra] end) as t, generate_subscripts(case when len(ps) > 0 then ps else [extra] end, 1) as pos from p)
+select doc_id, 'main_body' as part, pos, 'C' || cast(pos as varchar) as item_id, case when pos = 1 then coalesce(section_title, 'The beginning') else section_title end as section_title, case when length({_FIRST}) <= 1 then mark || ' clause' else left({_FIRST}, 18) end as title, md5(b) as md5 from c join n using (doc_id, pos)
+union all select doc_id, 'attachment', pos, 'A' || cast(pos as varchar), null, case when marked then array_to_string((list_filter(list_transform(string_split(t, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> ''))[1:2], ' ') else 'attachment' end, md5({_STRIP.format('t')}) from q where trim(t, ' ' || chr(10) || chr(9)) <> ''""")
 def seg11(spark, sf):
     layout = L.Layout(section="^[A-Z][a-z]+ the ", clause="", attachment="^Released", subpoint="")
     rows = S.split_contract(_docs(spark, sf), "doc_id", "text", layout, "Th", "Th[a-z]+", "The beginning")
