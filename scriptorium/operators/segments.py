@@ -141,14 +141,17 @@ def split_contract(docs: DataFrame, key: str, text: str, layout: Layout, first_m
 
 
 def markdown_sections(docs: DataFrame, key: str, text: str, level: int = 3) -> DataFrame:
-    """(key, section_no, text): cut at headings of at most ``level`` marks outside fenced code."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    fenced = lines.withColumn("fence", F.col("line").rlike("^\\s*```").cast("int")).withColumn("inside", F.sum("fence").over(w) % 2)
-    heads = (F.col("line").rlike(f"^#{{1,{level}}} ") & (F.col("inside") == 0)).cast("int")
-    numbered = fenced.withColumn("section_no", F.sum(heads).over(w))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return numbered.groupBy(key, "section_no").agg(strip(joined).alias("text")).where("text <> ''")
+    """(key, section_no, text): cut at headings of at most ``level`` marks outside fenced code.
+
+    All in one row, without a shuffle: fences cut the text in parts that are outside and inside in turn, and headings
+    outside get a mark (a control character that texts do not have) at which the whole is cut again.
+    """
+    mark = "\u0001"
+    parts = F.split(F.concat(F.lit("\n"), text), r"(?m)(?=^[^\S\n]*```)", -1)
+    marked = F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, f"(?m)^(#{{1,{level}}} )", f"{mark}$1")).otherwise(p))
+    sections = F.split(F.array_join(marked, ""), mark, -1)
+    rows = docs.select(key, F.posexplode(F.transform(sections, strip)).alias("section_no", "text")).where("text <> ''")
+    return rows.withColumn("section_no", F.col("section_no").cast("long"))
 
 
 def markdown_blocks(text: Column) -> Column:

@@ -11,6 +11,7 @@ from ..tables import table
 from .registry import query
 from .rule_packs import RULES
 from .rule_queries import _CLAUSES, _RISKS, _clauses, _graph
+from .text_queries import blocks_sql
 
 
 def _docs(spark, sf):
@@ -139,14 +140,12 @@ def dg4(spark, sf):
     return D.rename_entities(nodes, edges, names)[1].select("src", "dst", "weight")
 
 
-@query("ch2_blocks", "select doc_id, len(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x, chr(10) || ' ') <> '')) as n_blocks from documents where not contains(text, '|') and not contains(text, '```')")
+@query("ch2_blocks", f"select doc_id, len({blocks_sql('text')}) as n_blocks from documents")
 def ch2(spark, sf):
-    docs = _docs(spark, sf).where("not contains(text, '|') and not contains(text, '```')")
-    return docs.select("doc_id", F.size(S.markdown_blocks(F.col("text"))).cast("long").alias("n_blocks"))
+    return _docs(spark, sf).select("doc_id", F.size(S.markdown_blocks(F.col("text"))).cast("long").alias("n_blocks"))
 
 
-@query("ch2_blocks_all")
+@query("ch2_blocks_all", f"select doc_id, len(b) as n_blocks, md5(array_to_string(b, chr(31))) as md5 from (select doc_id, {blocks_sql("coalesce(text, '')")} as b from documents)")
 def ch2_all(spark, sf):
-    # every document, so that fences and table rows are met; a fold over lines, which the SQL of ch2_blocks does not express
     blocks = S.markdown_blocks(F.coalesce("text", F.lit("")))
     return _docs(spark, sf).select("doc_id", F.size(blocks).cast("long").alias("n_blocks"), F.md5(F.array_join(blocks, "\x1f").cast("binary")).alias("md5"))

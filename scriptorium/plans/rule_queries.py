@@ -149,17 +149,13 @@ def jn3(spark, sf):
 # --- retrieval -----------------------------------------------------------------------------------
 
 
-@query("pr15_relevance", """select doc_id, 5 * i + 8 * p - 7 * e - case when i = 0 and p = 0 then 5 else 0 end + 2 * cast(contains(source, '1') as int) as score from (select doc_id, source, len(list_filter(['hation', 'erthe'], lambda k: contains(t, k))) as i, len(list_filter(['ingth', 'ment'], lambda k: contains(t, k))) as p, len(list_filter(['keit'], lambda k: contains(t, k))) as e from (select doc_id, source, regexp_replace(source || text, '\\s+', '', 'g') as t from documents where len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) > 2))""")
-def pr15(spark, sf):
-    docs = table(spark, sf, "documents").where(F.size(lines_of(F.col("text"))) > 2)
-    words = lambda *w: F.array(*[F.lit(x) for x in w])
-    r = R.relevance(F.lit(""), F.col("source"), F.col("text"), words("hation", "erthe"), words("ingth", "ment"), words("keit"), "1")
-    return docs.select("doc_id", r["score"].cast("long").alias("score"))
+_RELEVANCE = """select doc_id, 5 * i + 8 * p - 7 * e - case when i = 0 and p = 0 then 5 else 0 end + 2 * cast(coalesce(contains(source, '1'), false) as int) - case when len(ls) = 0 or (len(ls) = 1 and starts_with(ls[1], '#')) or (len(ls) <= 2 and len(list_filter(ls, lambda x: length(x) > 20 or contains(x, '.'))) = 0) then 20 else 0 end as score
+from (select doc_id, source, ls, len(list_filter(['hation', 'erthe'], lambda k: contains(t, k))) as i, len(list_filter(['ingth', 'ment'], lambda k: contains(t, k))) as p, len(list_filter(['keit'], lambda k: contains(t, k))) as e
+from (select doc_id, source, regexp_replace(coalesce(source, '') || coalesce(text, ''), '\\s+', '', 'g') as t, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as ls from documents))"""
 
 
-@query("pr15_relevance_all", """select doc_id, 5 * i + 8 * p - 7 * e - case when i = 0 and p = 0 then 5 else 0 end + 2 * cast(coalesce(contains(source, '1'), false) as int) - case when len(ls) = 0 or (len(ls) = 1 and starts_with(ls[1], '#')) or (len(ls) <= 2 and len(list_filter(ls, lambda x: length(x) > 20 or contains(x, '.'))) = 0) then 20 else 0 end as score
-from (select doc_id, source, ls, len(list_filter(['hation', 'erthe'], lambda k: contains(t, k))) as i, len(list_filter(['ingth', 'ment'], lambda k: contains(t, k))) as p, len(list_filter(['keit'], lambda k: contains(t, k))) as e
-from (select doc_id, source, regexp_replace(coalesce(source, '') || coalesce(text, ''), '\\s+', '', 'g') as t, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as ls from documents))""")
+@query("pr15_relevance", _RELEVANCE)
+@query("pr15_relevance_all", _RELEVANCE)
 def pr15_all(spark, sf):
     # every document, so that the rule on headings acts
     words = lambda *w: F.array(*[F.lit(x) for x in w])
@@ -207,16 +203,13 @@ def rt1(spark, sf):
     return found.select("query_id", "item_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("dg3_cosine_threshold", """with e as (select vec_id, embedding::double[] as v from embeddings), s as (select q.vec_id as query_id, round(list_dot_product(q.v, c.v) / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v)), 0), 9) as s, c.vec_id as item_id from e q, e c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
-r as (select *, row_number() over (partition by query_id order by s desc, item_id) as rank from s where s >= 0.2) select query_id, count(*) as n from r where rank <= 60 group by query_id""")
-def dg3(spark, sf):
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return R.cosine_top_k(rows.where("id % 50 = 0"), rows, 60, threshold=0.2).groupBy("query_id").agg(F.count("*").alias("n"))
+_THRESHOLD = """with e as (select vec_id, embedding::double[] as v from embeddings) select q.vec_id as query_id, count(*) as n from e q, e c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and round(list_dot_product(q.v, c.v) / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v)), 0), 9) >= 0.2 group by q.vec_id"""
 
 
-@query("dg3_cosine_threshold_all", """with e as (select vec_id, embedding::double[] as v from embeddings) select q.vec_id as query_id, count(*) as n from e q, e c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and round(list_dot_product(q.v, c.v) / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v)), 0), 9) >= 0.2 group by q.vec_id""")
+@query("dg3_cosine_threshold", _THRESHOLD)
+@query("dg3_cosine_threshold_all", _THRESHOLD)
 def dg3_all(spark, sf):
-    # a plain filter, without the rank that dg3_cosine_threshold keeps
+    # a plain filter, however many items match
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return R.cosine_at_least(rows.where("id % 50 = 0"), rows, 0.2).groupBy("query_id").agg(F.count("*").alias("n"))
 

@@ -279,7 +279,43 @@ def ch1(spark, sf):
     return rows.select("doc_id", F.col("section_no").cast("long").alias("section_no"), _md5(F.col("text")).alias("md5"))
 
 
-@query("ch5_chunks")
+def blocks_sql(text: str) -> str:
+    """SQL of ``markdown_blocks``: a fold over the lines."""
+    start = "{'done': []::varchar[], 'cur': '', 'fence': false, 'tab': false}"
+    lines = f"list_transform(string_split({text}, chr(10)), lambda l: {{'done': []::varchar[], 'cur': l, 'fence': false, 'tab': false}})"
+    mark, row = "regexp_matches(x.cur, '^\\s*```')", "(length(x.cur) - length(replace(x.cur, '|', '')) >= 2)"
+    grown = "(case when s.cur = '' then x.cur else s.cur || chr(10) || x.cur end)"
+    flushed, closed = "(case when s.cur = '' then s.done else list_append(s.done, s.cur) end)", f"list_append(s.done, {grown})"
+    state = lambda done, cur, fence, tab: f"{{'done': {done}, 'cur': {cur}, 'fence': {fence}, 'tab': {tab}}}"
+    step = (
+        f"case when s.fence and {mark} then {state(closed, chr(39) * 2, 'false', 'false')} when s.fence then {state('s.done', grown, 'true', 'false')} when {mark} then {state(flushed, 'x.cur', 'true', 'false')} "
+        f"when trim(x.cur, ' ') = '' then {state(flushed, chr(39) * 2, 'false', 'false')} when {row} <> s.tab then {state(flushed, 'x.cur', 'false', row)} else {state('s.done', grown, 'false', row)} end"
+    )
+    return f"list_transform([list_reduce(list_prepend({start}, {lines}), lambda s, x: {step})], lambda r: case when r.cur = '' then r.done else list_append(r.done, r.cur) end)[1]"
+
+
+def pack_sql(blocks: str, size: int, overlap: int) -> str:
+    """SQL of ``pack_blocks``: a fold over the blocks."""
+    entry = lambda block: f"{{'done': []::varchar[], 'buf': []::varchar[], 'n': 0::bigint, 'b': {block}}}"
+    text = "array_to_string(s.buf, chr(10) || chr(10))"
+    closed = f"(case when len(s.buf) > 0 then list_append(s.done, {text}) else s.done end)"
+    seed = f"(case when len(s.buf) > 0 then [right({text}, {overlap})] else []::varchar[] end)"
+    state = lambda done, buf, n: f"{{'done': {done}, 'buf': {buf}, 'n': ({n})::bigint, 'b': ''}}"
+    table = "(len(string_split(x.b, chr(10))) >= 2 and len(list_filter(string_split(x.b, chr(10)), lambda q: regexp_matches(q, '^\\s*\\|?[\\s:|-]*-[\\s:|-]*\\|[\\s:|-]*$'))) > 0)"
+    step = (
+        f"case when (starts_with(ltrim(x.b), '```') or {table}) and length(x.b) > {size} then {state(f'list_append({closed}, x.b)', '[]::varchar[]', '0')} "
+        f"when s.n + length(x.b) + 2 > {size} then {state(closed, f'list_append({seed}, x.b)', f'case when len(s.buf) > 0 then length(right({text}, {overlap})) else 0 end + length(x.b) + 2')} else {state('s.done', 'list_append(s.buf, x.b)', 's.n + length(x.b) + 2')} end"
+    )
+    return f"list_transform([list_reduce(list_prepend({entry(chr(39) * 2)}, list_transform({blocks}, lambda b: {entry('b')})), lambda s, x: {step})], lambda r: case when len(r.buf) > 0 then list_append(r.done, array_to_string(r.buf, chr(10) || chr(10))) else r.done end)[1]"
+
+
+@query("ch5_chunks", f"""with l as (select doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10))) as l, generate_subscripts(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)), 1) as i from documents),
+f as (select *, sum(case when regexp_matches(l, '^\\s*```') then 1 else 0 end) over (partition by doc_id order by i) % 2 as inside from l),
+h as (select *, sum(case when regexp_matches(l, '^#{{1,3}} ') and inside = 0 then 1 else 0 end) over (partition by doc_id order by i) as section_no from f),
+s as (select doc_id, section_no, {_STRIP.format("string_agg(l, chr(10) order by i)")} as text from h group by all),
+c as (select doc_id, section_no, case when length(text) <= 1000 then [text] else {pack_sql(blocks_sql('text'), 1000, 100)} end as cs from s where text <> ''),
+u as (select doc_id, section_no, unnest(cs) as c, generate_subscripts(cs, 1) - 1 as chunk_no from c)
+select doc_id, section_no::bigint as section_no, chunk_no, length(c) as n_chars, md5(c) as md5 from u""")
 def ch5(spark, sf):
     text = F.regexp_replace(F.col("text"), "\\. ", ".\n\n")
     rows = S.chunk_markdown(_docs(spark, sf).withColumn("text", text), "doc_id", "text")
