@@ -115,3 +115,35 @@ def parse_document(rendered: Column) -> Column:
         tag("DOC_ID").alias("doc_id"), tag("DOC_TYPE").alias("doc_type"), tag("TITLE").alias("title"), tag("SOURCE").alias("source"),
         parsed.alias("metadata"), F.regexp_extract(rendered, r"(?s)\[CONTENT\]\n(.*)$", 1).alias("content"),
     )
+
+
+#: The attributes that may hold an image's address, in order, and what marks addresses of the wanted width.
+IMAGE_ATTRIBUTES = ("src", "data-src", "data-hi-res-url")
+WIDTH_MARKS = ("w=276", "&w=")
+
+
+def absolute_url(url: Column, root: Column) -> Column:
+    """An address with its scheme and host; null if it is none of http."""
+    bare = F.trim(url)
+    full = F.when(F.startswith(bare, F.lit("//")), F.concat(F.lit("https:"), bare)).when(F.startswith(bare, F.lit("/")), F.concat(root, bare)).otherwise(bare)
+    return F.when(F.startswith(full, F.lit("http")), full)
+
+
+def image_urls(html: Column, root: Column, classes: list[str] | None = None, marks: tuple[str, ...] = WIDTH_MARKS) -> Column:
+    """The absolute addresses of a page's images in order; with ``classes`` those that have them all, or all images if none has.
+
+    An image's address is the first attribute of ``IMAGE_ATTRIBUTES`` that is not empty; only addresses with one of the marks count (none: all).
+    """
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), 0)
+
+    def value(tag: Column, name: str) -> Column:
+        return F.nullif(F.trim(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1)), F.lit(""))
+
+    if classes:
+        listed = lambda tag: F.split(F.coalesce(value(tag, "class"), F.lit("")), r"\s+")
+        wanted = F.filter(tags, lambda tag: F.size(F.array_except(F.array(*[F.lit(c) for c in classes]), listed(tag))) == 0)
+        tags = F.when(F.size(wanted) > 0, wanted).otherwise(tags)
+    urls = F.array_compact(F.transform(tags, lambda tag: absolute_url(F.coalesce(*[value(tag, a) for a in IMAGE_ATTRIBUTES]), root)))
+    if not marks:
+        return urls
+    return F.filter(urls, lambda u: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(u, m)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import lines_of, strip
+from ..functions.text import image_urls, lines_of
 from ..operators import display as D
 from ..operators import graph as G
 from ..operators import render as N
@@ -307,6 +307,16 @@ def seg7_any(spark, sf):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "clause_id", _md5(F.col("text")).alias("md5"))
 
 
+@query("src13_images", "select doc_id, i, case i when 1 then 'https://h/a' || cast(doc_id as varchar) || '?w=276' when 2 then 'http://x.org/b' || source || '?a=1&w=3' end as url from documents, (values (1), (2)) v(i) where (i = 1 and doc_id % 2 = 0) or (i = 2 and doc_id % 3 > 0)")
+def src13_images(spark, sf):
+    k = F.col("doc_id")
+    first = F.concat(F.lit("<p><img class='pic big' src='' data-src=\"//h/a"), k.cast("string"), F.when(k % 2 == 0, "?w=276").otherwise("?w=9"), F.lit("\">"))
+    second = F.concat(F.lit("<IMG alt='x'\n class='big pic' src='"), F.when(k % 3 > 0, "/b").otherwise("data:image/b"), "source", F.lit("?a=1&w=3'><img src='http://y/c?w=276'>"))
+    urls = image_urls(F.concat(first, second), F.lit("http://x.org"), ["pic", "big"])
+    rows = _docs(spark, sf).select("doc_id", F.explode(urls).alias("url"))
+    return rows.select("doc_id", F.when(F.contains("url", F.lit("/a")), 1).otherwise(2).alias("i"), "url")
+
+
 @query("src17_join_pages", "select conv_id, md5(string_agg(text, chr(10) || chr(10) order by turn)) as md5 from conversations group by conv_id")
 def src17(spark, sf):
     return files.join_pages(table(spark, sf, "conversations"), "conv_id", "turn", "text").select("conv_id", _md5(F.col("text")).alias("md5"))
