@@ -59,12 +59,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner banners sponsor sponsored sponsors promo promos promotion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup comment comments commentlist respond reply replies disqus "
-    "related recommended recommendations share sharing social widget widgets toolbar pagination pager login search masthead topbar copyright cookiebar skyscraper leaderboard".split()
+    "related recommended recommendations share sharing social widget widgets toolbar pagination pager login search masthead topbar copyright cookiebar skyscraper leaderboard aside rail trending adsense".split()
 )
 #: What may stand beside such a word in one name, as in "site-footer"; any other part, as in "share-price", tells of something else.
 NEUTRAL = frozenset(
     "site page global top bottom left right primary secondary main inner outer box bar area list item items section block wrapper wrap container content body row col column group unit slot button "
-    "buttons link links icon icons text label title post posts entry article articles story stories user reader blog web x px the my on in google js id module panel region zone small large mobile desktop".split()
+    "buttons link links icon icons text label title post posts entry article articles story stories user reader blog web x px the my on in google js id module panel region zone small large mobile desktop card news info warning danger success dark light sticky fixed".split()
 )
 OF_TEXT = frozenset("post entry article story content text".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
