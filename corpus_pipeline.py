@@ -22,10 +22,19 @@ from scriptorium.tables import table
 
 #: Rejected rows are broadcast up to so many, and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
+#: Texts are long, so the pipeline's session sends at most so many rows at once to Python.
+BATCH_ROWS = 1_000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the quantile of their language."""
+    _short_batches(spark)
     key = F.concat_ws(":", "doc_id", F.xxhash64("text", "lang"))  # rows of one id only could collide
     judged = kneser_ney.classify(docs.select("doc_id", "lang", "text", key.alias(OWN + "row")), table(spark, sf_dir, "labels"))
     gone = stage(judged.where(~F.col("kept")).select(OWN + "row").distinct(), "rejected")
@@ -35,6 +44,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose lines are content for the most part."""
+    _short_batches(spark)
     # fitted on the whole table, as the classifier has already removed most labelled boilerplate from docs
     field = line_crf.fit_from_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return docs.withColumn(OWN + "q", line_crf.quality_column(F.col("text"), field)).where(F.col(OWN + "q")["kept"]).drop(OWN + "q")
@@ -47,11 +57,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    _short_batches(spark)
     return simhash.keep_first(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 tokens."""
+    _short_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
