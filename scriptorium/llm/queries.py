@@ -14,9 +14,11 @@ from .license_scan import license_report
 from .line_crf import fit_from_labels, line_quality
 from .line_dedup import line_digests
 from .packing import pack
+from .periodic_runs import run_digests
 from .simhash import fingerprint_components
 from .site_style import page_texts
 from .transport_stream import media_digests
+from .window_packing import pack_windows
 
 
 def op1_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_windows(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_site_style": op1_site_style,
@@ -78,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_packing": op9_packing,
         "op10_bpe": op10_bpe,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op13_window_packing": op13_window_packing,
     }
 
 
