@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
 from .bpe import encoding_digests
+from .clustered_search import search_documents, search_sql
 from .kneser_ney import classify
 from .language_mixture import predict_languages
 from .license_scan import license_report
@@ -72,6 +73,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_clustered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,9 +96,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_bpe": op10_bpe,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_clustered_search": op12_clustered_search,
         "op13_window_packing": op13_window_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_clustered_search": search_sql()}

@@ -1,6 +1,7 @@
 """Periodic runs, ranked search and window packing against brute force, the tokenizers library and odd inputs."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -9,10 +10,12 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scriptorium.llm import periodic_runs, window_packing
+from scriptorium.llm import clustered_search, periodic_runs, queries, window_packing
+from scriptorium.staging import stage
 
 DATA = "/root/testdata/sf0.001"
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -207,3 +210,85 @@ def test_sentence_tokens_equal_the_library():
     ids, ends = tokens.encode("One two. Three (four!) five\nsix 3.5 seven?")
     words = [tokenizer.id_to_token(i) for i in ids]
     assert [words[e - 1] for e in ends] == [".</w>", "!)</w>", "five</w>", "?</w>"]
+
+
+# --- 12 --------------------------------------------------------------------------------------------
+
+
+def brute_search(docs, items, k=10):
+    held = [(key, Counter(clustered_search.terms_of(text))) for key, text in docs]
+    held = [(key, c) for key, c in held if c]
+    n, total = len(held), sum(c.total() for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item, text in items:
+        asked = {*clustered_search.terms_of(text)}
+        weight = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) for t in asked if df[t]}
+        scored = []
+        for key, c in held:
+            m = 10 + 90 * c.total() * n // total
+            score = sum(w * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, w in weight.items() if t in c)
+            if score > 0:
+                scored.append((-score, key is None, key or 0))
+        out += [(item, rank, None if missing else key, -score) for rank, (score, missing, key) in enumerate(sorted(scored)[:k], 1)]
+    return Counter(out)
+
+
+def found(df):
+    return Counter((r.item_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+
+
+def test_search_of_the_whole_table_matches_sql_and_brute_force(spark, docs):
+    compare(spark, queries.op12_clustered_search, queries.oracle_sql()["op12_clustered_search"])
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    got = found(clustered_search.search_documents(docs, items))
+    assert got == brute_search([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+
+
+def test_search_does_not_depend_on_shards_or_tree(spark, docs):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    want = found(clustered_search.search_documents(docs, items))
+    index = clustered_search.build_index(docs, sample=50, depth=3, shard_postings=2_000)
+    assert index.postings.select("shard").distinct().count() > 20
+    assert found(clustered_search.search(index, items)) == want
+
+
+def test_search_stops_before_shards_that_cannot_matter(spark, monkeypatch):
+    # four languages of their own: a query's best documents are in its language, the others cannot reach them
+    rng = random.Random(4)
+    rows = [(k, " ".join(f"{'abcd'[k % 4]}{min(int(rng.expovariate(0.05)), 80)}" for _ in range(40))) for k in range(800)]
+    index = clustered_search.build_index(spark.createDataFrame(rows, "doc_id bigint, text string"), depth=4, shard_postings=2_000)
+    visited = []
+    monkeypatch.setattr(clustered_search, "stage", lambda df, name: visited.append((made := stage(df, name)).count()) or made if name == "visits" else stage(df, name))
+    items = [(k, " ".join(f"{'abcd'[k % 4]}{j + k}" for j in range(8))) for k in range(12)]
+    got = found(clustered_search.search(index, spark.createDataFrame(items, "item_id bigint, text string")))
+    assert got == brute_search(rows, items)
+    assert sum(visited) < 12 * index.postings.select("shard").distinct().count() / 2
+
+
+def test_search_of_odd_rows(spark, odd):
+    items = [(1, "Same TEXT and the long tale"), (1, "漢字 stop 12345"), (2, None), (3, ""), (4, "nowhere"), (None, "word words id ID"), (5, "ÜNÏCØDÉ ünïcødé")]
+    asked = spark.createDataFrame(items, "item_id bigint, text string").withColumn("rank", F.lit("mine")).withColumn("term", F.lit("mine"))
+    got = found(clustered_search.search_documents(odd, asked))
+    assert got == brute_search([r[:2] for r in ODD], items)
+    assert clustered_search.search_documents(odd.limit(0), asked).count() == 0
+    assert clustered_search.search_documents(odd, asked.limit(0)).count() == 0
+
+
+def test_ties_beyond_k_go_to_the_smallest_ids(spark):
+    rows = [(k, "equal words in many copies") for k in range(300, 0, -1)] + [(500 + k, "other") for k in range(50)]
+    index = clustered_search.build_index(spark.createDataFrame(rows, "doc_id bigint, text string"), shard_postings=100)
+    items = spark.createDataFrame([(1, "equal copies")], "item_id bigint, text string")
+    assert [r.doc_id for r in clustered_search.search(index, items).orderBy("rank").collect()] == list(range(1, 11))
+
+
+def test_bisection_lowers_the_cost_and_parts_topics():
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.integers(0, 40, 12) + 40 * (k % 2)) for k in range(200)]
+    graph = clustered_search.Graph(docs, 80)
+    left, right = graph.bisect(np.arange(200))
+    assert sorted([*left, *right]) == list(range(200)) and len(left) == 100
+    assert graph.cost(left) + graph.cost(right) < graph.cost(np.arange(100)) + graph.cost(np.arange(100, 200))
+    assert len({int(d) % 2 for d in left}) == len({int(d) % 2 for d in right}) == 1
+    tree = clustered_search.fit_tree([[b"%d" % t for t in d] for d in docs], depth=1)
+    assert len({tree.leaf([b"%d" % t for t in docs[k]]) for k in range(0, 200, 2)}) == 1
