@@ -3,8 +3,8 @@
 **Order.**  The terms and documents of a bounded sample form a graph.  Each level of the bisection halves every group of documents and swaps
 pairs between the halves while that lowers the sum of ``degree * log2(size / (degree + 1))`` over the terms of both, which
 brings documents of common terms together.  The sample only fixes the tree: *every* document descends it by the same gains and lies
-in the leaf it reaches.  Documents are sorted by (leaf, number of terms) and cut into shards of a bounded number of postings,
-so a large cluster has many shards and the order within one follows the length.
+in the leaf it reaches.  Leaves, or hash shares of large ones, are sorted by (leaf, number of terms) and cut into shards of a bounded number of
+postings, so a large cluster has many shards, and documents of one shard have similar lengths.
 
 **Index.**  One row per shard and term: the places in the shard of the documents that hold the term, rising, what each adds per unit of
 the term's weight (its impact), and the greatest impact.  The row without a term lists the shard's doc_ids by place.
@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ from .common import OWN, small_batches
 SAMPLE_DOCS, SAMPLE_TERMS, TREE_TERMS, DEPTH = 4_096, 2_000, 32_768, 6
 #: Rounds of swaps at one node; groups of fewer documents are not halved.
 SWEEPS, LEAST_DOCS = 20, 16
-#: Postings of a shard, and of what one task sorts.
-SHARD_POSTINGS, TASK_POSTINGS = 1 << 20, 1 << 23
+#: Postings of a shard, and of what one task sorts while there are not more than so many tasks.
+SHARD_POSTINGS, TASK_POSTINGS, MOST_TASKS = 1 << 20, 1 << 22, 100_000
 #: Rows up to which a table of query terms is broadcast; joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
 #: Results per item; growth of the rounds.
@@ -192,7 +193,7 @@ class Index:
 
 
 def forward_rows(docs: DataFrame, tree: Tree, text: str, key: str) -> DataFrame:
-    """key, number of terms, leaf, distinct terms and their numbers for each document with a term."""
+    """Number of terms, leaf, distinct terms (joined by a space, which none holds) and how often each occurs, for each document with a term."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,20 +206,20 @@ def forward_rows(docs: DataFrame, tree: Tree, text: str, key: str) -> DataFrame:
                     names.append(name)
                     size.append(held.total())
                     leaf.append(tree.leaf(list(held)))
-                    terms.append(list(held))
+                    terms.append(b" ".join(held))
                     times.append(list(held.values()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(size, pa.int64()), pa.array(leaf, pa.int32()), pa.array(terms, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
+                [pa.array(names, pa.int64()), pa.array(size, pa.int64()), pa.array(leaf, pa.int32()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(times, pa.list_(pa.int32()))],
                 names=["doc", "n", "leaf", "terms", "times"],
             )
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc bigint, n bigint, leaf int, terms array<string>, times array<int>")
+    return rows.mapInArrow(run, "doc bigint, n bigint, leaf int, terms string, times array<int>")
 
 
 def build_shard(number: int, part: pa.Table, documents: int, total: int) -> pa.RecordBatch:
     """The index rows of documents in their order."""
-    terms, times = part["terms"].combine_chunks(), part["times"].combine_chunks()
+    terms, times = pc.split_pattern(part["terms"].combine_chunks(), " "), part["times"].combine_chunks()
     coded = terms.flatten().dictionary_encode()
     code, tf = coded.indices.to_numpy(), times.flatten().to_numpy().astype(np.int64)
     size = np.diff(terms.offsets.to_numpy())
@@ -244,7 +245,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", sample
     with small_batches(spark):
         tree = sample_tree(docs, text, key, sample, depth)
         rows = stage(forward_rows(docs, tree, text, key).withColumn("row", F.monotonically_increasing_id()), "forward")
-    documents, total, postings = rows.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.size("terms"))).first()
+    documents, total, postings = rows.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.size("times"))).first()
     tasks = max(1, -(-(postings or 0) // TASK_POSTINGS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", sample
 
         for batch in batches:
             leaves = batch.column("leaf").to_numpy()
-            size = np.diff(batch.column("terms").offsets.to_numpy()).tolist()
+            size = np.diff(batch.column("times").offsets.to_numpy()).tolist()
             begin = 0
             for k in range(batch.num_rows):
                 if held and (held + size[k] > shard_postings or leaves[k] != leaf):
@@ -267,9 +268,9 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", sample
         if held:
             yield made()
 
-    # the key ends with the row, so that equal documents are dealt out as well
-    order = ["leaf", "n", "row"]
-    sorted_rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    # a task gets whole leaves or, of a large one, a share of its rows by hash, so that lengths and copies are spread evenly
+    dealt = rows.repartitionByRange(min(tasks, MOST_TASKS), F.col("leaf"), F.xxhash64("row"))
+    sorted_rows = dealt.sortWithinPartitions("leaf", "n", "row")
     with small_batches(spark, 256):  # the longest documents stand together
         return Index(stage(sorted_rows.mapInArrow(run, INDEX), "shards"), documents, total or 0)
 
