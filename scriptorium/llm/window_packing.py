@@ -40,10 +40,10 @@ CAPACITY, END_ID = 4096, 2
 SENTENCE, HARD = 8, 64
 #: Stretches longer than ``GAP`` tokens without a place to cut get hard ones, ``STRIDE`` tokens apart.
 GAP, STRIDE = 256, 64
-#: Tokens of a span.
-SPAN = 1 << 18
+#: Tokens of a span, and texts encoded together.
+SPAN, TEXTS = 1 << 18, 64
 #: Chunks up to so many bytes are kept with their ids, up to so many bytes in all.
-CHUNK_BYTES, CACHE_BYTES = 256, 8_000_000
+CHUNK_BYTES, CACHE_BYTES = 256, 16_000_000
 MARKS, CLOSERS = ".!?…。！？", "\"')]}»”’」』"
 
 
@@ -99,40 +99,22 @@ class SentenceTokens:
         made = self.tokenizer.encode(text, add_special_tokens=False)
         return np.array(made.ids, "<u4"), np.array([k for k, (_, b) in enumerate(made.offsets, 1) if b and text[b - 1] in MARKS], np.int64)
 
-    def _short(self, codes: list[int], closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _short(self, codes: list[int], closes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of known chunks, and where their sentences end; ``closes`` are the numbers of chunks that end a line."""
         which = np.array(codes, np.int64)
         size = self.size[which]
         after = np.cumsum(size)
         closed = self.closed[which]
         closed[closes] = True
+        ends = after[closed]
         places = np.repeat(self.first[which] - after + size, size) + np.arange(after[-1] if len(after) else 0)
-        return self.ids[places], np.unique(after[closed])
+        return self.ids[places], ends[np.diff(ends, prepend=0) > 0]  # a chunk may have no ids
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and the numbers of tokens before each sentence's end."""
-        raw = text.encode("utf-8")
-        if self.lowers and not any(t in (low := raw.lower()) for t in self.added):
-            raw = low
-        chunks: list[bytes] = []
-        line_ends = []
-        for line in raw.split(b"\n"):
-            chunks += line.split()
-            line_ends.append(len(chunks) - 1)
-        if self.held > CACHE_BYTES:
-            self._forget()
-        codes = [*map(self.code.get, chunks)]
-        closes = np.unique([k for k in line_ends if k >= 0]).astype(np.int64)
-        if None not in codes:
-            return self._short(codes, closes)
-        new = [c for c in {c for c, k in zip(chunks, codes, strict=True) if k is None} if len(c) <= CHUNK_BYTES]
-        if new:
-            self._learn(new)
-            codes = [*map(self.code.get, chunks)]
+    def _joined(self, chunks: list[bytes], codes: list[int | None], closes: list[int], long: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_short``, with the long chunks at the places ``long``."""
         ids, ends, total, begin = [], [], 0, 0
-        for stop in [*(k for k, c in enumerate(codes) if c is None), len(codes)]:
-            here = closes[(closes >= begin) & (closes < stop)] - begin
-            made = [self._short(codes[begin:stop], here)] + ([self._long(chunks[stop])] if stop < len(codes) else [])
+        for stop in [*long, len(codes)]:
+            made = [self._short(codes[begin:stop], [k - begin for k in closes if begin <= k < stop])] + ([self._long(chunks[stop])] if stop < len(codes) else [])
             for part, places in made:
                 ids.append(part)
                 ends.append(places + total)
@@ -140,6 +122,44 @@ class SentenceTokens:
             begin = stop + 1
         return np.concatenate(ids), np.unique(np.concatenate(ends))
 
+    def cut(self, text: str) -> tuple[list[bytes], list[int]]:
+        """The chunks of a text, and the numbers of those that end a line."""
+        raw = text.encode("utf-8")
+        if self.lowers and not any(t in (low := raw.lower()) for t in self.added):
+            raw = low
+        chunks: list[bytes] = []
+        closes = []
+        for line in raw.split(b"\n"):
+            if part := line.split():
+                chunks += part
+                closes.append(len(chunks) - 1)
+        return chunks, closes
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of each text, and the numbers of tokens before each sentence's end; what none has seen yet is encoded together."""
+        if self.held > CACHE_BYTES:
+            self._forget()
+        made = []
+        new: dict[bytes, None] = {}
+        get = self.code.get
+        for text in texts:
+            chunks, closes = self.cut(text)
+            codes = [*map(get, chunks)]
+            open_ = [k for k, c in enumerate(codes) if c is None] if None in codes else []
+            new.update(dict.fromkeys(chunks[k] for k in open_))
+            made.append((chunks, codes, closes, open_))
+        if short := [c for c in new if len(c) <= CHUNK_BYTES]:
+            self._learn(short)
+        for chunks, codes, closes, open_ in made:
+            for k in open_:
+                codes[k] = get(chunks[k])
+            long = [k for k in open_ if codes[k] is None]
+            yield self._joined(chunks, codes, closes, long) if long else self._short(codes, closes)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_all``, for one text."""
+        return next(self.encode_all([text]))
+
 
 @lru_cache(maxsize=2)
 def sentence_tokens(path: str) -> SentenceTokens:
@@ -293,11 +313,13 @@ def pack_windows(docs: DataFrame, path: str, text: str = "text", key: str = "doc
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for name, value in zip(batch.column(0), batch.column(1), strict=True):
-                ids, sentences = tokens.encode(value.as_py() or "")
-                packer.add(name.as_py(), np.concatenate((ids, end)), sentences)
-                if packer.end - packer.start >= span:
-                    yield made(False)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                found = tokens.encode_all([t or "" for t in part.column(1).to_pylist()])
+                for name, (ids, sentences) in zip(part.column(0).to_pylist(), found, strict=True):
+                    packer.add(name, np.concatenate((ids, end)), sentences)
+                    if packer.end - packer.start >= span:
+                        yield made(False)
         if kind is not None:
             yield made(True)
 
