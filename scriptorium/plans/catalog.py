@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import registry, report_queries, review_queries, rule_queries, serving_queries, text_queries  # noqa: F401  the modules register on import
+from . import registry, report_queries, review_queries, rule_queries, search_queries, serving_queries, text_queries  # noqa: F401  the modules register on import
 
 
 def queries() -> dict[str, registry.Query]:

@@ -132,26 +132,6 @@ def rt3(spark, sf):
     return got.select("doc_id", F.size("bases").cast("long").alias("n_bases"), _md5(line).alias("md5"), F.array_join("retrieval_notes", ",").alias("notes"))
 
 
-_DENSE = "e as (select vec_id, embedding::double[] as v from embeddings), d as (select q.vec_id as query_id, c.vec_id as item_id, round(list_dot_product(q.v, c.v) / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v)), 0), 9) as s from e q, e c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)"
-
-
-@query("rt1_hybrid", f"""with {_DENSE}, dense as (select query_id, item_id, row_number() over (partition by query_id order by s desc, item_id) as rank from d),
-w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') as w from documents), c as (select doc_id, len(w) as n, len(list_filter(w, lambda x: x = 'hation')) as a, len(list_filter(w, lambda x: x = 'erthe')) as b from w),
-st as (select count(*) as docs, avg(n) as mean, count(*) filter (where a > 0) as da, count(*) filter (where b > 0) as db from c),
-x as (select doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) as score from c, st),
-lexical as (select doc_id, row_number() over (order by score desc, doc_id) as rank from x where score > 0),
-u as (select query_id, item_id, rank from dense where rank <= 20 union all select vec_id, doc_id, rank from lexical, e where vec_id % 50 = 0 and rank <= 20),
-g as (select query_id, item_id, round(sum(1.0::double / (60 + rank)), 9) as score from u group by all)
-select * from (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from g) where rank <= 10""")
-def rt1_hybrid(spark, sf):
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = rows.where("id % 50 = 0")
-    dense = R.cosine_top_k(queries, rows, 20)
-    best = R.bm25_top_k(_docs(spark, sf), "doc_id", "text", ["hation", "erthe"], 20)  # twenty rows
-    lexical = queries.select(F.col("id").alias("query_id")).join(F.broadcast(best.select(F.col("doc_id").alias("item_id"), "rank")))
-    return V.fuse_ranks([dense, lexical], 10).withColumn("rank", F.col("rank").cast("long"))
-
-
 @query("jn2_clause_of_risk", "select l.doc_id, l.quality, d.source as section, d.n_chars from labels l left join (select * from documents where lang in ('en', 'fr')) d using (doc_id)")
 def jn2(spark, sf):
     clauses = _docs(spark, sf).where("lang in ('en', 'fr')").select("doc_id", F.col("source").alias("section"), "n_chars")
