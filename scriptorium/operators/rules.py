@@ -1,16 +1,20 @@
 """Declarative rules over short texts: keyword scores, levels, gates and the best per text.
 
-A rule pack is a list of ``Rule``; it becomes one array literal, so evaluating it is a narrow
-transformation: every text scores all rules in place and keeps its best ones, without a cross
-join and without a shuffle.
+A rule pack is a list of ``Rule``.  Evaluating it is a narrow transformation: every text is searched once for all words of the pack by
+one automaton, scores all rules in place and keeps its best ones, without a cross join and without a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
 from ..functions.text import keyword_hits, squash
 
@@ -60,72 +64,155 @@ def group_hits(text: Column, groups: dict[str, tuple[str, ...]]) -> Column:
     return F.create_map(*[x for name, words in groups.items() for x in (F.lit(name), keyword_hits(text, _strings(words)))])
 
 
-def find_hits(text: Column, clause_type: Column, rule: Rule) -> Column:
-    """Struct of what a text has of one rule: its words, and whether each gate is open."""
-    related = F.lit(False)
-    for name in rule.related:
-        related = related | F.contains(clause_type, F.lit(name))
-    hits = group_hits(text, rule.groups)
-    return F.struct(
-        keyword_hits(text, _strings(rule.keywords)).alias("words"), keyword_hits(text, _strings(rule.strong)).alias("strong"), related.alias("related"),
-        (F.forall(F.map_values(hits), lambda h: F.size(h) > 0) if rule.groups else F.lit(True)).alias("groups"),
-        (F.size(keyword_hits(text, _strings(rule.required_any))) > 0 if rule.required_any else F.lit(True)).alias("required"),
-        all_of_any(text, rule.combinations).alias("combinations"),
-        (F.size(keyword_hits(text, _strings(rule.blocked))) > 0 if rule.blocked else F.lit(False)).alias("blocked"),
-    )
+class WordPack:
+    """The distinct words of a pack, and one automaton that finds all of them in one pass over a text.
 
+    Words that overlap or lie in one another are all found, and the time does not depend on their number.
+    ``found`` gives a row of booleans per text; tests on it are operations on whole columns.
+    """
 
-def evaluate(hits: Column, rule: Rule, index: int) -> Column:
-    """Struct of hits, gates, confidence and level (0: no risk) of one rule, from a column of ``find_hits``."""
-    n_words, n_strong = F.size(hits["words"]), F.size(hits["strong"])
-    is_blocked = hits["blocked"] & (n_words <= rule.blocked_max) & (n_strong == 0)
-    strong_ok = (n_strong > 0) if rule.require_strong else F.lit(True)
-    confidence = 6 * n_strong + 2 * n_words + hits["related"].cast("int") + hits["groups"].cast("int")
-    passed = strong_ok & hits["groups"] & hits["required"] & hits["combinations"] & ~is_blocked & (n_words + n_strong > 0)
-    level = (
-        F.when(~passed, 0).when(n_strong > 0, 3).when((n_words >= rule.medium_at) | (confidence >= 6), 2)
-        .when((n_words >= rule.low_at) | (hits["related"] & (n_words >= 1)), 1).otherwise(0)
-    )
-    return F.struct(
-        level.alias("level"), confidence.alias("confidence"), n_strong.alias("strong_count"), n_words.alias("keyword_count"), F.lit(-index).alias("precedence"),
-        F.lit(rule.risk_type).alias("risk_type"), F.slice(F.array_distinct(F.concat(hits["strong"], hits["words"])), 1, 8).alias("triggers"),
-        F.struct(strong_ok.alias("strong"), hits["groups"].alias("groups"), hits["required"].alias("required_any"), hits["combinations"].alias("combinations"), (~is_blocked).alias("not_blocked")).alias("checks"),
+    def __init__(self, words: Iterable[str]):
+        import ahocorasick
+
+        self.place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        self.automaton = ahocorasick.Automaton()
+        for w, i in self.place.items():
+            if w:
+                self.automaton.add_word(w, i)
+        self.automaton.make_automaton()
+
+    def found(self, texts: list[str | None]) -> np.ndarray:
+        """Whether each text (null: empty) holds each word; the empty word is in all."""
+        held = np.zeros((len(texts), len(self.place)), bool)
+        if any(self.place):
+            search = self.automaton.iter
+            rows, places = [], []
+            for row, text in enumerate(texts):
+                if text:
+                    here = {i for _, i in search(text)}
+                    places += here
+                    rows += [row] * len(here)
+            held[rows, places] = True
+        if "" in self.place:
+            held[:, self.place[""]] = True
+        return held
+
+    def of(self, words: Iterable[str]) -> list[int]:
+        return [self.place[w] for w in dict.fromkeys(words)]
+
+
+def words_of_rules(rules: list[Rule]) -> list[str]:
+    """All words that any list of the rules has."""
+    return [w for r in rules for part in (r.keywords, r.strong, r.required_any, r.blocked, *r.combinations, *r.groups.values()) for w in part]
+
+
+CHECKS = ("strong", "groups", "required_any", "combinations", "not_blocked")
+CHOSEN = pa.struct([(c, pa.int32()) for c in ("rule", "level", "confidence", "strong_count", "keyword_count")] + [("checks", pa.struct([(c, pa.bool_()) for c in CHECKS]))])
+CHOSEN_DDL = f"array<struct<rule:int,level:int,confidence:int,strong_count:int,keyword_count:int,checks:struct<{','.join(c + ':boolean' for c in CHECKS)}>>>"
+
+
+def evaluate(pack: WordPack, held: np.ndarray, kinds: list[str], rule: Rule) -> tuple[np.ndarray, ...]:
+    """Level (0: no risk), confidence, strong hits, keyword hits and the gates of one rule, for each row of ``held``."""
+    n = len(held)
+
+    def count(words: Iterable[str]) -> np.ndarray:
+        return held[:, pack.of(words)].sum(axis=1, dtype=np.int32)
+
+    def each(parts: Iterable[np.ndarray], start: bool) -> np.ndarray:
+        return reduce((lambda x, y: x & y) if start else (lambda x, y: x | y), parts, np.full(n, start))
+
+    n_words, n_strong = count(rule.keywords), count(rule.strong)
+    by_kind = {k: any(name in k for name in rule.related) for k in {*kinds}}
+    related = np.array([by_kind[k] for k in kinds], bool)
+    groups = each((count(words) > 0 for words in rule.groups.values()), True)
+    required = count(rule.required_any) > 0 if rule.required_any else np.ones(n, bool)
+    combinations = each((count(words) == len({*words}) for words in rule.combinations if words), False) if rule.combinations else np.ones(n, bool)
+    blocked = (count(rule.blocked) > 0) & (n_words <= rule.blocked_max) & (n_strong == 0)
+    strong_ok = n_strong > 0 if rule.require_strong else np.ones(n, bool)
+    confidence = 6 * n_strong + 2 * n_words + related + groups
+    passed = strong_ok & groups & required & combinations & ~blocked & (n_words + n_strong > 0)
+    level = np.select(
+        [~passed, n_strong > 0, (n_words >= rule.medium_at) | (confidence >= 6), (n_words >= rule.low_at) | (related & (n_words >= 1))], [0, 3, 2, 1], 0
     )
+    return level, confidence, n_strong, n_words, np.stack([strong_ok, groups, required, combinations, ~blocked], axis=1)
+
+
+def choose(made: list[tuple[np.ndarray, ...]], key_only: bool) -> pa.Array:
+    """The best rules of each row: up to two of medium or high, else one low."""
+    level, confidence, strong, words = (np.stack([m[i] for m in made], axis=1).astype(np.int32) for i in range(4))
+    order = np.lexsort((-words, -strong, -confidence, -level), axis=-1)  # stable: the order of the rules last
+    best = np.take_along_axis(level, order, axis=1)
+    keep = np.zeros(level.shape, bool)
+    keep[:, :2] = best[:, :2] >= 2
+    keep[:, 0] |= best[:, 0] > 0
+    if key_only:
+        firm = (strong > 0) | (words >= 3) | (confidence >= 8)
+        keep &= (best == 3) | ((best == 2) & np.take_along_axis(firm, order, axis=1))
+    row, place = np.nonzero(keep)
+    rule = order[row, place]
+    checks = np.stack([m[4] for m in made], axis=1)[row, rule]
+    gates = pa.StructArray.from_arrays([pa.array(checks[:, i]) for i in range(len(CHECKS))], names=list(CHECKS))
+    fields = [rule.astype(np.int32), *(x[row, rule] for x in (level, confidence, strong, words))]
+    chosen = pa.StructArray.from_arrays([*(pa.array(f, pa.int32()) for f in fields), gates], fields=list(CHOSEN))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(keep.sum(axis=1)))), pa.int32()), chosen)
+
+
+def chosen_rules(text: Column, clause_type: Column, rules: list[Rule], key_only: bool = False) -> Column:
+    """Array of the best rules of a squashed text, with what each has of it."""
+    held: list[WordPack] = []
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        if not held:
+            held.append(WordPack(words_of_rules(rules)))
+        for texts, kinds in batches:
+            found, names = held[0].found(texts.to_pylist()), [k or "" for k in kinds.to_pylist()]
+            yield choose([evaluate(held[0], found, names, rule) for rule in rules], key_only)
+
+    return arrow_udf(run, CHOSEN_DDL, ArrowUDFType.SCALAR_ITER)(text, clause_type)
+
+
+def find_words(text: Column, words: list[str]) -> Column:
+    """The words of a pack that a squashed text holds, in the order of the pack; null and empty texts hold none."""
+    listed, held = list(dict.fromkeys(words)), []
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if not held:
+            held.append(WordPack(listed))
+        names = pa.array(listed, pa.string())
+        for batch in batches:
+            found = held[0].found(batch.to_pylist())
+            found[batch.is_null().to_numpy(zero_copy_only=False)] = False
+            ends = pa.array(np.concatenate(([0], np.cumsum(found.sum(axis=1)))), pa.int32())
+            yield pa.ListArray.from_arrays(ends, names.take(pa.array(np.nonzero(found)[1])))
+
+    return arrow_udf(run, "array<string>", ArrowUDFType.SCALAR_ITER)(text) if listed else F.array().cast("array<string>")
 
 
 def identify_risks(clauses: DataFrame, rules: list[Rule], text: str = "text", clause_type: str = "clause_type", key_only: bool = False) -> DataFrame:
     """One row per clause and risk: up to two of medium or high, else one low, else one without risk.
 
     Order: level, confidence, strong hits, keyword hits, then the order of the rules.  ``key_only``
-    keeps only key risks, as for attachments.
+    keeps only key risks, as for attachments.  A text is searched once for all words of the pack; the words shown as triggers
+    are looked up for the chosen rules only.
     """
-    squashed = squash(F.col(text))
-    kind = F.coalesce(F.col(clause_type), F.lit(""))
-    # each rule's hits are a column of their own, so a text is searched once for each word
-    looked = {f"__k{i}": find_hits(F.col("__t"), kind, rule) for i, rule in enumerate(rules)}
-    found = F.array(*[evaluate(F.col(f"__k{i}"), rule, i) for i, rule in enumerate(rules)])
-    hits = F.filter("__r", lambda r: r["level"] > 0)
-    ranked = F.reverse(F.array_sort(hits))
-    top = F.slice(F.filter("__h", lambda r: r["level"] >= 2), 1, 2)
-    chosen = F.when(F.size(top) > 0, top).otherwise(F.slice("__h", 1, 1))
-    if key_only:
-        chosen = F.filter(top, is_key_risk)
-    rows = clauses.withColumn("__t", squashed).withColumns(looked).withColumn("__r", found).withColumn("__h", ranked)
-    out = rows.select(*clauses.columns, F.posexplode_outer(chosen).alias("risk_no", "r"))
-    level = F.coalesce(F.col("r.level"), F.lit(0))
-    names = F.array(*[F.lit(x) for x in LEVELS])
+    chosen = chosen_rules(F.col("__t"), F.col(clause_type), rules, key_only) if rules else F.array().cast(CHOSEN_DDL)
+    rows = clauses.withColumn("__t", squash(F.col(text))).withColumn("__c", chosen)
+    out = rows.select(*clauses.columns, "__t", F.posexplode_outer("__c").alias("risk_no", "r"))
+    level, which, none = F.coalesce(F.col("r.level"), F.lit(0)), F.col("r.rule") + 1, F.col("r.rule").isNull()
+    words = F.array(*[_strings(tuple(dict.fromkeys((*r.strong, *r.keywords)))) for r in rules])
+    shown = F.slice(F.filter(F.element_at(words, which), lambda w: F.contains(F.col("__t"), w)), 1, 8) if rules else F.lit(None)
     return out.select(
         *clauses.columns,
         (F.coalesce("risk_no", F.lit(0)) + 1).alias("risk_no"),
-        F.coalesce("r.risk_type", F.lit("no risk")).alias("risk_type"),
-        F.element_at(names, level + 1).alias("risk_level"),
+        F.when(none, "no risk").otherwise(F.element_at(_strings(tuple(r.risk_type for r in rules) or ("",)), which)).alias("risk_type"),
+        F.element_at(_strings(LEVELS), level + 1).alias("risk_level"),
         F.coalesce("r.confidence", F.lit(0)).alias("confidence"),
         F.coalesce("r.strong_count", F.lit(0)).alias("strong_count"),
         F.coalesce("r.keyword_count", F.lit(0)).alias("keyword_count"),
-        F.coalesce("r.triggers", F.array().cast("array<string>")).alias("triggers"),
+        F.when(none, F.array().cast("array<string>")).otherwise(shown).alias("triggers"),
         F.col("r.checks").alias("checks"),
         (level >= 2).alias("needs_attention"),
-        F.when(F.col("r").isNull(), False).otherwise(is_key_risk(F.col("r"))).alias("is_key"),
+        F.when(none, False).otherwise(is_key_risk(F.col("r"))).alias("is_key"),
     )
 
 

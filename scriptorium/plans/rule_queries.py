@@ -55,6 +55,19 @@ def pr1(spark, sf):
     return _clauses(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), F.size(keyword_hits(squash(F.col("text")), words)).cast("long").alias("score"))
 
 
+#: A wide pack: a thousand syllable pairs, built by rule.
+_SYLLABLES = [a + b for a in ("th", "er", "en", "an", "in", "ch", "ei", "un", "qu", "ou", "re", "st", "ti", "on", "es", "de", "la", "le", "ci", "me") for b in ("a", "e", "i", "o", "u")]
+WIDE = tuple(x + y for x in _SYLLABLES for y in _SYLLABLES[::10])
+
+
+@query("jn1_wide_pack", f"select doc_id, sum(len(f)) as n_hits, count(*) filter (where len(f) > 0) as n_clauses, md5(string_agg(array_to_string(f, ','), ';' order by pos)) as md5 from (select doc_id, pos, list_filter({_list(WIDE)}, lambda k: contains(t, k)) as f from {_CLAUSES}) group by doc_id")
+def jn1_wide_pack(spark, sf):
+    """Every clause against a thousand words in one pass."""
+    found = _clauses(spark, sf).select("doc_id", "pos", U.find_words(squash(F.col("text")), list(WIDE)).alias("f"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.array_join("f", ",").alias("f")))), lambda x: x["f"])
+    return found.groupBy("doc_id").agg(F.sum(F.size("f")).alias("n_hits"), F.count_if(F.size("f") > 0).alias("n_clauses"), F.md5(F.array_join(listed, ";").cast("binary")).alias("md5"))
+
+
 @query("pr4_combinations", f"select doc_id, count(*) filter (where (contains(t, 'the') and contains(t, 'and')) or (contains(t, 'les') and contains(t, 'des'))) as n_met, count(*) as n from {_CLAUSES} group by doc_id")
 def pr4(spark, sf):
     met = U.all_of_any(squash(F.col("text")), RULES[1].combinations)

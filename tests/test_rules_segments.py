@@ -1,7 +1,11 @@
 """Hand-made expectations for rules, lines, chunks and evidence."""
 
 import hashlib
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from scriptorium.operators import lines as L
 from scriptorium.operators import retrieval as R
@@ -103,3 +107,60 @@ def test_threshold_search_has_no_cap(spark):
     want = {(q, k) for q in (0, 50, 100, 150) for k in range(200) if k != q} | {(200, k) for k in range(201, 220)}
     assert {(r.query_id, r.item_id) for r in got} == want and len(got) == len(want)
     assert R.cosine_top_k(rows.where("id = 0"), rows, 60, threshold=0.2).count() == 60
+
+
+def test_all_words_of_a_pack_are_found_where_they_overlap(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 5))) for _ in range(40)]
+    texts = ["".join(rng.choice("abéc") for _ in range(rng.randrange(0, 12))) for _ in range(300)] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.f for r in rows.select("id", U.find_words(F.col("t"), words).alias("f")).collect()}
+    assert got == {i: [w for w in dict.fromkeys(words) if t and w in t] for i, t in enumerate(texts)}
+    assert rows.select(U.find_words(F.col("t"), []).alias("f")).first().f == []
+
+
+def test_rules_match_an_evaluation_word_by_word(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 4)))
+    some = lambda n: tuple(word() for _ in range(rng.randrange(n)))
+    rules = [
+        U.Rule(f"r{i}", some(5) + (word(),), some(3), some(2), rng.randrange(1, 4), rng.randrange(1, 3), some(3), tuple(some(3) for _ in range(rng.randrange(3))), some(3), rng.randrange(3), rng.random() < 0.3, {f"g{j}": some(3) + (word(),) for j in range(rng.randrange(3))})
+        for i in range(6)
+    ]
+    texts = [(i, "".join(rng.choice("abcd") for _ in range(rng.randrange(14))), word()) for i in range(300)] + [(999, None, None)]
+
+    def expected(t, kind):
+        made = []
+        for i, r in enumerate(rules):
+            n = lambda words: sum(w in t for w in {*words})
+            kw, st, rel, grp = n(r.keywords), n(r.strong), any(x in kind for x in r.related), all(n(g) for g in r.groups.values())
+            conf = 6 * st + 2 * kw + rel + grp
+            combos = not r.combinations or any(c and n(c) == len({*c}) for c in r.combinations)
+            ok = (st > 0 or not r.require_strong) and grp and (not r.required_any or n(r.required_any)) and combos and not (n(r.blocked) and kw <= r.blocked_max and not st) and kw + st
+            level = 0 if not ok else 3 if st else 2 if kw >= r.medium_at or conf >= 6 else 1 if kw >= r.low_at or (rel and kw) else 0
+            made.append((-level, -conf, -st, -kw, i))
+        best = sorted(m for m in made if m[0] < 0)
+        return [(rules[i].risk_type, -lv, -c, -s, -k) for lv, c, s, k, i in ([m for m in best if m[0] <= -2][:2] or best[:1])] or [("no risk", 0, 0, 0, 0)]
+
+    rows = U.identify_risks(spark.createDataFrame(texts, "id int, text string, clause_type string"), rules).orderBy("id", "risk_no").collect()
+    got, known = {}, {i: t or "" for i, t, _ in texts}
+    for r in rows:
+        got.setdefault(r.id, []).append((r.risk_type, U.LEVELS.index(r.risk_level), r.confidence, r.strong_count, r.keyword_count))
+        assert all(w in known[r.id] for w in r.triggers) and bool(r.triggers) == (r.risk_type != "no risk")
+    assert got == {i: expected(t or "", k or "") for i, t, k in texts}
+
+
+def test_a_thousand_words_cost_at_most_twice_fifty():
+    rng = random.Random(3)
+    words = list({"".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(1_200)})[:1_000]
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(250)) for _ in range(4_000)]
+
+    def seconds(pack):
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            pack.found(texts)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert seconds(U.WordPack(words)) < 2 * seconds(U.WordPack(words[:50])) + 0.05
