@@ -6,8 +6,13 @@ chunker's greedy packing is a fold, and it folds over the blocks of one section.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
 from ..functions.text import lines_of, strip
 from .lines import Layout
@@ -41,12 +46,33 @@ def strip_section_titles(text: Column, section: str, clause: str) -> Column:
     return F.array_join(F.when(last, F.slice(led, F.lit(1), F.size(led) - 1)).otherwise(led), "\n")
 
 
+def running_sums(numbers: Column) -> Column:
+    """For each element of an array of whole numbers the sum of those before it, in linear time (a fold would copy what it has at each step)."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat, ends = batch.flatten().to_numpy(zero_copy_only=False).astype(np.int64), batch.offsets.to_numpy().astype(np.int64)
+            before = np.cumsum(flat) - flat
+            size = np.diff(ends)
+            # a batch may be a slice, and its offsets need not begin at 0
+            first = np.repeat(ends[:-1] - ends[0], size)
+            made = before - before[first] if len(flat) else before
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(made, pa.int64()))
+
+    return arrow_udf(run, "array<bigint>", ArrowUDFType.SCALAR_ITER)(F.coalesce(numbers, F.array().cast("array<int>")))
+
+
+def located_parts(docs: DataFrame, key: str, text: str, marker: str) -> DataFrame:
+    """(key, at, place, part): the text cut before each marker, with the characters before each part; only parts that begin with the marker."""
+    cut = docs.select(key, F.split(F.col(text), f"(?={marker})", -1).alias("parts"))
+    placed = cut.withColumn("places", running_sums(F.transform("parts", F.length)))
+    rows = placed.select(key, F.posexplode(F.arrays_zip("parts", "places")).alias("at", "p"))
+    return rows.select(key, "at", F.col("p.places").cast("int").alias("place"), F.col("p.parts").alias("part")).where(F.col("part").rlike(f"^(?:{marker})"))
+
+
 def section_titles(docs: DataFrame, key: str, text: str, title: str) -> DataFrame:
     """(key, place, section_title): every match of a title with the characters before it."""
-    parts = F.split(F.col(text), f"(?={title})", -1)
-    rows = docs.select(key, parts.alias("parts"), F.posexplode(parts).alias("at", "part")).where(F.col("part").rlike(f"^(?:{title})"))
-    place = F.aggregate(F.slice("parts", F.lit(1), F.col("at")), F.lit(0), lambda n, x: n + F.length(x))
-    return rows.select(key, place.alias("place"), F.regexp_extract("part", f"^({title})", 1).alias("section_title"))
+    return located_parts(docs, key, text, title).select(key, "place", F.regexp_extract("part", f"^({title})", 1).alias("section_title"))
 
 
 def split_clauses(docs: DataFrame, key: str, text: str, marker: str, fallback: str = " clause", section: str | None = None) -> DataFrame:
@@ -54,9 +80,10 @@ def split_clauses(docs: DataFrame, key: str, text: str, marker: str, fallback: s
 
     With ``section``, titles of sections at either end of a clause go, and its lines are stripped.
     """
-    pieces = docs.select(key, F.posexplode(F.split(F.col(text), f"(?={marker})", -1)).alias("at", "text")).where(F.col("text").rlike(f"^(?:{marker})"))
+    # all pieces of a text are in one row, so they are numbered there
+    pieces = F.filter(F.split(F.col(text), f"(?={marker})", -1), lambda p: p.rlike(f"^(?:{marker})"))
+    numbered = docs.select(key, F.posexplode(pieces).alias("at", "text")).withColumn("pos", F.col("at") + 1)
     mark = F.regexp_extract("text", f"^({marker})", 1)
-    numbered = pieces.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("at")))
     body = strip_section_titles(F.col("text"), section, f"^(?:{marker})") if section else strip(F.col("text"))
     made = numbered.select(key, "pos", mark.alias("section"), body.alias("text"))
     return made.select(key, "pos", F.concat(F.lit("C"), F.col("pos")).alias("clause_id"), "section", clause_title(F.col("section"), F.col("text"), fallback).alias("title"), "text")
@@ -98,28 +125,33 @@ def split_weakly(docs: DataFrame, key: str, text: str, section: str, soft: list[
     def clean(parts: Column) -> Column:
         return F.filter(F.transform(parts, strip), lambda p: p != "")
 
+    def when_more(t: Column, holds: Column, parts: Column) -> Column:
+        return F.when(holds, parts).otherwise(F.array(t))
+
+    def at_words(t: Column) -> Column:
+        parts = clean(F.split(t, f"(?={section})|(?={'|'.join(soft)})", -1))
+        return when_more(t, (F.length(t) >= long) & (F.size(parts) > 1), parts)
+
+    def at_points(t: Column) -> Column:
+        parts = clean(F.split(t, f"(?=(?:^|\n){subpoint})", -1))
+        enough = (F.length(t) >= middle) & (F.size(F.filter(parts, lambda p: p.rlike(f"^(?:{subpoint})"))) >= 2)
+        return when_more(t, enough, F.filter(parts, lambda p: F.length(p) >= least))
+
     whole = strip(F.col(text))
-    by_section = clean(F.split(whole, f"(?={section})", -1))
-    marked = F.filter(by_section, lambda p: p.rlike(f"^(?:{section})"))
-    first = docs.select(key, F.posexplode(F.when(F.size(marked) >= 2, marked).otherwise(F.array(whole))).alias("a", "t")).where("t <> ''")
-    by_word = clean(F.split("t", f"(?={section})|(?={'|'.join(soft)})", -1))
-    second = first.select(key, "a", F.posexplode(F.when((F.length("t") >= long) & (F.size(by_word) > 1), by_word).otherwise(F.array("t"))).alias("b", "t"))
-    points = clean(F.split("t", f"(?=(?:^|\n){subpoint})", -1))
-    enough = (F.length("t") >= middle) & (F.size(F.filter(points, lambda p: p.rlike(f"^(?:{subpoint})"))) >= 2)
-    third = second.select(key, "a", "b", F.posexplode(F.when(enough, F.filter(points, lambda p: F.length(p) >= least)).otherwise(F.array("t"))).alias("c", "t"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("a", "b", "c"))
-    return third.select(key, number.alias("pos"), F.concat(F.lit("C"), number).alias("clause_id"), F.col("t").alias("text"))
+    marked = F.filter(clean(F.split(whole, f"(?={section})", -1)), lambda p: p.rlike(f"^(?:{section})"))
+    # the pieces of a text stay in its row until all are cut, and are numbered there
+    first = docs.select(key, F.filter(when_more(whole, F.size(marked) >= 2, marked), lambda t: t != "").alias("t"))
+    pieces = F.flatten(F.transform(F.flatten(F.transform("t", at_words)), at_points))
+    number = F.col("at") + 1
+    return first.select(key, F.posexplode(pieces).alias("at", "text")).select(key, number.alias("pos"), F.concat(F.lit("C"), number).alias("clause_id"), "text")
 
 
 def split_contract(docs: DataFrame, key: str, text: str, layout: Layout, first_marker: str, clause_marker: str, default_section: str) -> DataFrame:
     """(key, part, pos, item_id, section_title, title, text): clauses of the body with the section above them, and attachments."""
     cut = docs.select(key, split_at_attachment(body_from(F.col(text), first_marker), layout.attachment).alias("p")).select(key, "p.*")
-    offset = F.aggregate("before", F.lit(0), lambda n, x: n + F.length(x))
 
     def located(column: str, marker: str) -> DataFrame:
-        parts = F.split(F.col(column), f"(?={marker})", -1)
-        rows = cut.select(key, parts.alias("parts"), F.posexplode(parts).alias("at", "text"))
-        return rows.withColumn("before", F.slice("parts", F.lit(1), F.col("at"))).select(key, "at", offset.alias("place"), "text").where(F.col("text").rlike(f"^(?:{marker})"))
+        return located_parts(cut, key, column, marker).withColumnRenamed("part", "text")
 
     heading = layout.section.lstrip("^") + "[^\n]*"
     sections = located("main", heading).select(key, "place", F.regexp_extract("text", f"^({heading})", 1).alias("section_title"))

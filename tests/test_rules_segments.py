@@ -164,3 +164,24 @@ def test_a_thousand_words_cost_at_most_twice_fifty():
         return best
 
     assert seconds(U.WordPack(words)) < 2 * seconds(U.WordPack(words[:50])) + 0.05
+
+
+def test_texts_of_a_hundred_thousand_titles(spark):
+    text = "\n".join(f"Part A{i} one\nClause {i} says so" for i in range(100_000))
+    rows = spark.createDataFrame([(1, "x"), (2, text), (3, None), (4, "Part A0")], "id int, t string")
+    began = time.perf_counter()
+    found = S.section_titles(rows, "id", "t", "Part [A-Z][0-9]+")
+    last = found.where("id = 2").orderBy(F.desc("place")).first()
+    assert (last.section_title, text[last.place :][: len(last.section_title)]) == ("Part A99999", "Part A99999")
+    assert found.groupBy("id").count().orderBy("id").collect() == [(2, 100_000), (4, 1)]
+    layout = L.Layout(section="^Part [A-Z]", clause="", attachment=r"^Annex \d", subpoint="")
+    made = S.split_contract(rows, "id", "t", layout, "Clause 0", r"Clause \d+", "start")
+    assert made.where("id = 2 and section_title is not null").count() == 100_000
+    assert S.split_clauses(rows, "id", "t", r"Clause \d+").where("pos = 100000").first().section == "Clause 99999"
+    assert time.perf_counter() - began < 60
+
+
+def test_running_sums_of_arrays(spark):
+    rows = spark.createDataFrame([(i, [rng % 7 for rng in range(i % 5)] if i % 3 else None) for i in range(50)], "id int, n array<int>")
+    got = {r.id: r.s for r in rows.select("id", S.running_sums(F.col("n")).alias("s")).collect()}
+    assert got == {r.id: [sum(r.n[:k]) for k in range(len(r.n))] if r.n else [] for r in rows.collect()}
