@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+from .skew import LEAST, join_spread
 
 STRATEGIES = ("concatenate", "keep_first", "join_unique")
 
@@ -16,13 +18,33 @@ def _merged(strategy: str, value: Column, order: Column, separator: str) -> Colu
     return F.array_join(F.array_distinct(listed) if strategy == "join_unique" else listed, separator)
 
 
-def merge_entities(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, strategies: dict[str, str] | None = None, separator: str = "; ") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges after each alias (name, target) became its target.
+def resolve_aliases(aliases: DataFrame, least: int = LEAST) -> DataFrame:
+    """(name, target): the end of each alias's chain; ``ValueError`` if some chain has none.
+
+    Pointers are doubled: after r rounds each alias points 2^r steps on, so a chain of n aliases takes log2(n) rounds, each one join over
+    a stored table.  Targets that many aliases share are dealt out.  Of several targets of a name the least counts; aliases of themselves and
+    nulls are none.
+    """
+    made = aliases.where("name is not null and target is not null and name <> target").groupBy("name").agg(F.min("target").alias("target"))
+    made = stage(made, "aliases")
+    rounds = made.count().bit_length() + 1  # enough for one chain of them all
+    for _ in range(rounds):
+        following = made.select(F.col("name").alias("target"), F.col("target").alias("next"))
+        if made.join(following, "target", "left_semi").isEmpty():
+            return made
+        step = join_spread(made, following, "target", F.col("name"), "left", least)
+        made = stage(step.select("name", F.coalesce("next", "target").alias("target")), "aliases")
+    raise ValueError("aliases lead in a circle")
+
+
+def merge_entities(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, strategies: dict[str, str] | None = None, separator: str = "; ", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after each alias (name, target) became the end of its chain.
 
     Edges move, self-loops go, equal edges add up their weights.  ``strategies`` names one for each column of the nodes:
     ``concatenate`` all values, ``keep_first`` (the target's own, else the first alias's by name) or
     ``join_unique``.  Without it, kinds keep the least and descriptions are joined without repeats, in order.
     """
+    aliases = resolve_aliases(aliases, least)
     named = nodes.join(aliases, "name", "left").withColumn("__old", F.struct(F.col("target").isNotNull().alias("a"), F.col("name").alias("n"))).withColumn("name", F.coalesce("target", "name"))
     if strategies is None:
         merged = named.groupBy("name").agg(F.min("kind").alias("kind"), F.concat_ws("; ", F.array_sort(F.collect_set("description"))).alias("description"))
@@ -32,8 +54,9 @@ def merge_entities(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, strat
         merged = named.groupBy("name").agg(*[_merged(strategies.get(c, "keep_first"), F.col(c), F.col("__old"), separator).alias(c) for c in nodes.columns if c != "name"])
     a = aliases.select(F.col("name").alias("src"), F.col("target").alias("s"))
     b = aliases.select(F.col("name").alias("dst"), F.col("target").alias("d"))
-    moved = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "weight")
-    return merged, moved.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    moved = join_spread(join_spread(edges, a, "src", F.col("dst"), "left", least), b, "dst", F.col("src"), "left", least)
+    ends = moved.select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "weight")
+    return merged, ends.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def insert_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,8 +86,59 @@ def delete_documents(items: DataFrame, doc_ids: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(name, neighbour, weight): the edges at each seed (name), in either direction."""
-    both = edges.select(F.col("src").alias("name"), F.col("dst").alias("neighbour"), "weight").unionByName(edges.select(F.col("dst").alias("name"), F.col("src").alias("neighbour"), "weight"))
-    return both.join(seeds, "name", "left_semi")
+    return both_ways(edges).join(seeds, "name", "left_semi")
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(name, neighbour, weight): each edge from either end."""
+    return edges.select(F.col("src").alias("name"), F.col("dst").alias("neighbour"), "weight").unionByName(edges.select(F.col("dst").alias("name"), F.col("src").alias("neighbour"), "weight"))
+
+
+def expand(edges: DataFrame, seeds: DataFrame, hops: int, least: int = LEAST) -> DataFrame:
+    """(query_id, name, hop): every node within so many edges of a query's seeds (query_id, name), at its least distance.
+
+    Each hop is one join of the frontier with the edges, whose hubs are dealt out whole, less what was seen before; all queries go at once.
+    """
+    links = stage(both_ways(edges).select("name", "neighbour").distinct(), "links")
+    seen = stage(seeds.select("query_id", "name").where("name is not null").distinct().withColumn("hop", F.lit(0)), "seen")
+    frontier = seen
+    for hop in range(1, hops + 1):
+        met = join_spread(links, frontier.select("query_id", "name"), "name", F.col("neighbour"), least=least)
+        new = met.select("query_id", F.col("neighbour").alias("name")).distinct().join(seen, ["query_id", "name"], "left_anti")
+        frontier = stage(new.withColumn("hop", F.lit(hop)), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def _within(rows: DataFrame, order: list[Column], k: int, budget: Column | int) -> DataFrame:
+    """Of (query_id, item, weight, tokens) the first k by the order, as long as their tokens stay within the budget."""
+    w = Window.partitionBy("query_id").orderBy(*order)
+    first = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return first.withColumn("used", F.sum("tokens").over(running)).where(F.col("used") <= budget)
+
+
+def local_context(edges: DataFrame, seeds: DataFrame, chunks: DataFrame | None = None, hops: int = 2, top_k: int = 60, chunk_top_k: int = 20, entity_tokens: int = 6_000, relation_tokens: int = 8_000, total_tokens: int = 30_000, least: int = LEAST) -> DataFrame:
+    """(query_id, part, item, weight, rank, used): what the neighbourhood of each query's seeds shows, within token budgets.
+
+    Entities come by distance, then by name; relations between two of the entities reached by weight; ``chunks`` (query_id, item,
+    weight, tokens), such as the nearest by vector, by weight, within what the other two leave of the total.  A name costs its
+    length in tokens, a relation the lengths of both its ends.
+    """
+    reached = stage(expand(edges, seeds, hops, least), "reached")
+    entities = _within(reached.select("query_id", F.col("name").alias("item"), F.col("hop").cast("double").alias("weight"), F.length("name").alias("tokens")), [F.col("weight"), F.col("item")], top_k, entity_tokens)
+    heads, tails = (reached.select("query_id", F.col("name").alias(end)) for end in ("src", "dst"))
+    inner = join_spread(edges, heads, "src", F.col("dst"), least=least).join(tails, ["query_id", "dst"])
+    relations = _within(inner.select("query_id", F.concat_ws("|", "src", "dst").alias("item"), F.col("weight").cast("double").alias("weight"), (F.length("src") + F.length("dst")).alias("tokens")), [F.desc("weight"), F.col("item")], top_k, relation_tokens)
+    parts = [stage(found.withColumn("part", F.lit(name)), name) for name, found in (("entity", entities), ("relation", relations))]
+    made = parts[0].unionByName(parts[1])
+    if chunks is not None:
+        spent = made.groupBy("query_id", "part").agg(F.max("used").alias("u")).groupBy("query_id").agg(F.sum("u").alias("spent"))
+        found = _within(chunks.join(spent, "query_id", "left"), [F.desc("weight"), F.col("item")], chunk_top_k, F.lit(total_tokens) - F.coalesce("spent", F.lit(0)))
+        made = made.unionByName(found.select(*[c for c in made.columns if c != "part"], F.lit("chunk").alias("part")))
+    return made.select("query_id", "part", "item", "weight", "rank", "used")
 
 
 def heaviest_edges(edges: DataFrame, words: Column, k: int) -> DataFrame:

@@ -6,7 +6,11 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from scriptorium.operators import graph as G
 from scriptorium.operators import lexical as L
+from scriptorium.operators.skew import join_spread
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +77,55 @@ def test_empty_and_null_rows(spark):
     assert [(r.query_id, r.item_id) for r in got] == [(1, 3)] and index.documents == 5
     empty = L.build_lexical_index(spark.createDataFrame([], schema), "key", "text")
     assert L.lexical_top_k(empty, asked, 5).count() == 0 and L.lexical_top_k(index, asked.limit(0), 5).count() == 0
+
+
+# --- graph -----------------------------------------------------------------------------------------
+
+
+def test_chains_of_aliases_end_at_their_root(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(50)] + [(f"h{i}", "n7") for i in range(300)] + [("x", "x"), ("y", None), (None, "z"), ("two", "b"), ("two", "a")]
+    aliases = spark.createDataFrame(chain, "name string, target string")
+    got = {r.name: r.target for r in G.resolve_aliases(aliases, least=10).collect()}
+    assert got == {f"n{i}": "n50" for i in range(50)} | {f"h{i}": "n50" for i in range(300)} | {"two": "a"}
+    nodes = spark.createDataFrame([(n, "k", n) for n in ("n0", "n1", "n49", "n50", "h5", "q")], "name string, kind string, description string")
+    edges = spark.createDataFrame([(f"h{i}", "q", 1) for i in range(300)] + [("n0", "n1", 5), ("q", "n3", 2)], "src string, dst string, weight int")
+    merged, moved = G.merge_entities(nodes, edges, aliases, least=10)
+    assert sorted(r.name for r in merged.collect()) == ["n50", "q"]
+    assert sorted(map(tuple, moved.collect())) == [("n50", "q", 300), ("q", "n50", 2)]
+
+
+@pytest.mark.parametrize("length", [2, 3, 8, 13])
+def test_circles_of_aliases_are_told(spark, length):
+    pairs = [(f"c{i}", f"c{(i + 1) % length}") for i in range(length)] + [("tail", "c0"), ("a", "b")]
+    with pytest.raises(ValueError, match="circle"):
+        G.resolve_aliases(spark.createDataFrame(pairs, "name string, target string"))
+
+
+def test_expansion_through_hubs_matches_a_walk(spark):
+    rng = random.Random(6)
+    pairs = [(f"v{rng.randrange(120)}", f"v{rng.randrange(120)}", 1) for _ in range(90)] + [("hub", f"v{i}", 1) for i in range(0, 120, 2)] + [(None, "v1", 1), ("v2", None, 1)]
+    edges = spark.createDataFrame(pairs, "src string, dst string, weight int")
+    seeds = [(1, "v0"), (1, "v5"), (2, "hub"), (3, "nowhere"), (4, None)]
+    near = {}
+    for a, b, _ in pairs:
+        if a and b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = set()
+    for q in (1, 2, 3):
+        seen = {n: 0 for query, n in seeds if query == q}
+        for hop in range(1, 4):
+            for n in [m for n, h in seen.items() if h == hop - 1 for m in near.get(n, ()) if m not in seen]:
+                seen.setdefault(n, hop)
+        want |= {(q, n, h) for n, h in seen.items()}
+    got = [tuple(r) for r in G.expand(edges, spark.createDataFrame(seeds, "query_id int, name string"), 3, least=5).where("name is not null").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert G.expand(edges.limit(0), spark.createDataFrame(seeds[:1], "query_id int, name string"), 2).count() == 1
+
+
+def test_spread_joins_keep_rows_of_hot_and_missing_keys(spark):
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, 999)], "k string, i int")
+    side = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k3", "c"), (None, "d")], "k string, v string")
+    for how in ("inner", "left"):
+        got, want = (Counter(tuple(r) for r in df.select("k", "i", "v").collect()) for df in (join_spread(rows, side, "k", F.col("i"), how, least=5), rows.join(side, "k", how)))
+        assert got == want
