@@ -37,6 +37,8 @@ from .common import OWN, small_batches
 ORDER, QUANTILE, FOLDS = 5, 0.99, 5
 #: Bytes of text in a chunk and in one of its parts (a longer text is a part of its own), and n-grams that are handled at once.
 CHUNK_BYTES, PART_BYTES, BLOCK = 16_000_000, 1 << 21, 1 << 20
+#: Buckets of the stored chunks, at most; a bucket holds several chunks beyond it, one after the other.
+MOST_BUCKETS = 16_384
 #: Trusted ids are broadcast up to so many, and joined by shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: A byte that UTF-8 never has.
@@ -254,7 +256,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", chunk_bytes: int =
             yield row(np.unique(np.concatenate(seen)), None)
 
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_bytes))
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_bytes)))
     with small_batches(spark):
         stored = stage_bucketed(rows.mapInArrow(packs, "chunk bigint, codes array<bigint>, pack binary"), "packs", "chunk", buckets)
     wanted = stored.select("chunk", F.posexplode("codes").alias("pos", "g"))
