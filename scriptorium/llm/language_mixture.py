@@ -8,7 +8,7 @@ words.  Nested sets of the leading languages are refitted, and the set of greate
 less half the logarithm of the word count per extra language is selected; the prediction is
 its largest member and the score that member's proportion.
 
-At most ``MAX_LANGUAGES`` languages are learned, those with most rows.  All learned languages may be selected together.
+All languages of the training rows are learned, and all of them may be selected together; more than ``MAX_LANGUAGES`` are refused.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; ties go to
 the language first in order; repeated rows get equal results; without training rows all are ``und``.
@@ -30,8 +30,10 @@ from .common import OWN, annotate
 
 CELLS = 1 << 16
 PIECE = 1 << 20
-#: The languages learned, those with most training rows (then by name); a noisy column has no larger model.
-MAX_LANGUAGES = 64
+#: All languages are learned; a table of more (a quarter of a megabyte each) is refused, as the column is hardly one of languages.
+MAX_LANGUAGES = 1_000
+#: Sizes of the language set that are always tried, and sizes without a gain after which no more are.
+LEAST_SIZES, PATIENCE = 4, 2
 #: Words of a run of texts beyond which equal words of a text are held once, with their number.
 HELD_WORDS = 1 << 19
 
@@ -82,8 +84,8 @@ def _groups(values: list[str | None]) -> Iterator[tuple[int, int, str]]:
             first, size = i + 1, 0
 
 
-def train(rows: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the log likelihood of each cell in each, from all given rows.
+def train(rows: DataFrame, text: str, lang: str, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """Languages in order and the log likelihood of each cell in each, from all given rows; ``ValueError`` if there are more than ``max_languages``.
 
     Each task adds up its own cells first, so what is shuffled is bounded by tasks x cells.
     """
@@ -110,16 +112,21 @@ def train(rows: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]
         yield from flush()
 
     known = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    names = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    table = np.zeros((CELLS, len(names)))
+    names = sorted(r[0] for r in known.select("lang").distinct().limit(max_languages + 1).collect())
+    if len(names) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; is {lang} their column?")
+    smooth = 0.5
+    table = np.full((CELLS, len(names)), -np.log(CELLS), np.float32)
     if names:
         code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("lang")).cast("int") - 1
-        counted = known.where(F.col("lang").isin(names)).mapInArrow(count, "lang string, cell int, n bigint")
+        counted = known.mapInArrow(count, "lang string, cell int, n bigint")
         # at most cells x languages rows of three numbers
         got = counted.groupBy(code.alias("k"), "cell").agg(F.sum("n").alias("n")).toPandas()
-        table[got["cell"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy(dtype=float)
-    smooth = 0.5
-    return names, np.log((table + smooth) / (table.sum(0) + smooth * CELLS)).astype(np.float32)
+        for k, mine in got.groupby("k"):
+            own = np.zeros(CELLS)
+            own[mine["cell"].to_numpy()] = mine["n"].to_numpy(dtype=float)
+            table[:, k] = np.log((own + smooth) / (own.sum() + smooth * CELLS))
+    return names, table
 
 
 class _Words:
@@ -184,8 +191,10 @@ def mixtures(values: list[str | None], table: np.ndarray, held_words: int = HELD
         share, _ = _em(like, starts, owner, number, sizes, np.full((len(ids), n_langs), 1 / n_langs, np.float32), 8)
         order = np.argsort(-share, axis=1, kind="stable")
         best_value = best_share = None
-        best_size = np.ones(len(ids), int)
+        best_size, idle = np.ones(len(ids), int), 0
         for k in range(1, n_langs + 1):
+            if idle >= PATIENCE and k > LEAST_SIZES:
+                break
             allowed = np.zeros_like(share)
             np.put_along_axis(allowed, order[:, :k], 1, axis=1)
             begin = share * allowed + 1e-6 * allowed
@@ -197,6 +206,7 @@ def mixtures(values: list[str | None], table: np.ndarray, held_words: int = HELD
                 better = value > best_value
                 best_value, best_share = np.where(better, value, best_value), np.where(better[:, None], fitted, best_share)
                 best_size[better] = k
+                idle = 0 if better.any() else idle + 1
         for i, doc in enumerate(ids):
             langs = order[i, : best_size[i]]
             langs = langs[np.argsort(-best_share[i, langs], kind="stable")]
