@@ -30,7 +30,8 @@ from pyspark.sql.functions import ArrowUDFType, arrow_udf
 from .common import annotate
 
 NO_MERGE = 1 << 40  # above any rank << 17 | symbol
-CACHE_WORDS = 150_000
+#: Characters of the words a worker keeps in each of two generations; longer stretches are not kept.
+CACHE_CHARS, KEPT_CHARS = 1_200_000, 64
 #: Fixed values of the file format: white space as its expressions see it, and its split pattern.
 SPACE = r"\t\n\v\f\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -113,7 +114,7 @@ def merge_word(symbols: list[int], merges: dict[int, int]) -> list[int]:
 class WordBpe:
     """Encoder and decoder of one tokenizer file with word ends."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_chars: int = CACHE_CHARS):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         vocab = data["model"]["vocab"]
@@ -132,32 +133,39 @@ class WordBpe:
         # words and what stands between spaces; when the young ones are too many they become the old ones
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        self.cache_words = cache_words
+        self.cache_chars, self.held = cache_chars, 0
 
     def _known(self, text: str) -> tuple[int, ...] | None:
         found = self.young.get(text)
         if found is None and (found := self.old.get(text)) is not None:
-            self.young[text] = found
+            self._keep(text, found)
         return found
 
+    def _keep(self, text: str, ids: tuple[int, ...]) -> None:
+        if len(text) <= KEPT_CHARS:
+            if self.held >= self.cache_chars:
+                self.old, self.young, self.held = self.young, {}, 0
+            self.young[text] = ids
+            self.held += len(text) + 1
+
     def _word(self, word: str) -> tuple[int, ...]:
         found = self._known(word)
         if found is None:
             raw = word.encode("utf-8", "surrogatepass")
             symbols = [self.inner[b] for b in raw]
             symbols[-1] = self.last[raw[-1]]
-            found = self.young[word] = tuple(merge_word(symbols, self.merges))
+            found = tuple(merge_word(symbols, self.merges))
+            self._keep(word, found)
         return found
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """The ids of what stands between two spaces; no piece crosses a space."""
         found = self._known(chunk)
         if found is None:
-            if len(self.young) >= self.cache_words:
-                self.old, self.young = self.young, {}
             pieces = self.pieces.findall(chunk)
             found = self._word(pieces[0]) if len(pieces) == 1 else tuple(i for piece in pieces for i in self._word(piece))
-            self.young[chunk] = found
+            if len(pieces) != 1 or pieces[0] != chunk:
+                self._keep(chunk, found)
         return found
 
     def _plain(self, text: str, out: list[int]) -> None:
