@@ -22,9 +22,9 @@ Statistics are partial aggregates over (host, node, feature), so a host with a t
 pages is added up in every task.  Where a host's short list of noise is not broadcast, a hot host's pages are dealt to salted keys.
 
 Defined results: null and empty pages have the text ``""``; a page without url has the host
-``""``; a page of which the tree would leave nothing keeps its blocks; where articles hold half of the text that is left, only
-they count, else only a main element that holds text; a tag that never ends is not shown; elements nested deeper than
-``MAX_DEPTH`` count as siblings.  Time and memory grow with the length of a page.  White space in a block becomes one space, blocks are joined by one space.
+``""``; a page of which the tree would leave nothing keeps its blocks; where a main element holds text that is left, only
+that counts; a tag that never ends is not shown; an end tag that is implied is looked for among the innermost
+``LOOK_BACK`` open elements.  Time and memory grow with the length of a page.  White space in a block becomes one space, blocks are joined by one space.
 """
 
 from __future__ import annotations
@@ -44,7 +44,8 @@ from ..staging import stage
 from .common import OWN, join_salted
 
 THRESHOLD, MIN_PAGES, DAMPING = 0.3, 8, 0.9
-MAX_DEPTH, TREE_DEPTH = 512, 32
+#: How many open elements an end that may be implied looks back over, and the levels of the tree.
+LOOK_BACK, TREE_DEPTH = 512, 32
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -59,13 +60,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner banners sponsor sponsored sponsors promo promos promotion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup comment comments commentlist respond reply replies disqus "
-    "related recommended recommendations share sharing social widget widgets toolbar pagination pager login search masthead topbar copyright cookiebar skyscraper leaderboard aside rail trending adsense".split()
+    "related recommended recommendations share sharing social widget widgets toolbar pagination pager login search masthead topbar copyright cookiebar skyscraper leaderboard aside rail trending adsense teaser teasers discussion discussions paywall".split()
 )
 #: What may stand beside such a word in one name, as in "site-footer"; any other part, as in "share-price", tells of something else.
 NEUTRAL = frozenset(
     "site page global top bottom left right primary secondary main inner outer box bar area list item items section block wrapper wrap container content body row col column group unit slot button "
-    "buttons link links icon icons text label title post posts entry article articles story stories user reader blog web x px the my on in google js id module panel region zone small large mobile desktop card news info warning danger success dark light sticky fixed".split()
+    "buttons link links icon icons text label title post posts entry article articles story stories user reader blog web x px the my on in google js id module panel region zone small large mobile desktop card news info warning danger success dark light sticky fixed fb facebook wall thread".split()
 )
+#: Articles of these are no main text.
+ASIDES = frozenset("comment comments teaser teasers related recommended promo promos sponsored".split())
 OF_TEXT = frozenset("post entry article story content text".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 MODIFIER = re.compile(r"(?:no|not|has|with|without|is|show|hide)-")
@@ -94,7 +97,7 @@ def _suspect(tag: str, given: dict[str, str], in_article: bool) -> bool:
     if tag in TAGS:
         return True
     if tag in ("html", "body", "article", "main"):
-        return bool({"comment", "comments"} & _words(given.get("class", ""))) if tag == "article" else False
+        return bool(ASIDES & _words(given.get("class", ""))) if tag == "article" else False
     if tag == "header" and not in_article:
         return True
     if given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true":
@@ -151,7 +154,7 @@ class Page:
 
     def _innermost(self, names: tuple[str, ...], until: Set[str]) -> int:
         if any(self.opened[n] for n in names):
-            for k in range(len(self.stack) - 1, 0, -1):
+            for k in range(len(self.stack) - 1, max(len(self.stack) - 1 - LOOK_BACK, 0), -1):
                 if self.stack[k][0] in names:
                     return k
                 if self.stack[k][0] in until:
@@ -190,7 +193,8 @@ class Page:
             self.pending.append(" ")
         elif self.opened[tag]:
             stack = self.stack
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag or (tag in INLINE and stack[k][0] not in INLINE)), 0)
+            far = max(len(stack) - 1 - LOOK_BACK, 0) if tag in INLINE else 0
+            k = next((k for k in range(len(stack) - 1, far, -1) if stack[k][0] == tag or (tag in INLINE and stack[k][0] not in INLINE)), 0)
             if k and stack[k][0] == tag:
                 self._pop(k)
 
@@ -206,10 +210,6 @@ class Page:
             elif tag == "hr":
                 self._flush()
             return
-        if len(stack) > MAX_DEPTH:
-            if tag not in INLINE:
-                self._flush()
-            return
         given = _attributes(raw) if raw.strip(" /\n\t") else {}
         _, node, unseen, in_article, around, article, main, noise = stack[-1]
         suspect = not unseen and tag not in UNSEEN and _suspect(tag, given, in_article)
@@ -257,12 +257,8 @@ class Page:
         gone = self.removed_by_prior()
         found = [b for b in self.blocks if not gone[b[2]]]
         kept = [b for b in found if not b[5]] or found
-        whole = sum(len(b[1]) for b in kept)
-        for inner, share in (([b for b in kept if b[3]], 0.5), ([b for b in kept if b[4]], 0)):
-            if inner and sum(len(b[1]) for b in inner) >= share * whole:
-                kept = inner
-                break
-        return " ".join(b[1] for b in kept)
+        main = [b for b in kept if b[4]]
+        return " ".join(b[1] for b in main or kept)
 
 
 def main_text(page: str, noise: Set[int] = frozenset()) -> str:
