@@ -53,7 +53,9 @@ def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool =
 
     With ``short_copies``, all lines that are not blank.
     """
-    lines = docs.select("doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    # hashed and cut before the lines are dealt out, so that no line carries its text along
+    cut = docs.select("doc_id", F.xxhash64("text").alias("doc"), F.split("text", "\n", -1).alias("lines"))
+    lines = cut.select("doc_id", "doc", F.posexplode("lines").alias("line_no", "line"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "doc", "line_no")
     long = F.length("line") >= min_chars
     lines = lines.where(long | F.col("line").rlike(r"(?U)\S") if short_copies else long)
@@ -82,9 +84,10 @@ def _halves(context: Column, region: Column) -> Column:
     return F.when(own == more, F.array(*at(own, 0))).otherwise(F.array(*at(own, 0), *at(more, 1)))
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """Keys that lines of at least two hashes have."""
-    return keys.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select("key")
+def _sharing(keys: DataFrame) -> DataFrame:
+    """The rows whose key lines of at least two hashes have; the rows of a frequent key are dealt out."""
+    shared = keys.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    return join_salted(keys, stage(shared, "shared_keys"), ["key"], "n", F.col("hash"), "left_semi")
 
 
 def _only(lines: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -102,13 +105,13 @@ def near_lines(lines: DataFrame) -> DataFrame:
     """(hash, check) of the lines that have an earlier line one edit away."""
     start = F.explode(_halves(F.lit(0).cast("long"), F.col("line")))
     keys = lines.select("hash", start.alias("k")).select("hash", F.col("k.key").alias("key"))
-    members = stage(keys.join(_shared(keys), "key", "left_semi").select("hash").distinct(), "members")
+    members = stage(_sharing(keys).select("hash").distinct(), "members")
     # the texts and first places of the few lines that share a stretch with another
     known = stage(_only(lines, members).groupBy("hash").agg(F.min("place").alias("place"), F.min("line").alias("line")), "member_lines")
     rows = known.select("hash", start.alias("k")).select("hash", "k.*")
     done: DataFrame | None = None
     while True:
-        rows = stage(rows.join(_shared(rows), "key", "left_semi"), "regions")
+        rows = stage(_sharing(rows), "regions")
         brief = F.length("region") <= SHORT + 1  # a region just above the limit meets shorter and longer ones
         done = rows.where(brief) if done is None else done.unionByName(rows.where(brief))
         rows = rows.where(F.length("region") > SHORT)
@@ -126,12 +129,13 @@ def near_lines(lines: DataFrame) -> DataFrame:
     ).select("own", "v.cut", "v.s")
     variants = stage(variants, "variants")
     cut, own, best = F.col("cut"), F.col("own"), F.col("best")
-    same = variants.where(cut >= 0).groupBy("s", "cut").agg(F.min("own").alias("best"))
-    substituted = variants.where(cut >= 0).join(same, ["s", "cut"])
-    ends = variants.groupBy("s").agg(F.min(F.when(cut < 0, own)).alias("whole"), F.min(F.when(cut >= 0, own)).alias("part")).where("whole is not null and part is not null")
-    inserted = variants.join(ends, "s").withColumn("best", F.when(cut < 0, F.col("part")).otherwise(F.col("whole")))
-    pairs = substituted.select("own", "best").unionByName(inserted.select("own", "best")).where(best < own)
-    pairs = pairs.select(F.col("own.hash").alias("hash"), F.col("best.hash").alias("partner")).where("hash <> partner").distinct()
+    # a key that many variants share is one row here, and they are dealt out when they meet it
+    same = variants.where(cut >= 0).groupBy("s", "cut").agg(F.min("own").alias("best"), F.count("*").alias("n")).where("n > 1")
+    substituted = join_salted(variants.where(cut >= 0), stage(same, "equal_variants"), ["s", "cut"], "n", own)
+    ends = variants.groupBy("s").agg(F.min(F.when(cut < 0, own)).alias("whole"), F.min(F.when(cut >= 0, own)).alias("part"), F.count("*").alias("n")).where("whole is not null and part is not null")
+    inserted = join_salted(variants, stage(ends, "whole_variants"), ["s"], "n", F.struct("own", "cut")).withColumn("best", F.when(cut < 0, F.col("part")).otherwise(F.col("whole")))
+    found = [stage(part.where(best < own).select("own", "best"), "pairs") for part in (substituted, inserted)]
+    pairs = found[0].unionByName(found[1]).select(F.col("own.hash").alias("hash"), F.col("best.hash").alias("partner")).where("hash <> partner").distinct()
     a, b = known.select("hash", F.col("line").alias("a")), known.select(F.col("hash").alias("partner"), F.col("line").alias("b"))
     return pairs.join(a, "hash").join(b, "partner").where(F.levenshtein("a", "b", 1) >= 0).select("hash", _check(F.col("a")).alias("check")).distinct()
 
@@ -153,14 +157,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, count: str = "n_rem
     """
     gone = stage(removed_lines(docs.select("doc_id", "text"), min_chars, short_copies), "removed").select(F.col("doc").alias(OWN + "doc"), F.col("gone").alias(OWN + "gone"))
     joined = docs.drop(count).withColumn(OWN + "doc", document_key(F.col("doc_id"), F.col("text"))).join(gone, OWN + "doc", "left")
-    numbers = F.col(OWN + "gone")
-    left = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(numbers, i))
-    text = F.when(numbers.isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn("text", text).withColumn(count, F.coalesce(F.size(numbers), F.lit(0)))
+    numbers, lines = F.col(OWN + "gone"), F.col(OWN + "lines")
+    # what stays is found by hashing, in linear time; only texts that lose lines are cut
+    joined = joined.withColumn(OWN + "lines", F.when(numbers.isNotNull(), F.split("text", "\n", -1)))
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
+    left = F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n")
+    out = joined.withColumn("text", F.when(numbers.isNull(), F.col("text")).otherwise(left)).withColumn(count, F.coalesce(F.size(numbers), F.lit(0)))
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col(count) > 0, changed).otherwise(F.col("n_chars")))
-    return out.drop(OWN + "doc", OWN + "gone")
+    return out.drop(OWN + "doc", OWN + "gone", OWN + "lines")
 
 
 def line_digests(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scriptorium.llm import bpe, kneser_ney, language_mixture, license_scan, line_crf, line_dedup, packing, simhash, site_style, transport_stream
+from scriptorium.llm import bpe, common, kneser_ney, language_mixture, license_scan, line_crf, line_dedup, packing, simhash, site_style, transport_stream
 
 DATA = "/root/testdata/sf0.001"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -230,11 +230,15 @@ def test_long_texts_hold_equal_words_once(docs):
         assert (a is None and b is None) or (a[0].tolist() == b[0].tolist() and a[1] == pytest.approx(b[1], abs=1e-4))
 
 
-def test_noisy_language_column_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(language_mixture, "MAX_LANGUAGES", 3)
-    rows = spark.createDataFrame([(f"word{k % 5} " * 5, f"l{k % 5}" if k > 4 else "l0") for k in range(40)], "text string, lang string")
+def test_all_languages_are_learned_and_a_column_of_something_else_is_refused(spark):
+    words = [[f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}{y}{k % 7}".replace("0", "") for x in "aeio" for y in "bdlm"] for k in range(80)]
+    rows = spark.createDataFrame([(" ".join(words[k][(i + j) % 16] for j in range(40)), f"l{k:02}") for k in range(80) for i in range(20)], "text string, lang string")
     names, table = language_mixture.train(rows, "text", "lang")
-    assert len(names) == 3 and names[0] == "l0" and table.shape == (language_mixture.CELLS, 3)
+    assert names == [f"l{k:02}" for k in range(80)] and table.shape == (language_mixture.CELLS, 80)
+    found = language_mixture.mixtures([" ".join(words[k]) for k in range(80)], table)
+    assert [int(m[0][0]) for m in found] == list(range(80))
+    with pytest.raises(ValueError, match="more than 79"):
+        language_mixture.train(rows, "text", "lang", max_languages=79)
 
 
 def test_kneser_ney_sums_to_one_and_matches_brute_force(spark):
@@ -711,3 +715,56 @@ def test_bpe_equals_library(spark, texts):
         assert r.n_tokens == len(ids), given[r.doc_id]
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_word_cache_is_bounded_by_characters():
+    tokens, rng = bpe.WordBpe(WORD, cache_chars=2_000), np.random.default_rng(8)
+    library = Tokenizer.from_file(WORD)
+    for _ in range(40):
+        text = " ".join("".join(rng.choice(list("abcdé漢"), int(rng.integers(1, 90)))) for _ in range(20)) + " x " + "y" * 3_000
+        assert tokens.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, tokens.young)) <= 2_000 + bpe.KEPT_CHARS and max(map(len, [*tokens.young, *tokens.old])) <= bpe.KEPT_CHARS
+
+
+def test_a_text_of_very_many_equal_lines(spark):
+    line, n = "the very same line stands here again and again", 100_000
+    rows = spark.createDataFrame([(1, "\n".join([line] * n + [line + "!", "another one that is long enough to be looked at"])), (2, line), (3, None)], "doc_id int, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(rows).collect()}
+    assert got == {1: (line + "\nanother one that is long enough to be looked at", n), 2: ("", 1), 3: (None, 0)}
+    assert time.perf_counter() - began < 60
+
+
+def test_lines_of_one_common_stretch(spark, monkeypatch):
+    # every line shares its first and its last stretch with all others, so those keys are hot
+    monkeypatch.setattr(line_dedup, "join_salted", lambda *a, **k: salted.append(1) or real(*a, **k))
+    real, salted = common.join_salted, []
+    monkeypatch.setattr(common, "SALTS", 8)
+    texts = [f"Numbered header of the same common stretch, number {k * 37:06} and then an end that all of these share" for k in range(600)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id for r in line_dedup.dedup_lines(rows).where("n_removed > 0").collect()}
+
+    def near(a, b):
+        return sum(x != y for x, y in zip(a, b)) <= 1
+
+    assert got == {k for k in range(600) if any(near(texts[j], texts[k]) for j in range(k))} and salted
+
+
+def test_suspects_are_seen_at_any_depth_and_articles_do_not_hide_content():
+    nested = "<div>" * 600 + "<p>content</p><nav>menu</nav>" + "</div>" * 600
+    assert site_style.main_text(nested) == "content"
+    words = lambda n, w: " ".join([w] * n)
+    page = f"<div class='content'><p>{words(40, 'aside')}</p></div><article><p>{words(60, 'story')}</p></article>"
+    assert site_style.main_text(page) == f"{words(40, 'aside')} {words(60, 'story')}"
+    page = f"<div class='content'><p>{words(40, 'story')}</p></div><article class='teaser'><p>{words(30, 'teaser')}</p></article>"
+    assert site_style.main_text(page) == words(40, "story")
+    for noise in ("<div class='fb-comments'>no</div>", "<section class='discussion'>no</section>", "<div class='cookie-wall'>no</div>"):
+        assert site_style.main_text(f"<p>{words(9, 'yes')}</p>{noise}") == words(9, "yes")
+
+
+def test_many_chunks_in_few_buckets(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MOST_BUCKETS", 3)
+    model = kneser_ney.Model(kneser_ney.count_ngrams(docs.where("doc_id < 40").select("text")))
+    few = docs.where("doc_id < 60").select("doc_id", "text")
+    got = [{r.doc_id: (r.n, round(r.nll, 2)) for r in kneser_ney.score(few, model, chunk_bytes=size).collect()} for size in (1, 1 << 30)]
+    assert got[0] == got[1] and len(got[0]) == 60
