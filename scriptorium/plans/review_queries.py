@@ -350,16 +350,6 @@ def rt7(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", _md5(N.answer_prompt(F.col("role"), F.col("text"), "Answer from the context.")).alias("md5"))
 
 
-@query("rt5_store_prompts", "with u as (select 'benchmark' as store, text as content from benchmark union all select 'system', text from conversations where role = 'system' union all select 'archive', 'nothing found'), c as (select string_agg('[' || store || '] ' || content, chr(10) order by store, content) as x from u) select item_id, md5('Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || x || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:') as md5 from benchmark, c")
-def rt5(spark, sf):
-    # one prompt per question over the contexts of all stores; a store's contexts are a prompt's worth of text
-    stores = QUERIES["set3_union_stores"](spark, sf)
-    listed = F.array_sort(F.collect_list(F.struct("store", "content")))
-    context = stores.agg(F.array_join(F.transform(listed, lambda x: F.concat(F.lit("["), x["store"], F.lit("] "), x["content"])), "\n").alias("x"))
-    questions = table(spark, sf, "benchmark").join(F.broadcast(context))
-    return questions.select("item_id", _md5(N.answer_prompt(F.col("text"), F.col("x"), "Answer from the context.")).alias("md5"))
-
-
 _LABELS = {"item": "Risk", "item_id": "id", "risk_type": "type", "notes": "notes", "bases": "bases"}
 
 
