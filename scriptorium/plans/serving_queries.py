@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import serving as S
+from ..sources import files
+from ..staging import shared_dir
 from ..streaming import incremental as I
 from ..tables import table
 from .registry import query
@@ -56,6 +60,21 @@ def snk5(spark, sf):
     return S.upsert_value(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), changes, "c_custkey", "c_acctbal")
 
 
+@query("snk5_keyed_store", """with d as (select doc_id, coalesce(lang, 'none') as kb_name, coalesce(text, '') as text from documents),
+u as (select doc_id, kb_name, 'changed ' || doc_id as text from d where doc_id % 97 = 0 union all select doc_id + 10000000, kb_name, text from d where doc_id % 101 = 0),
+s as (select * from d where (doc_id, kb_name) not in (select (doc_id, kb_name) from u) union all select * from u) select kb_name, count(*) as n, sum(doc_id)::bigint as ids, sum(length(text))::bigint as chars from s where kb_name <> 'fr' group by kb_name""")
+def snk5_keyed_store(spark, sf):
+    """A store by workspace and key range is written, changed where it must be, rid of one workspace, and read."""
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("kb_name"), F.coalesce("text", F.lit("")).alias("text"))
+    files.write_keyed(rows, path, "doc_id", width=500)
+    changed = rows.where("doc_id % 97 = 0").withColumn("text", F.concat(F.lit("changed "), "doc_id"))
+    added = rows.where("doc_id % 101 = 0").withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    files.update_keyed(changed.unionByName(added), path, "doc_id", width=500)
+    files.delete_workspace(spark, path, "fr")
+    return files.read_keyed(spark, path).groupBy("kb_name").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.sum(F.length("text")).alias("chars"))
+
+
 @query("st5_log_levels", "select cast(ts as date) as day, case when value > 50 then 'ERROR' else 'INFO' end as level, count(*) as n from events group by 1, 2")
 def st5(spark, sf):
     level = F.when(F.col("value") > 50, "ERROR").otherwise("INFO")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import title_of
 from ..operators.serving import number_rows
+from ..staging import stage
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -94,10 +96,67 @@ def write_report(reports: DataFrame, path: str) -> None:
 
 
 def write_store(chunks: DataFrame, path: str) -> None:
-    """A knowledge base, one folder per store, so that reading one store prunes the others."""
+    """A knowledge base, one folder per store, so that reading one store prunes the others; ``ValueError`` if there are no chunks."""
+    if chunks.isEmpty():
+        raise ValueError("there is nothing to insert")
     chunks.write.mode("append").partitionBy("kb_name").parquet(path)
 
 
+#: Keys of one folder of a keyed store; touched folders are broadcast up to so many, and joined by shuffle beyond.
+KEY_WIDTH, BROADCAST_FOLDERS = 100_000, 100_000
+
+
+def _open_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """A keyed store whose workspaces are strings, even if all their names look like numbers."""
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(StructType([StructField(f.name, StringType()) if f.name == "kb_name" else f for f in found])).parquet(path)
+
+
+def _keyed(rows: DataFrame, key: str, width: int) -> DataFrame:
+    return rows.withColumn("key_part", F.floor(F.col(key) / width).cast("bigint"))
+
+
+def write_keyed(rows: DataFrame, path: str, key: str, width: int = KEY_WIDTH) -> None:
+    """A new keyed store: a folder per workspace (``kb_name``) and range of a whole-number key, so that later changes touch few files."""
+    if rows.isEmpty():
+        raise ValueError("there is nothing to insert")
+    _keyed(rows, key, width).write.mode("errorifexists").partitionBy("kb_name", "key_part").parquet(path)
+
+
+def read_keyed(spark: SparkSession, path: str, workspace: str | None = None) -> DataFrame:
+    """The rows of a keyed store; of one workspace only its folders are opened."""
+    rows = _open_keyed(spark, path)
+    return (rows if workspace is None else rows.where(F.col("kb_name") == workspace)).drop("key_part")
+
+
+def update_keyed(changes: DataFrame, path: str, key: str, width: int = KEY_WIDTH) -> int:
+    """Rows of a keyed store replaced by those of the same workspace and key, others added; returns how many folders were written anew.
+
+    Only the folders that a change falls into are read and replaced, in one commit; all other files stay as they are.  The last
+    of equal keys is not defined, so keys of ``changes`` are unique; a key or workspace must not be null.
+    """
+    spark, own = changes.sparkSession, ["kb_name", "key_part"]
+    if changes.isEmpty():
+        raise ValueError("there is nothing to update")
+    new = stage(_keyed(changes, key, width), "changes")
+    touched = stage(new.select(*own).distinct(), "touched")
+    folders = touched.count()
+    # a join on the folders' columns, so that Spark prunes the scan by what was touched
+    here = _open_keyed(spark, path).join(F.broadcast(touched) if folders <= BROADCAST_FOLDERS else touched, own, "left_semi")
+    kept = here.join(new.select("kb_name", key), ["kb_name", key], "left_anti").select(new.columns)
+    made = stage(kept.unionByName(new), "updated")  # written before what it is read from is replaced
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*own).parquet(path)
+    return folders
+
+
+def delete_workspace(spark: SparkSession, path: str, workspace: str) -> bool:
+    """Removes the folder of one workspace; whether there was one."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(workspace)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/kb_name={name}")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 

@@ -1,7 +1,9 @@
 """Sources, sinks and streams on small files of their own."""
 
 import json
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import retrieval, serving
@@ -73,3 +75,23 @@ def test_cosine_blocks_agree(spark):
     whole = retrieval.cosine_top_k(rows.where("id % 50 = 0"), rows, 5).collect()
     blocks = retrieval.cosine_top_k(rows.where("id % 50 = 0"), rows, 5, block_rows=7).collect()
     assert sorted(whole) == sorted(blocks)
+
+
+def test_keyed_store_rewrites_only_what_a_change_touches(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([(k, f"0{k % 3}", f"t{k}") for k in range(60)], "key bigint, kb_name string, text string")
+    files.write_keyed(rows, path, "key", width=10)
+    names = lambda: {str(p.relative_to(path)) for p in Path(path).rglob("*.parquet")}
+    before = names()
+    changes = spark.createDataFrame([(4, "01", "new"), (5, "01", "added"), (900, "a/b", "far")], "key bigint, kb_name string, text string")
+    assert files.update_keyed(changes, path, "key", width=10) == 2
+    gone = before - names()
+    assert gone and all(n.startswith("kb_name=01/key_part=0/") for n in gone)
+    want = {(k, f"0{k % 3}"): f"t{k}" for k in range(60)} | {(4, "01"): "new", (5, "01"): "added", (900, "a/b"): "far"}
+    assert {(r.key, r.kb_name): r.text for r in files.read_keyed(spark, path).collect()} == want
+    assert {r.key for r in files.read_keyed(spark, path, "a/b").collect()} == {900}
+    assert files.delete_workspace(spark, path, "a/b") and not files.delete_workspace(spark, path, "a/b")
+    assert {r.kb_name for r in files.read_keyed(spark, path).collect()} == {"00", "01", "02"}
+    for empty in (lambda: files.write_keyed(rows.limit(0), path + "2", "key"), lambda: files.update_keyed(rows.limit(0), path, "key"), lambda: files.write_store(rows.limit(0), path + "3")):
+        with pytest.raises(ValueError):
+            empty()
