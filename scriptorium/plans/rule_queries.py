@@ -127,6 +127,25 @@ def agg3(spark, sf):
     return d.withColumn("status", F.when(F.col("critical") > 0, "critical").when(rows == 0, "safe").when(rows <= 3, "attention").otherwise("warning"))
 
 
+_CUBE = "select lang, source, risk_level, grouping_id(lang, source, risk_level)::bigint as totals, count(*) as n, sum(confidence) as confidence, count(*) filter (where risk_level = 'high') as high, count(distinct doc_id) as documents from risks join (select doc_id, lang, source from documents) using (doc_id)"
+
+
+def _risks_by_source(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.col("lang").alias("clause_type"), F.posexplode(lines_of(F.col("text"))).alias("pos", "text"))
+    return U.identify_risks(docs, RULES).withColumnRenamed("clause_type", "lang")
+
+
+@query("agg3_risk_cube", f"{_RISKS} {_CUBE} group by cube (lang, source, risk_level)")
+def agg3_risk_cube(spark, sf):
+    """Counts by language, source and level, and all their totals."""
+    return U.risk_cube(_risks_by_source(spark, sf), ["lang", "source", "risk_level"])
+
+
+@query("agg3_grouping_sets", f"{_RISKS} {_CUBE} group by grouping sets ((lang, risk_level), (source), ())")
+def agg3_grouping_sets(spark, sf):
+    return U.risk_cube(_risks_by_source(spark, sf), ["lang", "source", "risk_level"], [["lang", "risk_level"], ["source"], []])
+
+
 @query("agg5_distribution", f"""{_RISKS}, n as (select doc_id, risk_type, count(*) as n from risks where risk_level <> 'none' group by doc_id, risk_type) select doc_id, string_agg(risk_type || ' x' || cast(n as varchar), ', ' order by risk_type) as sentence from n group by doc_id""")
 def agg5(spark, sf):
     s = U.risk_summary(U.identify_risks(_clauses(spark, sf), RULES), "doc_id").where("risk_type_counts is not null")
