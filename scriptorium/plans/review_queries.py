@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import image_urls, lines_of
 from ..operators import display as D
 from ..operators import graph as G
+from ..operators import quantized as Z
 from ..operators import render as N
 from ..operators import retrieval as R
 from ..operators import review as V
@@ -482,6 +483,13 @@ def dg11_index(spark, sf):
     return found.select("query_id", "item_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("dg11_quantized", _sql_nearest("coalesce(list_dot_product(q.v, c.v) / nullif(sqrt(list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v)), 0), 0)"))
+def dg11_quantized(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = Z.quantized_top_k(Z.build_quantized(rows, 32), rows.where("id % 50 = 0"), 10)
+    return found.select("query_id", "item_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("dg13_unique_contexts", f"select doc_id, pos, text from (select doc_id, min(pos) as pos, left(text, 12) as text from {_CLAUSES} where trim(left(text, 12)) <> '' group by doc_id, left(text, 12))")
 def dg13(spark, sf):
     rows = _clauses(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), F.left("text", F.lit(12)).alias("text"))
