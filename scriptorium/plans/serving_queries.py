@@ -10,6 +10,7 @@ from ..operators import serving as S
 from ..sources import files
 from ..staging import shared_dir
 from ..streaming import incremental as I
+from ..streaming import joins as J
 from ..tables import table
 from .registry import query
 
@@ -94,3 +95,16 @@ def st_sessions(spark, sf):
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     found = I.sessions(events)
     return found.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+@query("st5_interval_join", "select p.event_id as event, c.event_id as cause from events p join events c on p.user_id = c.user_id and c.ts <= p.ts and c.ts >= p.ts - interval 2 hour where p.event_type = 'purchase' and c.event_type = 'click'")
+def st5_interval(spark, sf):
+    events = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    side = lambda kind, at, name: events.where(F.col("event_type") == kind).select("user_id", F.col("at").alias(at), F.col("event_id").alias(name))
+    return J.interval_join(side("purchase", "at", "event"), side("click", "cause_at", "cause"), "user_id", "at", "cause_at", 7200).select("event", "cause")
+
+
+@query("st5_sliding_counts", "select cast(epoch(w) as bigint) as window_start, event_type, count(*) as n from (select event_type, unnest(generate_series(date_trunc('hour', ts) - interval 5 hour, date_trunc('hour', ts), interval 1 hour)) as w from events) group by 1, 2")
+def st5_sliding(spark, sf):
+    events = table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("at"))
+    return J.sliding_counts(events, "at", "6 hours", "1 hour", "event_type").select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n")
