@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines_of, squash
 from .retrieval import heading_only
+from .skew import join_spread
 
 
 def attachment_type(title: Column, text: Column, phrases: dict[str, str], default: str) -> Column:
@@ -130,8 +131,9 @@ def allowed_references(references: Column, allowed: Column, level: Column, lower
 def rename_entities(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges where each entity of ``names`` (name, new_name) has its new name."""
 
-    def renamed(rows: DataFrame, column: str) -> DataFrame:
+    def renamed(rows: DataFrame, column: str, other: str | None = None) -> DataFrame:
         to = names.select(F.col("name").alias(column), F.col("new_name").alias("__new"))
-        return rows.join(to, column, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+        met = join_spread(rows, to, column, F.col(other), "left") if other else rows.join(to, column, "left")
+        return met.withColumn(column, F.coalesce("__new", column)).drop("__new")
 
-    return renamed(nodes, "name"), renamed(renamed(edges, "src"), "dst")
+    return renamed(nodes, "name"), renamed(renamed(edges, "src", "dst"), "dst", "src")

@@ -67,6 +67,19 @@ def insert_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_e
     return grown, edges.unionByName(new_edges).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def edit_rows(rows: DataFrame, changes: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``on`` name) or edges (``on`` src and dst) after edits, and the edits that name no row.
+
+    ``changes`` has the key columns, unique, and columns of ``rows``; a null keeps the old value.
+    """
+    fields = [c for c in changes.columns if c not in on]
+    unknown = [c for c in fields if c not in rows.columns]
+    if unknown:
+        raise ValueError(f"no such columns: {unknown}")
+    met = rows.join(changes.select(*on, *[F.col(c).alias(f"__{c}") for c in fields]), on, "left")
+    return met.select(*[F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns]), changes.join(rows, on, "left_anti")
+
+
 def delete_entities(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes without those named, and edges without those that end at one of them."""
     gone = names.select("name").distinct()

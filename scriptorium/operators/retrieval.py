@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keyword_hits, squash
 from ..staging import stage
+from .skew import LEAST, join_spread
 
 BLOCK_ROWS = 4096
 
@@ -213,10 +214,20 @@ def targeted_queries(primary: Column, variants: list[tuple[Column, Column]], fal
     return F.when(F.size(tried) > 0, F.array_distinct(tried)).otherwise(F.array(F.lit(default)))
 
 
-def first_successful(candidates: DataFrame, item: str, query_index: str) -> DataFrame:
-    """The candidates of the first query that has any; later ones say that they are a fallback."""
-    least = F.min(query_index).over(Window.partitionBy(item))
-    return candidates.withColumn("__q", least).where(F.col(query_index) == F.col("__q")).withColumn("fallback_query", F.col("__q") > 0).drop("__q")
+def first_successful(candidates: DataFrame, item: str, query_index: str, few: bool = False, least: int = LEAST) -> DataFrame:
+    """The candidates of the first query that has any; later ones say that they are a fallback.  Null is an item as others.
+
+    The first query of each item is a small aggregate; candidates are written once and meet it, those of a hot item dealt out.
+    With ``few``, where an item has a bounded number of candidates, one window does.
+    """
+    if few:
+        found = candidates.withColumn("__q", F.min(query_index).over(Window.partitionBy(item)))
+    else:
+        rows = stage(candidates.withColumn("__item", F.to_json(F.struct(item))), "candidates")
+        first = rows.groupBy("__item").agg(F.min(query_index).alias("__q"))
+        spread = F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind])
+        found = join_spread(rows, first, "__item", spread, least=least).drop("__item")
+    return found.where(F.col(query_index) == F.col("__q")).withColumn("fallback_query", F.col("__q") > 0).drop("__q")
 
 
 def choose_evidence(hits: DataFrame, item: str, per_store: int, least: int = 5) -> DataFrame:

@@ -146,6 +146,13 @@ def split_weakly(docs: DataFrame, key: str, text: str, section: str, soft: list[
     return first.select(key, F.posexplode(pieces).alias("at", "text")).select(key, number.alias("pos"), F.concat(F.lit("C"), number).alias("clause_id"), "text")
 
 
+def split_chapters(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, chapter_no, text): texts cut before each line that begins with ``# ``, trimmed; blank chapters go and chapters keep their sub-headings."""
+    trimmed = F.transform(F.split(text, "\n(?=# )", -1), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+    chapters = F.filter(trimmed, lambda p: p != "")
+    return docs.select(key, F.posexplode(chapters).alias("at", "text")).select(key, (F.col("at") + 1).alias("chapter_no"), "text")
+
+
 def split_contract(docs: DataFrame, key: str, text: str, layout: Layout, first_marker: str, clause_marker: str, default_section: str) -> DataFrame:
     """(key, part, pos, item_id, section_title, title, text): clauses of the body with the section above them, and attachments."""
     cut = docs.select(key, split_at_attachment(body_from(F.col(text), first_marker), layout.attachment).alias("p")).select(key, "p.*")

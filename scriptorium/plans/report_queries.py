@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import display as D
+from ..operators import graph as G
 from ..operators import rules as U
 from ..operators import segments as S
 from ..tables import table
@@ -140,6 +141,19 @@ def dg4(spark, sf):
     return D.rename_entities(nodes, edges, names)[1].select("src", "dst", "weight")
 
 
+_EDITED = "e as (select c_name as src, o_orderpriority as dst, count(*) as weight from orders join customer on o_custkey = c_custkey group by 1, 2)"
+
+
+@query("dg4_edit_graph", f"with {_EDITED} select src, dst, case when dst = '1-URGENT' and src like '%3' then weight + 10 else weight end as weight, case when c_custkey % 3 = 0 then 'EDITED' else c_mktsegment end as kind, case when c_custkey % 6 = 0 then 'new' else c_mktsegment end as description from e join customer on src = c_name")
+def dg4_edit(spark, sf):
+    nodes, edges, _ = _graph(spark, sf)
+    k = F.col("c_custkey")
+    changes = table(spark, sf, "customer").where(k % 3 == 0).select(F.col("c_name").alias("name"), F.lit("EDITED").alias("kind"), F.when(k % 6 == 0, "new").alias("description"))
+    weights = edges.where("dst = '1-URGENT' and src like '%3'").select("src", "dst", (F.col("weight") + 10).alias("weight"))
+    made = G.edit_rows(edges, weights, ["src", "dst"])[0].join(G.edit_rows(nodes, changes, ["name"])[0].withColumnRenamed("name", "src"), "src")
+    return made.select("src", "dst", "weight", "kind", "description")
+
+
 @query("ch2_blocks", f"select doc_id, len({blocks_sql('text')}) as n_blocks from documents")
 def ch2(spark, sf):
     return _docs(spark, sf).select("doc_id", F.size(S.markdown_blocks(F.col("text"))).cast("long").alias("n_blocks"))

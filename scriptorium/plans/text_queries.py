@@ -279,6 +279,13 @@ def ch1(spark, sf):
     return rows.select("doc_id", F.col("section_no").cast("long").alias("section_no"), _md5(F.col("text")).alias("md5"))
 
 
+@query("src16_chapters", """with p as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\\n(Th[a-z]*) ', chr(10) || chr(1) || '# \\1 ', 'g'), chr(10) || chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as ps from documents)
+select doc_id, unnest(range(1, len(ps) + 1)) as chapter_no, md5(unnest(ps)) as md5 from p""")
+def src16(spark, sf):
+    rows = _docs(spark, sf).withColumn("text", F.regexp_replace("text", "\n(Th[a-z]*) ", "\n# $1 "))
+    return S.split_chapters(rows, "doc_id", "text").select("doc_id", F.col("chapter_no").cast("long").alias("chapter_no"), _md5(F.col("text")).alias("md5"))
+
+
 def blocks_sql(text: str) -> str:
     """SQL of ``markdown_blocks``: a fold over the lines."""
     start = "{'done': []::varchar[], 'cur': '', 'fence': false, 'tab': false}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import title_of
+from ..operators.display import contents_lines
 from ..operators.serving import number_rows
 from ..staging import stage
 
@@ -58,6 +59,49 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return number_rows(files, ["path"], "n").select((F.col("n") + 1).cast("int").alias("page_no"), F.col("path").alias("image_path"))
 
 
+#: Extensions of image files.
+IMAGES = ("png", "jpg", "jpeg", "bmp", "webp")
+
+
+def page_images(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """(page_no, image_path, source_type): the image of a path, the images of a folder or glob by path, or those of a list in its order.
+
+    ``FileNotFoundError`` if a named path does not exist, ``ValueError`` if it or one that a glob finds is no image; other files of a
+    folder are left out, and a glob that finds nothing has no pages.  A list is checked path by path; folders and globs are listed by Spark.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def status(path: str):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(conf)
+        if not system.exists(place):
+            raise FileNotFoundError(path)
+        return system.getFileStatus(place)
+
+    def checked(path: str) -> str:
+        found = status(path)
+        if found.isDirectory() or path.rsplit(".", 1)[-1].lower() not in IMAGES:
+            raise ValueError(f"not an image: {path}")
+        return found.getPath().toString()
+
+    named, globbed = isinstance(source, (list, tuple)), not isinstance(source, (list, tuple)) and any(c in source for c in "*?")
+    if named or not globbed and not status(source).isDirectory():
+        paths = [checked(p) for p in (source if named else [source])]
+        rows = spark.createDataFrame(list(enumerate(paths, 1)), "page_no int, image_path string")
+        return rows.withColumn("source_type", F.lit("image"))
+    place = jvm.org.apache.hadoop.fs.Path(source)
+    if globbed and not place.getFileSystem(conf).globStatus(place):
+        return spark.createDataFrame([], "page_no int, image_path string, source_type string")
+    found = spark.read.format("binaryFile").load(source).select("path")
+    is_image = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*IMAGES)
+    if globbed:
+        other = found.where(~is_image).first()
+        if other:
+            raise ValueError(f"not an image: {other[0]}")
+    rows = number_rows(found.where(is_image), ["path"], "n")
+    return rows.select((F.col("n") + 1).cast("int").alias("page_no"), F.col("path").alias("image_path"), F.lit("image").alias("source_type"))
+
+
 def first_source(candidates: list[tuple[str, Column]]) -> Column:
     """Struct of the first text that is not blank, the parser that gave it, and a warning for each one before."""
     usable = [F.trim(F.coalesce(text, F.lit(""))) != "" for _, text in candidates]
@@ -157,6 +201,45 @@ def delete_workspace(spark: SparkSession, path: str, workspace: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def insert_rows(rows: DataFrame, path: str, key: str, order: list[str], unique: list[str] | None = None) -> DataFrame:
+    """Rows appended to a table with keys of their own, from one above the greatest; returns the rows that were refused.
+
+    With ``unique`` columns, as for accounts, a row is refused if the table or an earlier row (by ``order``) has the same values; a row with
+    a null there is not.  Keys follow ``order``, which no two rows share.  ``ValueError`` if there are no rows.
+    """
+    spark = rows.sparkSession
+    if rows.isEmpty():
+        raise ValueError("there is nothing to insert")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stored = spark.read.parquet(path) if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place) else None
+    top = (stored.agg(F.max(key)).first()[0] or 0) if stored is not None else 0
+    refused = rows.limit(0)
+    if unique:
+        whole = F.lit(True)
+        for c in unique:
+            whole = whole & F.col(c).isNotNull()
+        first = rows.where(whole).groupBy(*unique).agg(F.min(F.struct(*order)).alias("__first"))
+        taken = stored.select(*unique).distinct().withColumn("__taken", F.lit(True)) if stored is not None else None
+        marked = rows.join(first, unique, "left")
+        marked = marked.join(taken, unique, "left") if taken is not None else marked.withColumn("__taken", F.lit(None).cast("boolean"))
+        again = F.col("__first").isNotNull() & ((F.struct(*order) != F.col("__first")) | F.col("__taken").isNotNull())
+        marked = stage(marked.select(*rows.columns, again.alias("__again")), "inserts")
+        rows, refused = marked.where("not __again").drop("__again"), marked.where("__again").drop("__again")
+    number_rows(rows, order, "__n").withColumn(key, F.col("__n") + top + 1).drop("__n").write.mode("append").parquet(path)
+    return refused
+
+
+def write_contents(files: DataFrame, path: str, title: str) -> None:
+    """A table of contents of Markdown files (path, text) as text: the title, the time, then a line per file by path.
+
+    The parts of the written folder, read by name, are the whole in order, however many there are.
+    """
+    lines = contents_lines(files).select(F.lit(1).alias("o"), F.col("path").alias("p"), F.col("line").alias("value"))
+    at = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    head = files.sparkSession.range(1).select(F.lit(0).alias("o"), F.lit("").alias("p"), F.concat(F.lit(f"# {title}\n\n"), at, F.lit("\n")).alias("value"))
+    head.unionByName(lines).orderBy("o", "p").select("value").write.mode("overwrite").text(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 

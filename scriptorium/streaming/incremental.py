@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from .joins import surviving
+
 
 def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """(ts, level, message) of lines like ``[time] [LEVEL] message``; other lines go."""
@@ -38,17 +40,18 @@ def first_seen(events: DataFrame, key: str) -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key])
 
 
-def write_new(stream: DataFrame, target: str, checkpoint: str, key: str, every: str | None = None) -> DataStreamWriter:
+def write_new(stream: DataFrame, target: str, checkpoint: str, key: str, every: str | None = None, survive: bool = False) -> DataStreamWriter:
     """A writer that appends only rows whose key no earlier batch had; once over what there is, or ``every`` interval.
 
     Keys are kept in a table of their own beside the target (``<target>_keys``), so that a batch reads those and not
     the rows.  A batch writes below its own number, so one that is written again after a failure replaces its first try
-    and adds nothing twice.
+    and adds nothing twice.  With ``survive`` a batch that fails is logged and passed over, so its rows are not written; without, it ends the stream.  Rows
+    without a key go, as nothing tells whether they were seen.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark, keys = rows.sparkSession, f"{target}_keys"
-        fresh = rows.dropDuplicates([key])
+        fresh = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(keys)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             seen = spark.read.parquet(keys)
@@ -56,5 +59,5 @@ def write_new(stream: DataFrame, target: str, checkpoint: str, key: str, every:
         fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
         spark.read.parquet(f"{target}/batch={number}").select(key).write.mode("overwrite").parquet(f"{keys}/batch={number}")
 
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(surviving(batch) if survive else batch).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
