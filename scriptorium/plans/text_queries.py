@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import chunk_table as C
 from ..operators import lines as L
 from ..operators import segments as S
 from ..sources.files import first_source, split_pages
@@ -316,19 +317,30 @@ def pack_sql(blocks: str, size: int, overlap: int) -> str:
     return f"list_transform([list_reduce(list_prepend({entry(chr(39) * 2)}, list_transform({blocks}, lambda b: {entry('b')})), lambda s, x: {step})], lambda r: case when len(r.buf) > 0 then list_append(r.done, array_to_string(r.buf, chr(10) || chr(10))) else r.done end)[1]"
 
 
-@query("ch5_chunks", f"""with l as (select doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10))) as l, generate_subscripts(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)), 1) as i from documents),
+_CHUNKS = f"""with l as (select doc_id, unnest(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10))) as l, generate_subscripts(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)), 1) as i from documents),
 f as (select *, sum(case when regexp_matches(l, '^\\s*```') then 1 else 0 end) over (partition by doc_id order by i) % 2 as inside from l),
 h as (select *, sum(case when regexp_matches(l, '^#{{1,3}} ') and inside = 0 then 1 else 0 end) over (partition by doc_id order by i) as section_no from f),
 s as (select doc_id, section_no, {_STRIP.format("string_agg(l, chr(10) order by i)")} as text from h group by all),
 c as (select doc_id, section_no, case when length(text) <= 1000 then [text] else {pack_sql(blocks_sql('text'), 1000, 100)} end as cs from s where text <> ''),
 u as (select doc_id, section_no, unnest(cs) as c, generate_subscripts(cs, 1) - 1 as chunk_no from c)
-select doc_id, section_no::bigint as section_no, chunk_no, length(c) as n_chars, md5(c) as md5 from u""")
+select doc_id, section_no::bigint as section_no, chunk_no, length(c) as n_chars, md5(c) as md5 from u"""
+
+
+@query("ch5_chunks", _CHUNKS)
 def ch5(spark, sf):
     text = F.regexp_replace(F.col("text"), "\\. ", ".\n\n")
     rows = S.chunk_markdown(_docs(spark, sf).withColumn("text", text), "doc_id", "text")
     return rows.select("doc_id", "section_no", "chunk_no", F.length("chunk").alias("n_chars"), _md5(F.col("chunk")).alias("md5"))
 
 
+@query("ch4_table_function", _CHUNKS)
+def ch4_sql(spark, sf):
+    # the function is called from SQL
+    C.register_chunks(spark)
+    docs = _docs(spark, sf).select("doc_id", F.regexp_replace(F.col("text"), "\\. ", ".\n\n").alias("text"))
+    return spark.sql("select key as doc_id, section_no, chunk_no, length(chunk) as n_chars, md5(chunk) as md5 from markdown_chunks(table({docs}))", docs=docs)
+
+
 @query("src1_first_source", "select doc_id, case when doc_id % 3 = 0 then 'image' when doc_id % 3 = 1 then 'native' else 'local' end as parser_used, doc_id % 3 as n_warnings, md5(text) as md5 from documents where trim(text) <> ''")
 def src1(spark, sf):
     # the first parser misses two thirds of the documents and the second a half of the rest
