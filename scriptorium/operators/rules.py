@@ -233,6 +233,29 @@ def classify(text: Column, section_title: Column, section: Column, titles: dict[
     return F.coalesce(look(titles, section_title), look(numbers, section), F.when(best["n"] > 0, best["t"]), F.lit(default))
 
 
+def parse_metrics(clauses: DataFrame, key: str, text: str, title: Column, long: int = 1200) -> DataFrame:
+    """(key, n_clauses, n_titles, mean_chars, under_segmented): how well documents were cut; at most one clause of more than ``long`` characters is too few."""
+    n = F.length(text)
+    return clauses.groupBy(key).agg(
+        F.count("*").alias("n_clauses"), F.countDistinct(title).alias("n_titles"), F.floor(F.avg(n)).alias("mean_chars"), ((F.count("*") <= 1) & (F.sum(n) > long)).alias("under_segmented")
+    )
+
+
+def report_rollup(risks: DataFrame, key: str, few: int = 3) -> DataFrame:
+    """(key, critical, warning, notice, status): risks by level, and ``critical``, ``safe``, ``attention`` (up to ``few``) or ``warning`` in all."""
+    level = F.col("risk_level")
+    counted = risks.groupBy(key).agg(*[F.count_if(level == a).alias(b) for a, b in (("high", "critical"), ("medium", "warning"), ("low", "notice"))])
+    rows = F.col("warning") + F.col("notice")
+    return counted.withColumn("status", F.when(F.col("critical") > 0, "critical").when(rows == 0, "safe").when(rows <= few, "attention").otherwise("warning"))
+
+
+def focus_list(risks: DataFrame, key: str, clause_id: Column) -> DataFrame:
+    """(key, focus): the ids of the clauses with a high risk, each once, shorter ids first."""
+    ids = risks.where("risk_level = 'high'").groupBy(key).agg(F.collect_set(clause_id).alias("ids"))
+    ordered = F.array_sort(F.transform("ids", lambda i: F.struct(F.length(i).alias("n"), i.alias("i"))))
+    return ids.select(key, F.array_join(F.transform(ordered, lambda x: x["i"]), ",").alias("focus"))
+
+
 def risk_summary(risks: DataFrame, key: str) -> DataFrame:
     """Per document: risks, those that need attention, high ones, key ones, and the count per type."""
     is_risk = F.col("risk_level") != "none"

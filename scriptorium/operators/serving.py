@@ -31,6 +31,19 @@ def merge_state(state: DataFrame, processed: DataFrame, key: str, at: str) -> Da
     return state.unionByName(processed, allowMissingColumns=True).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def lookup(rows: DataFrame, names: dict[str, str], by: str, to: str, default: str) -> DataFrame:
+    """Rows with the name of one of their values, or the default."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    found = F.try_element_at(F.create_map(*pairs), F.col(by)) if pairs else F.lit(None).cast("string")
+    return rows.withColumn(to, F.coalesce(found, F.lit(default)))
+
+
+def preferred(rows: DataFrame, key: str, wanted: Column, order: str, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each key: those that are wanted, then others, each in order."""
+    w = Window.partitionBy(key).orderBy(F.when(wanted, 0).otherwise(1), order)
+    return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
+
+
 def skip_seen(rows: DataFrame, seen: DataFrame, on: str) -> DataFrame:
     """Rows whose key was not processed before."""
     return rows.join(seen.select(on).distinct(), on, "left_anti")

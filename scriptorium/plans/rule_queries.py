@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import keyword_hits, lines_of, squash
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import rules as U
+from ..operators import serving as B
 from ..tables import table
 from .registry import query
 from .rule_packs import RULES
@@ -112,19 +113,13 @@ def pr11(spark, sf):
 
 @query("agg2_parse_metrics", f"select doc_id, count(*) as n_clauses, count(distinct left(text, 4)) as n_titles, cast(floor(avg(length(text))) as bigint) as mean_chars, count(*) <= 1 and sum(length(text)) > 1200 as under_segmented from {_CLAUSES} group by doc_id")
 def agg2(spark, sf):
-    n = F.length("text")
-    return _clauses(spark, sf).groupBy("doc_id").agg(
-        F.count("*").alias("n_clauses"), F.countDistinct(F.left("text", F.lit(4))).alias("n_titles"), F.floor(F.avg(n)).alias("mean_chars"), ((F.count("*") <= 1) & (F.sum(n) > 1200)).alias("under_segmented")
-    )
+    return U.parse_metrics(_clauses(spark, sf), "doc_id", "text", F.left("text", F.lit(4)))
 
 
 @query("agg3_report_rollup", f"""{_RISKS}, d as (select doc_id, count(*) filter (where risk_level = 'high') as critical, count(*) filter (where risk_level = 'medium') as warning, count(*) filter (where risk_level = 'low') as notice from risks group by doc_id)
 select *, case when critical > 0 then 'critical' when warning + notice = 0 then 'safe' when warning + notice <= 3 then 'attention' else 'warning' end as status from d""")
 def agg3(spark, sf):
-    level = F.col("risk_level")
-    d = U.identify_risks(_clauses(spark, sf), RULES).groupBy("doc_id").agg(*[F.count_if(level == a).alias(b) for a, b in (("high", "critical"), ("medium", "warning"), ("low", "notice"))])
-    rows = F.col("warning") + F.col("notice")
-    return d.withColumn("status", F.when(F.col("critical") > 0, "critical").when(rows == 0, "safe").when(rows <= 3, "attention").otherwise("warning"))
+    return U.report_rollup(U.identify_risks(_clauses(spark, sf), RULES), "doc_id")
 
 
 _CUBE = "select lang, source, risk_level, grouping_id(lang, source, risk_level)::bigint as totals, count(*) as n, sum(confidence) as confidence, count(*) filter (where risk_level = 'high') as high, count(distinct doc_id) as documents from risks join (select doc_id, lang, source from documents) using (doc_id)"
@@ -155,10 +150,7 @@ def agg5(spark, sf):
 
 @query("agg6_focus_list", f"""{_RISKS} select doc_id, string_agg(id, ',' order by length(id), id) as focus from (select distinct doc_id, 'C' || cast(pos + 1 as varchar) as id from risks where risk_level = 'high') group by doc_id""")
 def agg6(spark, sf):
-    high = U.identify_risks(_clauses(spark, sf), RULES).where("risk_level = 'high'")
-    ids = high.groupBy("doc_id").agg(F.collect_set(F.concat(F.lit("C"), (F.col("pos") + 1).cast("string"))).alias("ids"))
-    ordered = F.array_sort(F.transform("ids", lambda i: F.struct(F.length(i).alias("n"), i.alias("i"))))
-    return ids.select("doc_id", F.array_join(F.transform(ordered, lambda x: x["i"]), ",").alias("focus"))
+    return U.focus_list(U.identify_risks(_clauses(spark, sf), RULES), "doc_id", F.concat(F.lit("C"), (F.col("pos") + 1).cast("string")))
 
 
 @query("agg13_report_json", f"""{_RISKS} select doc_id, count(*) as n_items, md5(string_agg(cast(pos as varchar) || ':' || risk_type || ':' || risk_level, ';' order by pos, risk_no)) as md5 from risks where needs_attention group by doc_id""")
@@ -174,8 +166,7 @@ def agg13(spark, sf):
 
 @query("jn3_lookup_default", "select doc_id, coalesce(name, 'other') as country_name from documents left join (values ('en', 'England'), ('fr', 'France')) v(lang, name) using (lang)")
 def jn3(spark, sf):
-    names = spark.createDataFrame([("en", "England"), ("fr", "France")], "lang string, name string")
-    return table(spark, sf, "documents").join(names, "lang", "left").select("doc_id", F.coalesce("name", F.lit("other")).alias("country_name"))
+    return B.lookup(table(spark, sf, "documents"), {"en": "England", "fr": "France"}, "lang", "country_name", "other").select("doc_id", "country_name")
 
 
 # --- retrieval -----------------------------------------------------------------------------------
@@ -307,5 +298,4 @@ def dg1(spark, sf):
 
 @query("tk10_preferred", "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by case when role = 'user' then 0 else 1 end, turn) as n from conversations) where n <= 2")
 def tk10(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy((F.col("role") != "user").cast("int"), "turn")
-    return table(spark, sf, "conversations").withColumn("n", F.row_number().over(w)).where("n <= 2").select("conv_id", "turn", "role")
+    return B.preferred(table(spark, sf, "conversations"), "conv_id", F.col("role") == "user", "turn", 2).select("conv_id", "turn", "role")

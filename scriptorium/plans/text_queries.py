@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunk_table as C
+from ..operators import extract as X
 from ..operators import lines as L
 from ..operators import segments as S
 from ..sources.files import first_source, split_pages
@@ -362,19 +363,16 @@ def src5(spark, sf):
 def sc1(spark, sf):
     body = F.to_json(F.struct(F.col("source").alias("title")))
     raw = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), body, F.lit(" done")))
-    clean = F.trim(F.regexp_replace(raw, "(?s)^```[a-z]*\n|\n```$", ""))
-    outer = F.regexp_extract(clean, "(?s)(\\{.*\\})", 1)
-    whole = F.try_parse_json(clean)
-    return _docs(spark, sf).select("doc_id", F.try_variant_get(F.coalesce(whole, F.try_parse_json(outer)), "$.title", "string").alias("title"), whole.isNull().alias("broken"))
+    read = X.json_of(raw)
+    return _docs(spark, sf).select("doc_id", F.try_variant_get(read["value"], "$.title", "string").alias("title"), read["broken"].alias("broken"))
 
 
 @query("sc2_blocks", f"select doc_id, count(*) filter (where t = 'section_title') as n_title, count(*) filter (where t = 'clause') as n_clause, count(*) filter (where t = 'other') as n_other from (select doc_id, case when regexp_matches(l, '^The ') then 'section_title' when regexp_matches(l, '^Th') then 'clause' else 'other' end as t from {_TRIMMED} where l <> '') group by doc_id")
 def sc2(spark, sf):
-    kinds = F.array(*[F.lit(x) for x in ("section_title", "clause", "attachment", "other")])
     blocks = F.transform(T.lines_of(F.col("text")), lambda x: F.struct(F.when(x.rlike("^The "), "section_title").when(x.rlike("^Th"), "clause").otherwise("strange").alias("kind"), x.alias("text")))
-    valid = F.filter(F.transform(blocks, lambda b: F.struct(F.when(F.array_contains(kinds, b["kind"]), b["kind"]).otherwise("other").alias("kind"), b["text"].alias("text"))), lambda b: F.trim(b["text"]) != "")
+    valid = X.valid_blocks(blocks, ["section_title", "clause", "attachment", "other"])
     n = lambda k: F.size(F.filter("v", lambda b: b["kind"] == k)).cast("long")
-    return _docs(spark, sf).select("doc_id", valid.alias("v")).where(F.size("v") > 0).select("doc_id", n("section_title").alias("n_title"), n("clause").alias("n_clause"), n("other").alias("n_other"))
+    return _docs(spark, sf).select("doc_id", valid.alias("v")).where("v is not null").select("doc_id", n("section_title").alias("n_title"), n("clause").alias("n_clause"), n("other").alias("n_other"))
 
 
 @query("sc5_json_lines", "select conv_id, turn, role, length(text) as n from conversations where text not like '{%'")
@@ -382,9 +380,7 @@ def sc5(spark, sf):
     rows = table(spark, sf, "conversations")
     line = F.to_json(F.struct("role", F.length("text").alias("n"), "turn"))
     packed = rows.groupBy("conv_id").agg(F.array_join(F.concat(F.array(F.lit("```json"), F.lit("{bad")), F.array_sort(F.collect_list(line)), F.array(F.lit("```"))), "\n").alias("t"))
-    found = packed.select("conv_id", F.explode(F.split("t", "\n")).alias("l")).where(F.startswith("l", F.lit("{")) & F.try_parse_json("l").isNotNull())
-    v = F.from_json("l", "role string, n bigint, turn bigint")
-    return found.select("conv_id", v.alias("v")).select("conv_id", "v.turn", "v.role", "v.n")
+    return X.json_lines(packed, ["conv_id"], "t", "turn bigint, role string, n bigint")
 
 
 @query("sc20_articles", "select page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as title, cast(list_aggregate(list_transform(list_filter(regexp_extract_all(html, '<p>([^<]*)', 1), lambda p: length(p) > 20), lambda p: length(p)), 'sum') as bigint) as n_chars, len(list_filter(regexp_extract_all(html, '<p>([^<]*)', 1), lambda p: length(p) > 20)) as n_paragraphs from pages")
@@ -394,6 +390,12 @@ def sc20(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), F.when(F.size(paragraphs) > 0, total).alias("n_chars"), F.size(paragraphs).cast("long").alias("n_paragraphs"))
 
 
+@query("src12_articles", """select page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) as title from pages where regexp_matches(html, '<h1>[^<]*</h1>')""")
+def src12(spark, sf):
+    # titles against SQL; paragraphs and the ways to find them against expected texts in the tests
+    return X.articles(table(spark, sf, "pages"), "page_id", "html", ("h1", None), ("article", None)).where("title not like 'untitled!_%' escape '!'").select("page_id", "title")
+
+
 @query("src13_links", "select page_id, count(*) as n_links, count(distinct u) as n_distinct from (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as u from pages) group by page_id")
 def src13(spark, sf):
     links = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("u"))
@@ -403,6 +405,4 @@ def src13(spark, sf):
 @query("pr25_urls", "select page_id, case when starts_with(u, '//') then 'https:' || u when starts_with(u, '/') then regexp_extract(url, '^(https?://[^/?#]+)', 1) || u else u end as full_url from (select page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as u from pages) where starts_with(u, '/') or starts_with(u, 'http')")
 def pr25(spark, sf):
     links = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("u"))
-    root = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
-    full = F.when(F.startswith("u", F.lit("//")), F.concat(F.lit("https:"), F.col("u"))).when(F.startswith("u", F.lit("/")), F.concat(root, F.col("u"))).otherwise(F.col("u"))
-    return links.select("page_id", full.alias("full_url")).where(F.startswith("full_url", F.lit("http")))
+    return links.select("page_id", X.full_address(F.col("url"), F.col("u")).alias("full_url")).where("full_url is not null")
