@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Spaces of any script: what ``trim`` takes off in SQL.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -69,7 +73,8 @@ def escape_html(text: Column) -> Column:
 
 def html_paragraphs(text: Column, limit: int = 8) -> Column:
     """The first blocks of a text as escaped HTML paragraphs."""
-    parts = F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda p: p != "")
+    # a lambda of its own: a function of two arguments would get the line's number as the second, here the characters to trim
+    parts = F.filter(F.transform(F.split(text, "\n", -1), lambda p: F.trim(p, F.lit(SPACES))), lambda p: p != "")
     return F.array_join(F.transform(F.slice(parts, 1, limit), lambda p: F.concat(F.lit("<p>"), escape_html(p), F.lit("</p>"))), "")
 
 

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
 from scriptorium.operators import extract as X
+from scriptorium.operators import retrieval as R
 from scriptorium.operators import rules as U
 from scriptorium.operators import serving as B
 
@@ -30,6 +32,13 @@ def test_articles(spark):
     assert X.articles(pages.limit(0), "id", "html").count() == 0
 
 
+def test_lines_that_begin_with_their_number_keep_it(spark):
+    rows = spark.createDataFrame([("0 zero <a>\n \n 2 two 2\u00a0",), (" ",), (None,)], "t string")
+    assert [r[0] for r in rows.select(T.html_paragraphs(F.col("t"))).collect()] == ["<p>0 zero &lt;a&gt;</p><p>2 two 2</p>", "", None]
+    bare = spark.createDataFrame([(" # title ",), ("0",), ("0\n \n1\n2",), (" \n ",)], "t string")
+    assert [r[0] for r in bare.select(R.heading_only(F.col("t"))).collect()] == [True, True, False, True]
+
+
 def test_json_blocks_and_lines(spark):
     texts = ['{"a": 1}', '```json\n{"a": 2}\n```', 'so: {"a": {"b": 3}} done', "no braces", "{broken", None, ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
