@@ -47,6 +47,22 @@ def test_many_queries_match_brute_force_in_small_blocks(spark, corpus):
     assert rows(got) == brute(corpus, queries, 7)
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_queries_scored_on_shelves_match_brute_force(spark, corpus, monkeypatch, kind):
+    for name, value in (("EARLY_ENTRIES", 0), ("SHELF_ENTRIES", 700), ("GROUP_TERMS", 60), ("STRIP", 3)):
+        monkeypatch.setattr(L, name, value)
+    docs = [*corpus, *[(600 + k, corpus[k % 8][1]) for k in range(40)], (700, None), (701, "")]
+    cast = str if kind == "string" else int
+    docs = [(cast(key), text) for key, text in docs]
+    index = L.build_lexical_index(spark.createDataFrame(docs, f"key {kind}, text string"), "key", "text", block_docs=20)
+    queries = [(k, corpus[k][1]) for k in range(0, 600, 50)] + [(9_000, "nowhere"), (9_001, None), (9_002, "AB ab aba")]
+    stages, stage = [], L.stage
+    monkeypatch.setattr(L, "stage", lambda df, name, *more: stages.append(name) or stage(df, name, *more))
+    got = L.lexical_top_k(index, spark.createDataFrame(queries, "query_id bigint, text string"), 7)
+    assert rows(got) == brute(docs, queries, 7)
+    assert "visits" not in stages and len({p[1] for p in L._shelves(index.postings)}) > 8
+
+
 def test_queries_end_before_blocks_that_cannot_matter(spark, corpus, monkeypatch):
     index = L.build_lexical_index(spark.createDataFrame(corpus, "key bigint, text string"), "key", "text", block_docs=10)
     scored, stage = [], L.stage
