@@ -82,6 +82,16 @@ def merge_short_lines(lines: DataFrame, key: str, size: int = 2) -> DataFrame:
     return merge_groups(marked, key, begins).where("line <> ''")
 
 
+def short_lines_merged(text: Column, size: int = 2) -> Column:
+    """The lines of a text as ``merge_short_lines`` leaves them, in its row: no line is dealt out."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: strip(x))
+    short = lambda x: (F.length(x) <= size) & (x != "")
+    # each line with the one before; the last pair has no line, and goes
+    pairs = F.arrays_zip(lines, F.concat(F.array(F.lit("")), lines))
+    joined = F.transform(pairs, lambda p: F.when(short(p["0"]) & short(p["1"]), p["0"]).otherwise(F.concat(F.lit("\n"), p["0"])))
+    return F.filter(F.split(F.array_join(joined, ""), "\n", -1), lambda x: x != "")
+
+
 def merge_broken_sentences(lines: DataFrame, key: str, layout: Layout, fragments_only: bool = False, fragment: int = 3) -> DataFrame:
     """A line joins the one before unless either stands alone or that one ends a sentence.
 

@@ -45,10 +45,8 @@ _WORDS = "(select doc_id, trim(unnest(string_split(replace(text, ' ', chr(10)),
 g as (select *, sum(case when short and before then 0 else 1 end) over (partition by doc_id order by pos) as grp from b),
 m as (select doc_id, grp, string_agg(l, '' order by pos) as line from g group by doc_id, grp) select doc_id, count(*) as n_lines, md5(string_agg(line, chr(10) order by grp)) as md5 from m where line <> '' group by doc_id""")
 def tx3(spark, sf):
-    words = L.explode_lines(_docs(spark, sf).select("doc_id", F.replace(F.col("text"), F.lit(" "), F.lit("\n")).alias("t")), "doc_id", "t")
-    merged = L.merge_short_lines(words, "doc_id")
-    n = merged.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("t"))
-    return n.select("doc_id", "n_lines", _md5(F.col("t")).alias("md5"))
+    merged = L.short_lines_merged(F.replace(F.col("text"), F.lit(" "), F.lit("\n")))
+    return _docs(spark, sf).select("doc_id", merged.alias("ls")).where("size(ls) > 0").select("doc_id", F.size("ls").cast("long").alias("n_lines"), _md5(F.array_join("ls", "\n")).alias("md5"))
 
 
 _FLAGS = "regexp_matches(l, '^(The|Le|Die|El) ') as s, regexp_matches(l, '^(Th|De|Un)[a-z]+ ') as c, regexp_matches(l, '^[A-Z]+!!') as a, regexp_matches(l, '^[0-9]{1,2}[.)]') as p, (starts_with(l, 'Licensed') or starts_with(l, 'Released') or starts_with(l, 'All rights')) as f"

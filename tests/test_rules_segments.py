@@ -41,6 +41,19 @@ def test_empty_tables(spark):
     assert L.merge_short_lines(L.explode_lines(none, "doc_id", "text"), "doc_id").count() == 0
 
 
+def test_short_lines_merge_in_their_row(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(["", " ", "a", "bc", "\U0001f600\U0001f600", " d ", "word", "longer one", "\r", "\u2028x"]) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    rows = spark.createDataFrame([*enumerate([*texts, "", None, "a\n" * 20_000])], "id int, t string")
+    exploded = L.merge_short_lines(L.explode_lines(rows, "id", "t"), "id")
+    want = {r.id: r.text for r in L.join_lines(exploded, "id").collect()}
+    made = rows.select("id", L.short_lines_merged(F.col("t")).alias("ls"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: "\n".join(r.ls) for r in made.collect() if r.ls} == want
+    plan = catalog.queries()["tx3_merge_short"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
 def test_chunks_keep_all_text(spark):
     text = "# h\n\n" + "\n\n".join(f"{'word ' * 60}{k}" for k in range(30))
     rows = S.chunk_markdown(spark.createDataFrame([("1", text)], "doc_id string, text string"), "doc_id", "text").collect()
