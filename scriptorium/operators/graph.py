@@ -23,13 +23,13 @@ def resolve_aliases(aliases: DataFrame, least: int = LEAST) -> DataFrame:
 
     Pointers are doubled: after r rounds each alias points 2^r steps on, so a chain of n aliases takes log2(n) rounds, each one join over
     a stored table.  Targets that many aliases share are dealt out.  Of several targets of a name the least counts; aliases of themselves and
-    nulls are none.
+    nulls are none.  Joins are by merge: a table of names is small in its files, but not where it would be broadcast.
     """
     made = aliases.where("name is not null and target is not null and name <> target").groupBy("name").agg(F.min("target").alias("target"))
     made = stage(made, "aliases")
     rounds = made.count().bit_length() + 1  # enough for one chain of them all
     for _ in range(rounds):
-        following = made.select(F.col("name").alias("target"), F.col("target").alias("next"))
+        following = made.select(F.col("name").alias("target"), F.col("target").alias("next")).hint("merge")
         if made.join(following, "target", "left_semi").isEmpty():
             return made
         step = join_spread(made, following, "target", F.col("name"), "left", least)
@@ -44,7 +44,7 @@ def merge_entities(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, strat
     ``concatenate`` all values, ``keep_first`` (the target's own, else the first alias's by name) or
     ``join_unique``.  Without it, kinds keep the least and descriptions are joined without repeats, in order.
     """
-    aliases = resolve_aliases(aliases, least)
+    aliases = resolve_aliases(aliases, least).hint("merge")
     named = nodes.join(aliases, "name", "left").withColumn("__old", F.struct(F.col("target").isNotNull().alias("a"), F.col("name").alias("n"))).withColumn("name", F.coalesce("target", "name"))
     if strategies is None:
         merged = named.groupBy("name").agg(F.min("kind").alias("kind"), F.concat_ws("; ", F.array_sort(F.collect_set("description"))).alias("description"))
@@ -52,8 +52,8 @@ def merge_entities(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, strat
         if unknown := set(strategies.values()) - set(STRATEGIES):
             raise ValueError(f"unknown strategies: {sorted(unknown)}")
         merged = named.groupBy("name").agg(*[_merged(strategies.get(c, "keep_first"), F.col(c), F.col("__old"), separator).alias(c) for c in nodes.columns if c != "name"])
-    a = aliases.select(F.col("name").alias("src"), F.col("target").alias("s"))
-    b = aliases.select(F.col("name").alias("dst"), F.col("target").alias("d"))
+    a = aliases.select(F.col("name").alias("src"), F.col("target").alias("s")).hint("merge")
+    b = aliases.select(F.col("name").alias("dst"), F.col("target").alias("d")).hint("merge")
     moved = join_spread(join_spread(edges, a, "src", F.col("dst"), "left", least), b, "dst", F.col("src"), "left", least)
     ends = moved.select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "weight")
     return merged, ends.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))

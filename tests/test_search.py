@@ -110,6 +110,15 @@ def test_chains_of_aliases_end_at_their_root(spark):
     assert sorted(map(tuple, moved.collect())) == [("n50", "q", 300), ("q", "n50", 2)]
 
 
+def test_names_are_not_broadcast(spark):
+    links = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(60) if i % 20], "name string, target string")
+    nodes = spark.createDataFrame([(f"n{i}", "k", "d") for i in range(60)], "name string, kind string, description string")
+    edges = spark.createDataFrame([(f"n{i}", "x", 1) for i in range(60)], "src string, dst string, weight int")
+    for made in G.merge_entities(nodes, edges, links):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("length", [2, 3, 8, 13])
 def test_circles_of_aliases_are_told(spark, length):
     pairs = [(f"c{i}", f"c{(i + 1) % length}") for i in range(length)] + [("tail", "c0"), ("a", "b")]
