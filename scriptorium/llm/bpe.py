@@ -3,14 +3,17 @@
 A word is a row of symbols.  Leaf i of the tree holds the rank of the merge of symbol i with
 the next live symbol, or a rank beyond all merges; an inner node holds its lesser child's
 (rank, position), so the root is the leftmost merge of lowest rank.  A merge changes at most
-three leaves, each in logarithmic time.  Merging ends when the root holds no merge.
+three leaves, each in logarithmic time.  Merging ends when the root holds no merge.  Words of
+about one length have trees of one size; these stand below each other as rows of one array, and
+each step makes one merge in every row.
 
 Text is normalised and split as the tokenizer file says (NFC, white space to one space,
-lower case; contractions, letter runs, single digits, runs of other marks).  Each worker
-keeps the ids of the words it has met, so a word is merged once per worker, not per use.
+lower case; contractions, letter runs, single digits, runs of other marks).  Texts go through
+in groups; the different stretches between spaces of a group are encoded once, and each worker
+keeps the ids of those it has met.
 
 Defined results: null and empty texts have no tokens.  All work is per row: no shuffle, and
-memory is one Arrow batch and a bounded word cache.
+memory is one Arrow batch, a group of texts and a bounded word cache.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +34,12 @@ from pyspark.sql.functions import ArrowUDFType, arrow_udf
 from .common import annotate
 
 NO_MERGE = 1 << 40  # above any rank << 17 | symbol
-#: Characters of the words a worker keeps in each of two generations; longer stretches are not kept.
+#: Characters of the stretches between spaces a worker keeps in each of two generations; longer ones are not kept.
 CACHE_CHARS, KEPT_CHARS = 1_200_000, 64
+#: Characters of texts encoded together; leaves of trees merged together; with fewer rows, words are merged one by one.
+GROUP_CHARS, LEAVES, MIN_ROWS = 4_000_000, 1 << 16, 16
+#: Symbol before the first and after the last of a row, and a hash multiplier.
+EDGE, MULTIPLIER = 0x1FFFF, np.uint64(0x9E3779B97F4A7C15)
 #: Fixed values of the file format: white space as its expressions see it, and its split pattern.
 SPACE = r"\t\n\v\f\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -111,6 +119,89 @@ def merge_word(symbols: list[int], merges: dict[int, int]) -> list[int]:
     return [s for s in symbols if s >= 0]
 
 
+class PairTable:
+    """Merges of many pairs at once: a hash table with open addresses, in arrays."""
+
+    def __init__(self, merges: dict[int, int]):
+        bits = (4 * len(merges)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.pairs, self.found = np.full(1 << bits, -1), np.full(1 << bits, NO_MERGE)
+        pairs = np.fromiter(merges, np.int64, len(merges))
+        for pair, place in zip(pairs.tolist(), self._places(pairs).tolist(), strict=True):
+            while self.pairs[place] >= 0:
+                place = place + 1 & self.mask
+            self.pairs[place], self.found[place] = pair, merges[pair]
+
+    def _places(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view(np.uint64) * MULTIPLIER >> self.shift).view(np.int64)
+
+    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``rank << 17 | merged`` of each pair, ``NO_MERGE`` for those without."""
+        pairs = left << 17 | right
+        places = self._places(pairs)
+        there = self.pairs[places]
+        others = np.flatnonzero((there != pairs) & (there >= 0))
+        while len(others):
+            places[others] = at = places[others] + 1 & self.mask
+            there = self.pairs[at]
+            others = others[(there != pairs[others]) & (there >= 0)]
+        return self.found[places]
+
+
+def merge_rows(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of many words after all merges, end to end, and how many each word has.
+
+    ``symbols`` has a row for each word, which starts in column 1; all other cells are ``EDGE``.  The number
+    of columns is a power of two and one.  Every row has its own tree, with a leaf for each column but the last.
+    """
+    n_rows, width = symbols.shape
+    size = width - 1
+    bits = size.bit_length() - 1
+    none = NO_MERGE << bits
+    tree = np.empty((n_rows, 2 * size), np.int64)
+    tree[:, 0] = none
+    found = table.get(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()) << bits
+    tree[:, size:] = found.reshape(n_rows, size) | np.arange(size)
+    low = size
+    while low > 1:
+        np.minimum(tree[:, low : 2 * low : 2], tree[:, low + 1 : 2 * low : 2], out=tree[:, low // 2 : low])
+        low //= 2
+    following = np.tile(np.arange(1, width + 1), n_rows)
+    previous = np.tile(np.arange(-1, width - 1), n_rows)
+    cells, nodes, roots = symbols.reshape(-1), tree.reshape(-1), np.arange(n_rows) * (2 * size) + 1
+    while True:
+        best = nodes[roots]
+        live = best < none
+        if not live.all():
+            roots, best = roots[live], best[live]
+        if not len(roots):
+            break
+        trees = roots - 1
+        rows = trees // (2 * size) * width
+        i, merged = best & size - 1, best >> bits & 0x1FFFF
+        at = rows + i
+        j = following[at]
+        after = following[rows + j]
+        before = previous[at]
+        following[at], previous[rows + after] = after, i
+        cells[at], cells[rows + j] = merged, -1
+        # three leaves change: the merged pair with what follows, with what stands before it, and the lost symbol's
+        found = table.get(np.concatenate((merged, cells[rows + before])), np.concatenate((cells[rows + after], merged))) << bits
+        leaves = np.concatenate((i, before, j))
+        trees = np.concatenate((trees, trees, trees))
+        found |= leaves[: len(found)]
+        leaves += size
+        here = trees + leaves
+        nodes[here[: len(found)]], nodes[here[len(found) :]] = found, none
+        for _ in range(bits):  # up to the root
+            leaves >>= 1
+            below = trees + 2 * leaves
+            nodes[trees + leaves] = np.minimum(nodes[below], nodes[below + 1])
+    live = (symbols >= 0) & (np.arange(width) <= lengths[:, None])
+    live[:, 0] = False
+    return symbols[live], live.sum(axis=1)
+
+
 class WordBpe:
     """Encoder and decoder of one tokenizer file with word ends."""
 
@@ -121,79 +212,126 @@ class WordBpe:
         self.end = data["model"]["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]]
         self.merges = {vocab[a] << 17 | vocab[b]: rank << 17 | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
+        self.table = PairTable(self.merges)
         letters = byte_letters()
-        self.inner = [vocab[x] for x in letters]
-        self.last = [vocab[x + self.end] for x in letters]
-        added = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in added.items()}
-        self.added = added
-        self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.inner = np.array([vocab[x] for x in letters])
+        self.last = np.array([vocab[x + self.end] for x in letters])
+        self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
+        token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
+        self.tokens = pa.array(map(token.get, range(max(token) + 1)), pa.string())
+        self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PIECES)
         self.other_spaces = [c for c in map(chr, range(0x3001)) if c != " " and regex.match(f"[{SPACE}]", c)]
-        # words and what stands between spaces; when the young ones are too many they become the old ones
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        # ids, as bytes, of what stands between spaces; when the young ones are too many they become the old ones
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cache_chars, self.held = cache_chars, 0
 
-    def _known(self, text: str) -> tuple[int, ...] | None:
-        found = self.young.get(text)
-        if found is None and (found := self.old.get(text)) is not None:
-            self._keep(text, found)
-        return found
-
-    def _keep(self, text: str, ids: tuple[int, ...]) -> None:
-        if len(text) <= KEPT_CHARS:
-            if self.held >= self.cache_chars:
-                self.old, self.young, self.held = self.young, {}, 0
-            self.young[text] = ids
-            self.held += len(text) + 1
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        found = self._known(word)
-        if found is None:
-            raw = word.encode("utf-8", "surrogatepass")
-            symbols = [self.inner[b] for b in raw]
-            symbols[-1] = self.last[raw[-1]]
-            found = tuple(merge_word(symbols, self.merges))
-            self._keep(word, found)
-        return found
-
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        """The ids of what stands between two spaces; no piece crosses a space."""
-        found = self._known(chunk)
-        if found is None:
-            pieces = self.pieces.findall(chunk)
-            found = self._word(pieces[0]) if len(pieces) == 1 else tuple(i for piece in pieces for i in self._word(piece))
-            if len(pieces) != 1 or pieces[0] != chunk:
-                self._keep(chunk, found)
-        return found
-
-    def _plain(self, text: str, out: list[int]) -> None:
+    def _keep(self, texts: list[str], ids: list[bytes]) -> None:
+        for text, found in zip(texts, ids, strict=True):
+            if len(text) <= KEPT_CHARS:
+                if self.held >= self.cache_chars:
+                    self.old, self.young, self.held = self.young, {}, 0
+                self.young[text] = found
+                self.held += len(text) + 1
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words, merged together with others of about their length."""
+        if not words:
+            return []
+        array = pa.array(words, pa.string())
+        ends = np.frombuffer(array.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
+        raw = np.frombuffer(array.buffers()[2], np.uint8)[: ends[-1]]
+        symbols = self.inner[raw]
+        symbols[ends[1:] - 1] = self.last[raw[ends[1:] - 1]]
+        starts, lengths = ends[:-1], np.diff(ends)
+        out: list[bytes] = [b""] * len(words)
+        bits = np.frexp(lengths)[1]  # the least power of two above each length
+        for b in np.unique(bits).tolist():
+            same, size = np.flatnonzero(bits == b), 1 << b
+            step = max(1, LEAVES >> b)
+            for k in range(0, len(same), step):
+                slab = same[k : k + step]
+                if len(slab) < MIN_ROWS:
+                    for w in slab.tolist():
+                        out[w] = np.array(merge_word(symbols[starts[w] : ends[w + 1]].tolist(), self.merges), np.int32).tobytes()
+                    continue
+                rows = np.full((len(slab), size + 1), EDGE)
+                filled = np.arange(1, size + 1) <= lengths[slab, None]
+                rows[:, 1:][filled] = symbols[(starts[slab, None] + np.arange(size))[filled]]
+                ids, counts = merge_rows(rows, lengths[slab], self.table)
+                flat, to = ids.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
+                for w, x, y in zip(slab.tolist(), [0, *to], to, strict=False):
+                    out[w] = flat[x:y]
+        return out
+
+    def _stretches(self, stretches: list[str]) -> list[bytes]:
+        """The ids of different stretches between two spaces; no piece crosses a space."""
+        young, old, pieces = self.young.get, self.old.get, self.pieces.findall
+        out = list(map(young, stretches))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        alone: list[int] = []
+        mixed: list[int] = []
+        parts: list[str] = []  # of the mixed ones, end to end
+        ends: list[int] = []
+        for k in missing:
+            stretch = stretches[k]
+            if (found := old(stretch)) is not None:
+                out[k] = found
+            elif stretch.isalpha():
+                alone.append(k)
+            elif stretch[:1] == "\n":  # a mark of an added token
+                out[k] = np.array([self.added[stretch[1:]]], np.int32).tobytes()
+            else:
+                mixed.append(k)
+                parts += pieces(stretch)
+                ends.append(len(parts))
+        words: dict[str, bytes | None] = dict.fromkeys(stretches[k] for k in alone)
+        for part in set(parts).difference(words):
+            words[part] = young(part) or old(part)
+        new = [word for word, ids in words.items() if ids is None]
+        words.update(zip(new, self._words(new), strict=True))
+        for k in alone:
+            out[k] = words[stretches[k]]
+        made = list(map(words.__getitem__, parts))
+        for k, start, end in zip(mixed, [0, *ends], ends, strict=False):
+            out[k] = b"".join(made[start:end])
+        self._keep([stretches[k] for k in missing], [out[k] for k in missing])
+        return out
+
+    def _plain(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each letter by itself: no final sigma
         for space in self.other_spaces:
             if space in text:
                 text = text.replace(space, " ")
-        extend, chunk = out.extend, self.chunk
-        for piece in text.lower().split(" "):
-            ids = self.young.get(piece)
-            extend(chunk(piece) if ids is None else ids)
+        return text.lower()
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def _normal(self, text: str) -> str:
+        """The text as it is split at spaces; an added token stands between spaces, after a mark that no other stretch has."""
         if self.added_pattern and any(t in text for t in self.added):
-            for part in self.added_pattern.split(text):
-                if part in self.added:
-                    out.append(self.added[part])
-                elif part:
-                    self._plain(part, out)
-        else:
-            self._plain(text, out)
-        return out
+            return " ".join("\n" + part if part in self.added else self._plain(part) for part in self.added_pattern.split(text))
+        return self._plain(text)
+
+    def encode_group(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
+        split = pc.split_pattern(pa.array(map(self._normal, texts), pa.string()), " ")
+        coded = split.values.dictionary_encode()
+        ids = self._stretches(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        taken = lists.take(coded.indices)
+        return pa.ListArray.from_arrays(taken.offsets.take(split.offsets), taken.values)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_group([text])[0].as_py()
 
     def decode(self, ids: list[int]) -> str:
+        return self.decode_group(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def decode_group(self, ids: pa.ListArray) -> pa.Array:
         """Tokens joined by a space, as a file without a decoder has it."""
-        return " ".join(map(self.token.__getitem__, ids))
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.tokens.take(ids.values)), " ")
 
 
 @lru_cache(maxsize=2)
@@ -202,6 +340,20 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def groups(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch (null: empty) in order, about ``GROUP_CHARS`` characters at a time."""
+    group, held = [], 0
+    for value in texts:
+        text = value.as_py() or ""
+        group.append(text)
+        held += len(text)
+        if held >= GROUP_CHARS:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 ENCODED = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
@@ -211,15 +363,9 @@ def encode_column(text: Column, path: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = word_bpe(path)
         for batch in batches:
-            flat: list[int] = []
-            ends, decoded = [0], []
-            for t in batch.to_pylist():
-                ids = bpe.encode(t or "")
-                decoded.append(bpe.decode(ids))
-                flat += ids
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-            yield pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string())], fields=list(ENCODED))
+            for group in groups(batch):
+                ids = bpe.encode_group(group)
+                yield pa.StructArray.from_arrays([ids, bpe.decode_group(ids)], fields=list(ENCODED))
 
     return arrow_udf(run, "ids array<int>, decoded string", ArrowUDFType.SCALAR_ITER)(text)
 

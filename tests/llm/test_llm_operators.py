@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -726,6 +727,28 @@ def test_word_cache_is_bounded_by_characters():
         assert sum(map(len, tokens.young)) <= 2_000 + bpe.KEPT_CHARS and max(map(len, [*tokens.young, *tokens.old])) <= bpe.KEPT_CHARS
 
 
+def test_new_words_merge_together(monkeypatch):
+    # a text of new words only: they merge in rows, not one by one, and each as the library does
+    rng, alone = np.random.default_rng(3), []
+    words = ["".join(rng.choice(list("etaoinshrdlué漢"), n)) for n in range(1, 90) for _ in range(40)]
+    real = bpe.merge_word
+    monkeypatch.setattr(bpe, "merge_word", lambda *a: alone.append(1) or real(*a))
+    text = " ".join(words) + " " + " ".join("x" * n for n in range(300, 2_000, 100))
+    assert bpe.WordBpe(WORD).encode(text) == Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids
+    assert len(alone) < 100
+
+
+def test_groups_of_texts_keep_their_order(monkeypatch):
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 50)
+    tokens, library = bpe.WordBpe(WORD, cache_chars=100), Tokenizer.from_file(WORD)
+    given = ["", None, "a<|endoftext|>b c", "<|ENDOFTEXT|>", "\n<|endoftext|>", " \t ", *("one two, three! 'tis " * n for n in range(9)), None, ""]
+    done = [tokens.encode_group(group) for group in bpe.groups(pa.array(given, pa.string()))]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in given]
+    assert len(done) > 3 and [ids for group in done for ids in group.to_pylist()] == want
+    decoded = [t for group in done for t in tokens.decode_group(group).to_pylist()]
+    assert decoded == [library.decode(ids, skip_special_tokens=False) for ids in want] and tokens.decode(want[2]) == decoded[2]
+
+
 def test_a_text_of_very_many_equal_lines(spark):
     line, n = "the very same line stands here again and again", 100_000
     rows = spark.createDataFrame([(1, "\n".join([line] * n + [line + "!", "another one that is long enough to be looked at"])), (2, line), (3, None)], "doc_id int, text string")
