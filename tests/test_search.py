@@ -63,6 +63,25 @@ def test_queries_scored_on_shelves_match_brute_force(spark, corpus, monkeypatch,
     assert "visits" not in stages and len({p[1] for p in L._shelves(index.postings)}) > 8
 
 
+def shuffled(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_more_groups_and_shelves_shuffle_no_more(spark, corpus, monkeypatch):
+    index = L.build_lexical_index(spark.createDataFrame(corpus, "key bigint, text string"), "key", "text", block_docs=20)
+    queries = spark.createDataFrame(corpus[::5], "query_id bigint, text string")
+    wrote, found = [], []
+    for terms, entries in ((100_000, 100_000), (60, 300)):
+        for name, value in (("EARLY_ENTRIES", 0), ("GROUP_TERMS", terms), ("SHELF_ENTRIES", entries), ("SHELVES", 1)):
+            monkeypatch.setattr(L, name, value)
+        before = shuffled(spark)
+        found.append(rows(L.lexical_top_k(index, queries, 3)))
+        wrote.append(shuffled(spark) - before)
+    assert found[0] == found[1] == brute(corpus, corpus[::5], 3)
+    assert wrote[1] < 3 * wrote[0]
+
+
 def test_queries_end_before_blocks_that_cannot_matter(spark, corpus, monkeypatch):
     index = L.build_lexical_index(spark.createDataFrame(corpus, "key bigint, text string"), "key", "text", block_docs=10)
     scored, stage = [], L.stage
