@@ -82,6 +82,20 @@ def test_more_groups_and_shelves_shuffle_no_more(spark, corpus, monkeypatch):
     assert wrote[1] < 3 * wrote[0]
 
 
+def test_hybrid_search_shuffles_no_more_for_more_groups(spark, monkeypatch):
+    from scriptorium.plans import catalog
+
+    run, wrote, found = catalog.queries()["rt1_hybrid"], [], []
+    for terms, entries in ((1_000_000, 4_000_000), (100, 2_000)):
+        for name, value in (("EARLY_ENTRIES", 0), ("GROUP_TERMS", terms), ("SHELF_ENTRIES", entries), ("SHELVES", 1)):
+            monkeypatch.setattr(L, name, value)
+        before = shuffled(spark)
+        found.append(rows(run(spark, "/root/testdata/sf0.001")))
+        wrote.append(shuffled(spark) - before)
+    assert found[0] and found[0] == found[1]
+    assert wrote[1] < 2 * wrote[0]
+
+
 def test_queries_end_before_blocks_that_cannot_matter(spark, corpus, monkeypatch):
     index = L.build_lexical_index(spark.createDataFrame(corpus, "key bigint, text string"), "key", "text", block_docs=10)
     scored, stage = [], L.stage
